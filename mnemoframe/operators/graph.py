@@ -9,16 +9,15 @@ from mnemoframe.functions.scoring import hop_score
 from mnemoframe.functions.text import entity_name_candidates
 from mnemoframe.operators.grouping import top_k
 from mnemoframe.operators.lookups import valid_at
+from mnemoframe.session import cut_lineage
 
 
 def adjacency(edges: DataFrame, as_of: Column | None = None) -> DataFrame:
     """Both directions of every valid edge as ``tenant_id, node, neighbour``."""
     valid = edges.where(valid_at(as_of) & (F.col("source_id") != F.col("target_id")))
-    forward = valid.select("tenant_id", F.col("source_id").alias("node"),
-                           F.col("target_id").alias("neighbour"))
-    backward = valid.select("tenant_id", F.col("target_id").alias("node"),
-                            F.col("source_id").alias("neighbour"))
-    return forward.unionByName(backward)
+    return valid.select("tenant_id", F.inline(F.array(
+        F.struct(F.col("source_id").alias("node"), F.col("target_id").alias("neighbour")),
+        F.struct(F.col("target_id").alias("node"), F.col("source_id").alias("neighbour")))))
 
 
 def seed_entities(queries: DataFrame, entities: DataFrame) -> DataFrame:
@@ -116,7 +115,9 @@ def graph_search(queries: DataFrame, entities: DataFrame, edges: DataFrame, fact
                  max_entities: int = fv.DEFAULT_ENTITIES,
                  as_of: Column | None = None) -> DataFrame:
     """Facts near the entities a query names, whatever their scope."""
-    reached = traverse(seed_entities(queries, entities), edges, max_depth, max_entities, as_of)
+    # read twice below, and never more than queries x max_entities rows
+    reached = cut_lineage(traverse(
+        seed_entities(queries, entities), edges, max_depth, max_entities, as_of))
     return graph_facts(reached, facts, links, k)
 
 

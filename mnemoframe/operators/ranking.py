@@ -120,7 +120,7 @@ def score_time(rows: DataFrame, references: DataFrame, now: Column) -> DataFrame
     when = F.coalesce("event_date", "document_date")
     meant = F.unix_micros(dates.reference_date(ref, now).cast("timestamp"))
     gap = F.abs(F.unix_micros(when) - meant).cast("double")
-    joined = joined.withColumn("_gap", F.when(dates.has_reference(ref) & ~ordering, gap))
+    joined = joined.withColumn("_gap", F.when(dates.names_date(ref), gap))
     widest = F.max("_gap").over(per_query)
     near = F.when((widest > 0) & F.col("_gap").isNotNull(), 1.0 - F.col("_gap") / widest)
     score = F.when(F.coalesce(ordering, F.lit(False)), by_order).otherwise(
@@ -155,10 +155,11 @@ def newest_per_lineage(rows: DataFrame) -> DataFrame:
 
 def drop_updated(rows: DataFrame) -> DataFrame:
     """Drop a fact that another result of the same query says it updates."""
-    updates = rows.where(json_field("metadata", "relationType") == "updates").select(
-        "query_id", json_field("metadata", "relatedFactId").cast("long").alias("fact_id"))
-    return rows.join(updates.where(F.col("fact_id").isNotNull()), ["query_id", "fact_id"],
-                     "left_anti")
+    updated = F.when(json_field("metadata", "relationType") == "updates",
+                     json_field("metadata", "relatedFactId").try_cast("long"))
+    per_query = F.collect_set(updated).over(Window.partitionBy("query_id"))
+    return rows.withColumn("_updated", per_query).where(
+        ~F.array_contains("_updated", F.col("fact_id"))).drop("_updated")
 
 
 def token_budget(rows: DataFrame, budget: int, keep_first: bool = False,

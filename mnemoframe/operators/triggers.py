@@ -61,13 +61,13 @@ def holds(condition: Column, query: Column, entity_types: Column, query_vector:
     if levels == 0:
         return leaf
 
-    def sub(part: Column) -> Column:
-        return holds(part, query, entity_types, query_vector, text_vectors, levels - 1)
-
-    return (F.when(F.size(F.coalesce(condition["AND"], F.array())) > 0,
-                   F.forall(condition["AND"], sub))
-            .when(F.size(F.coalesce(condition["OR"], F.array())) > 0,
-                  F.exists(condition["OR"], sub))
+    all_of = F.size(F.coalesce(condition["AND"], F.array())) > 0
+    any_of = F.size(F.coalesce(condition["OR"], F.array())) > 0
+    parts = F.transform(
+        F.when(all_of, condition["AND"]).otherwise(condition["OR"]),
+        lambda part: holds(part, query, entity_types, query_vector, text_vectors, levels - 1))
+    return (F.when(all_of, F.forall(parts, lambda x: x))
+            .when(any_of, F.exists(parts, lambda x: x))
             .otherwise(leaf))
 
 

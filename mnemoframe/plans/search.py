@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from mnemoframe.functions import dates, fixed_values as fv
 from mnemoframe.operators import graph, keyword_search, lookups, ranking, triggers
 from mnemoframe.operators.vector_search import vector_search
+from mnemoframe.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -50,7 +51,9 @@ def candidates(queries: DataFrame, memory: Memory, options: SearchOptions) -> Da
                ranking.stream(worded, "keyword", "keyword_score"),
                ranking.stream(linked, "graph", "graph_score")]
     if memory.triggers is not None:
-        fired = triggers.matched_triggers(queries, memory.triggers, memory.entities)
+        # small (queries x their triggers) and read three times
+        fired = cut_lineage(
+            triggers.matched_triggers(queries, memory.triggers, memory.entities))
         surfaced = triggers.surfaced_facts(fired, queries, memory.triggers, facts,
                                            memory.fact_entities)
         # priority first, then the trigger's own parts: one sortable number

@@ -170,7 +170,7 @@ def _streams(k: int = 30, as_of_sql: str | None = None) -> str:
     """CTEs up to ``cand``: the four streams with their positions, before reranking."""
     return f"""{fr.vector_cte('v', k, 0.25, fr.SEARCHABLE, as_of=as_of_sql)}, {fr.bm25_cte('b', k, fr.SEARCHABLE, as_of=as_of_sql)},
 {fr.seeds_cte()}, {fr.reach_cte(as_of=as_of_sql)}, {fr.graph_facts_cte('g', k)}, {fr.fired_cte()}, {fr.surfaced_cte()},
-cand AS (SELECT query_id, fact_id, 'vector' AS source, 0 AS stream, position, similarity AS vs, 0.0::DOUBLE AS ks, 0.0::DOUBLE AS gs, NULL AS trig FROM v
+cand AS (SELECT query_id, fact_id, 'vector' AS source, 0 AS stream, position, similarity AS vs, 0.0::DOUBLE AS ks, 0.0::DOUBLE AS gs, CAST(NULL AS VARCHAR) AS trig FROM v
   UNION ALL SELECT query_id, fact_id, 'keyword', 1, position, 0.0, keyword_score, 0.0, NULL FROM b
   UNION ALL SELECT query_id, fact_id, 'graph', 2, position, 0.0, 0.0, graph_score, NULL FROM g
   UNION ALL SELECT query_id, fact_id, 'trigger', 3, (1000000 - priority) * 10 + part, vector_score, 0.0, 0.0, trigger_id FROM surfaced),
