@@ -8,17 +8,26 @@ from pyspark.sql import DataFrame, SparkSession
 
 from workload.views import Tables, with_views
 
+_TABLES: dict[tuple[str, str], Tables] = {}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def tables(spark: SparkSession, folder: str) -> Tables:
+    """Views of one folder in one application; only schemas and plans are kept."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _TABLES:
+        _TABLES[key] = Tables(spark, folder)
+    return _TABLES[key]
+
+
 def query(name: str, sql: str | None = None):
     """Register ``fn(tables) -> DataFrame`` under a name, with its SQL if there is one."""
 
     def wrap(fn: Callable[[Tables], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = lambda spark, folder: fn(Tables(spark, folder))
+        QUERIES[name] = lambda spark, folder: fn(tables(spark, folder))
         if sql is not None:
             ORACLES[name] = with_views(sql)
         return fn
