@@ -124,21 +124,20 @@ def dependencies(edges: DataFrame, labels: DataFrame,
     return stated.unionByName(deadlines)
 
 
-def recall_order(results: DataFrame, priorities: DataFrame) -> DataFrame:
-    """Search results plus the tenant's missing priorities, priorities first.
+def recalled(results: DataFrame, facts: DataFrame) -> DataFrame:
+    """Search results plus the tenant's priorities they miss, with text and metadata.
 
-    ``results`` holds ``query_id, tenant_id, fact_id, score``; an injected priority
-    scores 0.1.  Dismissed facts are left out after placing.
+    ``results`` holds ``query_id, tenant_id, fact_id, score``; an added priority
+    scores 0.1.
     """
-    known = priorities.select("tenant_id", "fact_id", "priority_order", "metadata", "content")
+    labels = priority_labels(facts).select("tenant_id", "fact_id", "priority_order")
     asked = results.select("query_id", "tenant_id").distinct()
-    injected = asked.join(known.select("tenant_id", "fact_id"), "tenant_id").join(
-        results.select("query_id", "fact_id"), ["query_id", "fact_id"], "left_anti").withColumn(
-        "score", F.lit(0.1))
-    both = results.select("query_id", "tenant_id", "fact_id", "score").unionByName(
-        injected.select("query_id", "tenant_id", "fact_id", "score"))
-    return both.join(known.select("tenant_id", "fact_id", "priority_order"),
-                     ["tenant_id", "fact_id"], "left")
+    missing = asked.join(labels, "tenant_id").join(
+        results.select("query_id", "fact_id"), ["query_id", "fact_id"], "left_anti").select(
+        "query_id", "tenant_id", "fact_id", F.lit(0.1).alias("score"))
+    both = results.select("query_id", "tenant_id", "fact_id", "score").unionByName(missing)
+    return both.join(labels, ["tenant_id", "fact_id"], "left").join(
+        facts.select("fact_id", "content", "metadata"), "fact_id")
 
 
 def place_recalled(rows: DataFrame) -> DataFrame:

@@ -5,15 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 
-def as_of_join(probes: DataFrame, versions: DataFrame, keys: list[str], at: str) -> DataFrame:
+def as_of_join(probes: DataFrame, versions: DataFrame, keys: list[str], at: str,
+               row_id: str = "fact_id", bucket: str = "day") -> DataFrame:
     """The version valid at each probe's time: start included, end not.
 
-    An equi-join on the lineage with the interval as residual condition; hot
-    lineages are split by AQE because both sides are plain shuffles on the key.
+    Versions of a lineage follow one another, so the candidate is the last one
+    started.  It is carried forward inside (lineage, time bucket) and from the
+    previous buckets' last versions, so neither pairs of a lineage nor a whole
+    lineage ever meet in one task.
     """
-    valid = (F.col("valid_from") <= F.col(at)) & (
-        F.col("valid_until").isNull() | (F.col("valid_until") > F.col(at)))
-    return probes.join(versions, keys).where(valid)
+    version = F.struct(*[F.col(c) for c in versions.columns if c not in keys])
+    probe = F.struct(*[F.col(c) for c in probes.columns if c not in keys])
+    starts = versions.select(*keys, F.col("valid_from").alias("_ts"), F.lit(0).alias("_kind"),
+                             F.col(row_id).alias("_tie"), version.alias("_version"))
+    asked = probes.select(*keys, F.col(at).alias("_ts"), F.lit(1).alias("_kind"),
+                          probe.alias("_probe"))
+    line = starts.unionByName(asked, allowMissingColumns=True).withColumn(
+        "_bucket", F.date_trunc(bucket, "_ts"))
+    ends = line.groupBy(*keys, "_bucket").agg(F.max_by("_version", F.when(
+        F.col("_kind") == 0, F.struct("_ts", "_tie"))).alias("_end"))
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(
+        Window.unboundedPreceding, -1)
+    carried = ends.select(*keys, "_bucket", F.last("_end", ignorenulls=True).over(
+        before).alias("_carried"))
+    inside = Window.partitionBy(*keys, "_bucket").orderBy("_ts", "_kind", "_tie").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    found = line.join(carried, [*keys, "_bucket"]).withColumn("_found", F.coalesce(
+        F.last("_version", ignorenulls=True).over(inside), F.col("_carried")))
+    hits = found.where((F.col("_kind") == 1) & F.col("_found").isNotNull()).select(
+        *keys, "_probe.*", "_found.*")
+    return hits.where(F.col("valid_until").isNull() | (F.col("valid_until") > F.col(at)))
 
 
 def close_versions(rows: DataFrame, keys: list[str], start: str, row_id: str,

@@ -1,3 +1,3 @@
 """Imports every query module so that its queries are registered."""
 
-from workload import retrieval, storage  # noqa: F401
+from workload import retrieval, storage, texts  # noqa: F401

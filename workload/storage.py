@@ -361,7 +361,7 @@ def _(t):
 def _(t):
     probes = t.orders.select(F.col("o_orderkey").alias("probe_id"), F.col("o_custkey").alias("lineage_id"),
                              (F.col("o_orderdate").cast("timestamp") + F.expr("INTERVAL 45 DAYS")).alias("at"))
-    return as_of_join(probes, t.fact_versions, ["lineage_id"], "at").select("probe_id", "fact_id", stamp("valid_from"))
+    return as_of_join(probes, t.fact_versions, ["lineage_id"], "at", bucket="month").select("probe_id", "fact_id", stamp("valid_from"))
 
 
 @query("version_numbers", """SELECT o_orderkey AS fact_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS version FROM orders""")
@@ -460,8 +460,8 @@ def _(t):
     return cv.turn_count(t.session_messages)
 
 
-_RATE = """SELECT tenant_id, plan, strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS requests, {cap} AS request_limit, CAST(greatest(0, {cap} - count(*)) AS BIGINT) AS remaining, count(*) > {cap} AS limited
-  FROM (SELECT tenant_id, CASE user_id % 20 % 4 WHEN 0 THEN 'free' WHEN 1 THEN 'pro' WHEN 2 THEN 'scale' ELSE 'enterprise' END AS plan, {start} AS w FROM usage_events{more}) GROUP BY ALL"""
+_RATE = """SELECT tenant_id, plan, strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, n AS requests, {cap} AS request_limit, CAST(greatest(0, {cap} - n) AS BIGINT) AS remaining, n > {cap} AS limited
+  FROM (SELECT tenant_id, plan, w, count(*) AS n FROM (SELECT tenant_id, CASE user_id % 20 % 4 WHEN 0 THEN 'free' WHEN 1 THEN 'pro' WHEN 2 THEN 'scale' ELSE 'enterprise' END AS plan, {start} AS w FROM usage_events{more}) GROUP BY tenant_id, plan, w)"""
 
 
 def _planned(t):
