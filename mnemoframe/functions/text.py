@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 from mnemoframe.functions import fixed_values as fv
 
-_ASCII_EDGE = (r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])"
-               r"|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))")
+_WORD = "[A-Za-z0-9_]"
+_EITHER_EDGE = f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
 
 
 def java_pattern(pattern: str) -> str:
-    r"""``\b`` as an ASCII word edge; Java's own one also counts accented letters."""
-    return pattern.replace(r"\b", _ASCII_EDGE)
+    r"""``\b`` as an ASCII word edge; Java's own one also counts accented letters.
+
+    Where the pattern itself tells which side the word is on, only the other side
+    is looked at, which is much cheaper on long texts.
+    """
+    opening = re.sub(r"\\b(?=(?:\((?:\?:)?)?(?:[A-Za-z0-9]|\\d))", f"(?<!{_WORD})", pattern)
+    closing = re.sub(r"(?<=[A-Za-z0-9)}])\\b", f"(?!{_WORD})", opening)
+    return closing.replace(r"\b", _EITHER_EDGE)
 
 
 def search_terms(text: Column, stop_words=fv.QUERY_STOP_WORDS) -> Column:

@@ -16,15 +16,15 @@ _FACT = ("struct<kind:string, content:string, original:string, importance:double
 
 def contact_facts(text: Column) -> Column:
     """Emails, phone numbers, links, dates and amounts in order of kind, each once."""
-    found = []
-    for kind, prefix, tags, pattern in fv.CONTACT_PATTERNS:
+    def of_kind(kind: str, prefix: str, tags: str, pattern: str) -> Column:
         hits = F.array_distinct(
             F.regexp_extract_all(text, F.lit(java_pattern(pattern)), F.lit(0)))
-        found.append(F.transform(hits, lambda m, kind=kind, prefix=prefix, tags=tags: F.struct(
+        return F.transform(hits, lambda m: F.struct(
             F.lit(kind).alias("kind"), F.concat(F.lit(prefix), m).alias("content"),
             m.alias("original"), F.lit(0.8).alias("importance"),
-            F.lit(0.9).alias("confidence"), F.lit(tags).alias("tags"))))
-    return F.concat(*found).cast(f"array<{_FACT}>")
+            F.lit(0.9).alias("confidence"), F.lit(tags).alias("tags")))
+
+    return F.concat(*[of_kind(*row) for row in fv.CONTACT_PATTERNS]).cast(f"array<{_FACT}>")
 
 
 def statement(line: Column) -> Column:
@@ -42,9 +42,8 @@ def statement(line: Column) -> Column:
 
 def statement_facts(text: Column) -> Column:
     """Statements of all lines; a repeated content keeps its first line."""
-    said = F.filter(F.transform(F.split(text, "\n"), lambda raw: statement(F.trim(strip_role(raw)))),
-                    lambda s: s.isNotNull())
-    return said
+    said = F.transform(F.split(text, "\n"), lambda raw: statement(F.trim(strip_role(raw))))
+    return F.filter(said, lambda s: s.isNotNull())
 
 
 def first_contents(facts: Column) -> Column:
