@@ -26,8 +26,7 @@ def java_pattern(pattern: str) -> str:
 def search_terms(text: Column, stop_words=fv.QUERY_STOP_WORDS) -> Column:
     """Lower-case alphanumeric terms of two or more characters, repeats kept."""
     words = F.split(F.lower(text), "[^a-z0-9]+")
-    stops = F.array(*[F.lit(w) for w in stop_words])
-    return F.filter(words, lambda w: (F.length(w) >= 2) & ~F.array_contains(stops, w))
+    return F.filter(words, lambda w: (F.length(w) >= 2) & ~w.isin(*stop_words))
 
 
 def keyword_query(text: Column) -> Column:
@@ -38,10 +37,8 @@ def keyword_query(text: Column) -> Column:
 def keyword_set(text: Column) -> Column:
     """Distinct content words used to compare two facts."""
     cleaned = F.regexp_replace(F.lower(text), r"[^a-z0-9\s-]", " ")
-    stops = F.array(*[F.lit(w) for w in fv.KEYWORD_STOP_WORDS])
-    return F.array_distinct(F.filter(
-        F.split(cleaned, r"\s+"),
-        lambda w: (F.length(w) >= 3) & ~F.array_contains(stops, w)))
+    words = F.array_distinct(F.split(cleaned, r"\s+"))
+    return F.filter(words, lambda w: (F.length(w) >= 3) & ~w.isin(*fv.KEYWORD_STOP_WORDS))
 
 
 def overlap(left: Column, right: Column) -> Column:

@@ -61,7 +61,9 @@ def bm25(terms: DataFrame, hits: DataFrame, stats: DataFrame, k: int,
     ``keyword_score`` is the raw score over the query's maximum.  Term weights are
     joined to the (small) query side, so the postings are joined once.
     """
-    frequency = hits.groupBy(*on, "term").agg(F.count(F.lit(1)).alias("df"))
+    # counting through tf keeps the column, so both reads of hits are one exchange
+    frequency = hits.groupBy(*on, "term").agg(
+        F.sum(F.least(F.col("tf"), F.lit(1))).alias("df"))
     weighted = terms.join(frequency, [*on, "term"]).join(stats, list(on))
     scored = salted_join(hits, weighted, [*on, "term"], "fact_id").select(
         "query_id", "fact_id",

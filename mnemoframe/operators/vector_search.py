@@ -30,11 +30,12 @@ def similar_pairs(queries: DataFrame, rows: DataFrame, on: Sequence[str], row_id
     left = with_norm(rows.select(*on, row_id, "embedding"), "embedding", "_norm")
     right = with_norm(
         queries.select(*on, "query_id", F.col("embedding").alias("_query")), "_query", "_qnorm")
-    scored = salted_join(left, right, on, row_id, salts).select(
-        "query_id", row_id,
-        F.round(vectors.cosine(F.col("embedding"), F.col("_query"), F.col("_norm"),
-                               F.col("_qnorm")), TIE_DIGITS).alias("similarity"))
-    return scored.where(F.col("similarity") >= min_similarity)
+    similarity = F.round(vectors.cosine(F.col("embedding"), F.col("_query"), F.col("_norm"),
+                                        F.col("_qnorm")), TIE_DIGITS)
+    # a plain filter would be pushed into the join and compute the product twice
+    passing = F.filter(F.array(similarity), lambda s: s >= min_similarity)
+    return salted_join(left, right, on, row_id, salts).select(
+        "query_id", row_id, F.explode(passing).alias("similarity"))
 
 
 def nearest(queries: DataFrame, rows: DataFrame, on: Sequence[str], row_id: str, k: int,

@@ -11,10 +11,14 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from mnemoframe.session import configure
+from mnemoframe.sources.io import read_parquet
 
 RAW = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
        "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
+# tables whose rows carry text work, and the key that spreads them
+SPREAD = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
+
 NOW = "TIMESTAMP '2024-02-01 00:00:00'"
 AS_OF = "TIMESTAMP '2024-01-15 00:00:00'"
 
@@ -216,7 +220,8 @@ class Tables:
             raise AttributeError(name)
         if name not in self._cache:
             if name in RAW:
-                self._cache[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+                self._cache[name] = read_parquet(
+                    self.spark, f"{self.folder}/{name}.parquet", SPREAD.get(name))
             elif name in VIEWS:
                 self._cache[name] = self._view(name)
             else:
