@@ -50,7 +50,7 @@ def write_postings(postings: DataFrame, path: str, files_per_scope: int = 8) ->
      .write.mode("overwrite").partitionBy("tenant_id", "scope").parquet(path))
 
 
-def export_scope(facts: DataFrame, entities: DataFrame, edges: DataFrame, links: DataFrame,
+def export_scope(facts: DataFrame, entities: DataFrame, edges: DataFrame,
                  sessions: DataFrame, scopes: DataFrame) -> DataFrame:
     """Facts, sessions, their tenants' entities and edges as ``kind, id, body`` rows.
 

@@ -1,3 +1,3 @@
 """Imports every query module so that its queries are registered."""
 
-from workload import retrieval, storage, streams, texts  # noqa: F401
+from workload import jobs, retrieval, storage, streams, texts  # noqa: F401
