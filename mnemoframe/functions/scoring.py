@@ -50,7 +50,8 @@ def decay(importance: Column, frequency: Column, last_accessed: Column, now: Col
     score = (importance.cast("double")
              * half_life_decay(days_between(now, last_accessed), half_life_days)
              * frequency_factor(frequency, norm_k))
-    return F.coalesce(clamp(score), F.lit(0.0))
+    # least and greatest skip nulls, so the missing date is tested first
+    return F.when(last_accessed.isNull(), F.lit(0.0)).otherwise(clamp(score))
 
 
 def hop_score(depth: Column) -> Column:

@@ -68,10 +68,11 @@ def dependencies(edges: DataFrame, labels: DataFrame,
     without one that precedes a dated fact, then to one that blocks a dated
     priority.  Only edges that touch a shown fact or a priority count.
     """
+    id_type = labels.schema["fact_id"].dataType
     ends = edges.where(F.col("relation").isin("precedes", "depends_on", "deadline")).select(
         "tenant_id", "relation",
-        json_field("metadata", "sourceFactId").cast("long").alias("source"),
-        json_field("metadata", "targetFactId").cast("long").alias("target"),
+        json_field("metadata", "sourceFactId").cast(id_type).alias("source"),
+        json_field("metadata", "targetFactId").cast(id_type).alias("target"),
         json_field("metadata", "deadline").alias("deadline"))
     touched = labels.select("tenant_id", "fact_id")
     if shown is not None:

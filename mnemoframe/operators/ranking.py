@@ -156,10 +156,10 @@ def newest_per_lineage(rows: DataFrame) -> DataFrame:
 def drop_updated(rows: DataFrame) -> DataFrame:
     """Drop a fact that another result of the same query says it updates."""
     updated = F.when(json_field("metadata", "relationType") == "updates",
-                     json_field("metadata", "relatedFactId").try_cast("long"))
+                     json_field("metadata", "relatedFactId"))
     per_query = F.collect_set(updated).over(Window.partitionBy("query_id"))
     return rows.withColumn("_updated", per_query).where(
-        ~F.array_contains("_updated", F.col("fact_id"))).drop("_updated")
+        ~F.array_contains("_updated", F.col("fact_id").cast("string"))).drop("_updated")
 
 
 def token_budget(rows: DataFrame, budget: int, keep_first: bool = False,

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from mnemoframe.operators import lookups, mutations, profiles, ranking
 from mnemoframe.plans.ingest import Ingested, ingest
 from mnemoframe.plans.search import Memory, SearchOptions, search
+from mnemoframe.session import cut_lineage
 from mnemoframe.sources.catalog import MemoryCatalog
 
 
@@ -23,9 +24,11 @@ def remember(catalog: MemoryCatalog, inputs: DataFrame, now: Column) -> Ingested
         "metadata": F.to_json(F.struct(
             F.col("source_fact_id").alias("sourceFactId"),
             F.col("target_fact_id").alias("targetFactId"), F.col("entity_name").alias("entity")))})
-    for name, rows in (("fact_entities", new.fact_entities), ("edges", edges),
-                       ("entities", new.entities), ("facts", new.facts),
-                       ("extractions", new.extractions)):
+    # all results are fixed before the first append changes a table they read
+    fixed = {"entities": cut_lineage(new.entities),
+             "fact_entities": cut_lineage(new.fact_entities), "edges": cut_lineage(edges),
+             "facts": new.facts, "extractions": cut_lineage(new.extractions)}
+    for name, rows in fixed.items():
         catalog.append(name, rows)
     return new
 

@@ -14,8 +14,9 @@ class MemoryCatalog:
         self.spark = spark
         self.database = database
 
-    def create(self) -> None:
-        self.spark.sql(f"CREATE DATABASE IF NOT EXISTS {self.database}")
+    def create(self, location: str | None = None) -> None:
+        where = f" LOCATION '{location}'" if location else ""
+        self.spark.sql(f"CREATE DATABASE IF NOT EXISTS {self.database}{where}")
         for name, schema in TABLES.items():
             self.spark.sql(
                 f"CREATE TABLE IF NOT EXISTS {self.database}.{name} ({schema}) USING parquet")

@@ -17,8 +17,8 @@ LAM = "(ln(2.0::DOUBLE) / 30)"
 
 
 def _decay(importance: str, frequency: str, accessed: str) -> str:
-    return (f"coalesce(greatest(0, least(1, {importance} * exp(-{LAM} * (epoch_us({NOW}) - epoch_us({accessed})) / {DAY})"
-            f" * least(1.0::DOUBLE, ln(1 + ({frequency})::DOUBLE) / ln(51::DOUBLE)))), 0.0)")
+    return (f"CASE WHEN {accessed} IS NULL THEN 0.0 ELSE greatest(0, least(1, {importance} * exp(-{LAM} * (epoch_us({NOW}) - epoch_us({accessed})) / {DAY})"
+            f" * least(1.0::DOUBLE, ln(1 + ({frequency})::DOUBLE) / ln(51::DOUBLE)))) END")
 
 
 def _r(name, places=6):
