@@ -28,6 +28,7 @@ def test_remember_recall_and_edit_through_the_catalog(spark, tmp_path):
     asked = facts.where("content = 'User lives in Oslo'").select(
         F.lit(1).alias("query_id"), "tenant_id", "scope", "scope_id",
         F.lit("where does the user live, Oslo?").alias("query"), "embedding")
+    asked = spark.createDataFrame(asked.collect(), asked.schema)
     top = tools.recall(catalog, asked, now).orderBy("rank").first()
     assert top.content == "User lives in Oslo"
     home = facts.where("content = 'User lives in Oslo'").select("fact_id")
