@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from mnemoframe.functions import fixed_values as fv
 
@@ -62,13 +62,26 @@ def signal_turns(turns: DataFrame, phrases=fv.SIGNAL_PHRASES, fallback: int = 2)
 
 
 def session_windows(events: DataFrame, keys: list[str], ts: str = "ts",
-                    gap_minutes: int = fv.SESSION_GAP_MINUTES) -> DataFrame:
-    """Activity sessions: a gap longer than the timeout starts a new one."""
-    window = F.session_window(ts, f"{gap_minutes} minutes")
-    return events.groupBy(*keys, window).agg(F.count(F.lit(1)).alias("messages")).select(
-        *keys, F.col("session_window.start").alias("started_at"),
-        F.expr(f"session_window.end - INTERVAL {gap_minutes} MINUTES").alias("last_message_at"),
-        "messages")
+                    gap_minutes: int = fv.SESSION_GAP_MINUTES,
+                    bucket: str = "hour") -> DataFrame:
+    """Activity sessions: a gap as long as the timeout starts a new one.
+
+    Events become short sessions per (key, hour) first.  What is then joined up per
+    key are those sessions, of which there is at most a fixed number per day, so a
+    key with a third of all events is no burden.
+    """
+    short = events.groupBy(*keys, F.date_trunc(bucket, ts).alias("_bucket"),
+                           F.session_window(ts, f"{gap_minutes} minutes").alias("_w")).agg(
+        F.min(ts).alias("_from"), F.max(ts).alias("_to"), F.count(F.lit(1)).alias("_n"))
+    in_order = Window.partitionBy(*keys).orderBy("_from")
+    before = F.lag("_to").over(in_order)
+    starts = before.isNull() | (
+        F.col("_from") >= before + F.expr(f"INTERVAL {gap_minutes} MINUTES"))
+    numbered = short.withColumn("_new", starts.cast("int")).withColumn(
+        "_session", F.sum("_new").over(in_order))
+    return numbered.groupBy(*keys, "_session").agg(
+        F.min("_from").alias("started_at"), F.max("_to").alias("last_message_at"),
+        F.sum("_n").alias("messages")).drop("_session")
 
 
 def turn_count(messages: DataFrame) -> DataFrame:

@@ -14,11 +14,20 @@ _FACT = ("struct<kind:string, content:string, original:string, importance:double
          "confidence:double, tags:string>")
 
 
+# no statement rule can match a line without one of these words
+_FIRST_PERSON = java_pattern(r"(?i)\b(?:i|my|they)\b")
+
+
 def contact_facts(text: Column) -> Column:
     """Emails, phone numbers, links, dates and amounts in order of kind, each once."""
+    has_digit = text.rlike("[0-9]")
+    possible = {"email": text.contains("@"), "url": text.contains("://")}
+
     def of_kind(kind: str, prefix: str, tags: str, pattern: str) -> Column:
-        hits = F.array_distinct(
-            F.regexp_extract_all(text, F.lit(java_pattern(pattern)), F.lit(0)))
+        # a cheap look for what every match must contain comes before the pattern
+        hits = F.when(possible.get(kind, has_digit), F.array_distinct(
+            F.regexp_extract_all(text, F.lit(java_pattern(pattern)), F.lit(0)))).otherwise(
+            F.array().cast("array<string>"))
         return F.transform(hits, lambda m: F.struct(
             F.lit(kind).alias("kind"), F.concat(F.lit(prefix), m).alias("content"),
             m.alias("original"), F.lit(0.8).alias("importance"),
@@ -36,13 +45,13 @@ def statement(line: Column) -> Column:
             F.lit("statement").alias("kind"), F.concat(F.lit(prefix), F.trim(said)).alias("content"),
             line.alias("original"), F.lit(importance).alias("importance"),
             F.lit(0.7).alias("confidence"), F.lit(tags).alias("tags")).cast(_FACT))
-    # no rule can match a line without one of these words
-    return F.when(line.rlike(r"(?i)(?<![A-Za-z0-9_])(?:i|my|they)(?![A-Za-z0-9_])"), out)
+    return out
 
 
 def statement_facts(text: Column) -> Column:
     """Statements of all lines; a repeated content keeps its first line."""
-    said = F.transform(F.split(text, "\n"), lambda raw: statement(F.trim(strip_role(raw))))
+    lines = F.filter(F.split(text, "\n"), lambda raw: raw.rlike(_FIRST_PERSON))
+    said = F.transform(lines, lambda raw: statement(F.trim(strip_role(raw))))
     return F.filter(said, lambda s: s.isNotNull())
 
 

@@ -43,8 +43,8 @@ def matching_postings(facts: DataFrame, terms: DataFrame, on: Sequence[str] = SC
     docs = facts.select(*on, "fact_id", search_terms(F.col("content")).alias("_terms"))
     words = docs.select(*on, "fact_id", F.size("_terms").cast("long").alias("dl"),
                         F.explode("_terms").alias("term"))
-    wanted = terms.select(*on, "term").distinct()
-    hits = salted_join(words, wanted, [*on, "term"], "fact_id")
+    # a hot term is on the left of a semi join, which AQE splits by itself
+    hits = words.join(terms.select(*on, "term").distinct(), [*on, "term"], "left_semi")
     return hits.groupBy(*on, "fact_id", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 

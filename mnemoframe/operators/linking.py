@@ -56,11 +56,10 @@ def mentioned_entities(facts: DataFrame, entities: DataFrame) -> DataFrame:
         F.contains(F.lower("content"), "canonical_name")).select(
         "tenant_id", "fact_id", "entity_id")
     lower = F.lower("content")
-    about_user = facts.where(lower.startswith("user ") | lower.contains(" user ")).select(
-        "tenant_id", "fact_id").join(
-        entities.where(F.col("canonical_name") == "user").select("tenant_id", "entity_id"),
-        "tenant_id")
-    return named.unionByName(about_user)
+    speaking = facts.where(lower.startswith("user ") | lower.contains(" user ")).select(
+        "tenant_id", "fact_id")
+    users = entities.where(F.col("canonical_name") == "user").select("tenant_id", "entity_id")
+    return named.unionByName(salted_join(speaking, users, ["tenant_id"], "fact_id"))
 
 
 def cross_links(new_facts: DataFrame, facts: DataFrame, links: DataFrame, entities: DataFrame,

@@ -10,7 +10,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from mnemoframe.functions import dates, fixed_values as fv, scoring, vectors
-from mnemoframe.operators.grouping import first_per_key, top_k
+from mnemoframe.operators.grouping import salted_join, top_k
 from mnemoframe.operators.lookups import json_field
 from mnemoframe.operators.vector_search import TIE_DIGITS
 
@@ -199,29 +199,25 @@ def history(rows: DataFrame, facts: DataFrame) -> DataFrame:
     versions = facts.select("lineage_id", F.col("fact_id").alias("version_fact_id"),
                             F.col("version").alias("history_version"),
                             F.col("valid_from").alias("history_valid_from"))
-    return rows.select("query_id", "fact_id", "lineage_id").join(versions, "lineage_id").where(
+    wanted = rows.select("query_id", "fact_id", "lineage_id")
+    return salted_join(versions, wanted, ["lineage_id"], "version_fact_id").where(
         F.col("version_fact_id") != F.col("fact_id"))
 
 
 def graph_context(rows: DataFrame, links: DataFrame, entities: DataFrame,
-                  edges: DataFrame) -> DataFrame:
-    """Entities of each result and their edges, one row per edge."""
+                  edges: DataFrame, salts: int = 8) -> DataFrame:
+    """Entities of each result and their edges, one row per edge.
+
+    Edges are salted, so a hub's are read by several tasks.  Each entity also has a
+    row without an edge where its first salt holds none.
+    """
     named = rows.select("query_id", "fact_id").join(
         links.select("fact_id", "entity_id"), "fact_id").join(
-        entities.select("tenant_id", "entity_id", "canonical_name"), "entity_id")
-    touching = edges.select("tenant_id", F.col("source_id").alias("entity_id"), "edge_id",
-                            "relation").unionByName(
-        edges.where(F.col("source_id") != F.col("target_id")).select(
-            "tenant_id", F.col("target_id").alias("entity_id"), "edge_id", "relation"))
-    return named.join(touching, ["tenant_id", "entity_id"], "left")
-
-
-def with_positions(rows: DataFrame, order: list[Column]) -> DataFrame:
-    return rows.withColumn("position", F.row_number().over(
-        Window.partitionBy("query_id").orderBy(*order)))
-
-
-def first_texts(rows: DataFrame) -> DataFrame:
-    """Case-blind distinct contents per query, the first in rank order."""
-    return first_per_key(rows.withColumn("_text", F.lower(F.trim("content"))),
-                         ["query_id", "_text"], [F.col("rank")]).drop("_text")
+        entities.select("tenant_id", "entity_id", "canonical_name"), "entity_id").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    ends = F.array_distinct(F.array("source_id", "target_id"))
+    touching = edges.select("tenant_id", F.explode(ends).alias("entity_id"), "edge_id",
+                            "relation").withColumn(
+        "_salt", F.pmod(F.xxhash64("edge_id"), F.lit(salts)).cast("int"))
+    joined = named.join(touching, ["tenant_id", "entity_id", "_salt"], "left")
+    return joined.where(F.col("edge_id").isNotNull() | (F.col("_salt") == 0)).drop("_salt")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from mnemoframe.functions import vectors
-from mnemoframe.operators.grouping import top_k
+from mnemoframe.operators.grouping import salted_join, top_k
 from mnemoframe.operators.lookups import SCOPE, valid_at
 
 _LEAF = ("topic_match array<string>, keyword_any array<string>, "
@@ -86,7 +86,7 @@ def matched_triggers(queries: DataFrame, triggers: DataFrame, entities: DataFram
     asked = queries.select(*SCOPE, "query_id", "query", F.col("embedding").alias("_query"))
     typed = asked.join(tenant_entity_types(entities), "tenant_id", "left").withColumn(
         "entity_types", F.coalesce("entity_types", F.array().cast("array<string>")))
-    return (typed.join(parsed, list(SCOPE))
+    return (salted_join(typed, parsed, SCOPE, "query_id")
             .where(holds(F.col("_condition"), F.col("query"), F.col("entity_types"),
                          F.col("_query"), F.col("text_vectors"), levels))
             .select("query_id", "trigger_id", "priority"))
@@ -120,7 +120,8 @@ def surfaced_facts(matches: DataFrame, queries: DataFrame, triggers: DataFrame,
         facts.select("tenant_id", "fact_id", "created_at", "valid_until").join(wanted, "fact_id"),
         ["tenant_id", "entity_id"], [F.col("created_at").desc(), F.col("fact_id").desc()],
         FACTS_PER_ENTITY)
-    linked = (newest.where(valid_at()).join(by_entity, ["tenant_id", "entity_id"])
+    linked = (salted_join(by_entity, newest.where(valid_at()), ["tenant_id", "entity_id"],
+                          "query_id")
               .withColumns({"part": F.lit(1), "vector_score": F.lit(0.0)}).select(*out))
     templates = (fired.where(F.col("template_embedding").isNotNull())
                  .join(queries.select("query_id", *SCOPE), "query_id")
