@@ -8,8 +8,8 @@ from mnemoframe.functions import fixed_values as fv
 from mnemoframe.operators.mutations import only_new, union_all
 
 
-def read_parquet(spark: SparkSession, path: str, spread_by: str | None = None) -> DataFrame:
-    """A parquet table; one with fewer splits than cores is spread by a key first.
+def read_parquet(spark: SparkSession, path: str, spread_by: tuple[str, ...] = ()) -> DataFrame:
+    """A parquet table; one with fewer splits than cores is spread by its row key first.
 
     A table of one row group is read by one task, and the text work behind it would
     run there too.  A large table has more splits than cores and is left as it is.
@@ -17,7 +17,7 @@ def read_parquet(spark: SparkSession, path: str, spread_by: str | None = None) -
     df = spark.read.parquet(path)
     cores = spark.sparkContext.defaultParallelism
     if spread_by and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores, spread_by)
+        return df.repartition(cores, *spread_by)
     return df
 
 

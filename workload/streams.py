@@ -75,7 +75,8 @@ def _(t):
     return _run(t, st.flushes(stream, delay="0 seconds")).select("session_id", "batch", "messages", "text")
 
 
-@query("stream_rates")
+@query("stream_rates", """WITH w AS (SELECT 't' || (user_id % 20) AS tenant_id, to_timestamp(floor(epoch(ts) / 10) * 10 - 10 * k)::TIMESTAMP AS w FROM events, LATERAL (SELECT unnest(range(0, 6)) AS k))
+  SELECT tenant_id, strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS requests FROM w WHERE w + INTERVAL 1 MINUTE <= (SELECT time_bucket(INTERVAL '1 millisecond', max(ts)) FROM events) - INTERVAL 1 HOUR GROUP BY ALL""")
 def _(t):
     stream = _stream(t, "events").select(
         F.concat(F.lit("t"), F.col("user_id") % 20).alias("tenant_id"), F.lit("free").alias("plan"), "ts")

@@ -224,7 +224,7 @@ def _(t):
     return ex.windows(t.documents.select("doc_id", "text"), "text").select("doc_id", "index", "total", F.length("segment").alias("chars"), F.sha2("context_window", 256).alias("window_hash"))
 
 
-@query("int8_embeddings")
+@query("int8_embeddings", "SELECT doc_id, octet_length(encode(text)) AS dims, 1.0::DOUBLE AS length FROM documents")
 def _(t):
     return t.documents.select("doc_id", F.col("text")).select("doc_id", vectors.decode_int8(F.base64(F.encode("text", "UTF-8"))).alias("v")).select("doc_id", F.size("v").alias("dims"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")), 4).alias("length"))
 

@@ -16,8 +16,9 @@ from mnemoframe.sources.io import read_parquet
 RAW = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
        "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
-# tables whose rows carry text work, and the key that spreads them
-SPREAD = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
+# tables whose rows carry text work, and the columns that spread them
+SPREAD = {"documents": ("doc_id",), "pages": ("page_id", "url"),
+          "conversations": ("conv_id", "turn")}
 
 NOW = "TIMESTAMP '2024-02-01 00:00:00'"
 AS_OF = "TIMESTAMP '2024-01-15 00:00:00'"
@@ -221,7 +222,7 @@ class Tables:
         if name not in self._cache:
             if name in RAW:
                 self._cache[name] = read_parquet(
-                    self.spark, f"{self.folder}/{name}.parquet", SPREAD.get(name))
+                    self.spark, f"{self.folder}/{name}.parquet", SPREAD.get(name, ()))
             elif name in VIEWS:
                 self._cache[name] = self._view(name)
             else:
