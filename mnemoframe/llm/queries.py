@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mnemoframe.llm import byte_bpe, mixing
-from mnemoframe.llm.common import table
+from mnemoframe.llm import byte_bpe, mixing, token_files
+from mnemoframe.llm.common import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -85,3 +86,15 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op7_token_files")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    docs = table(spark, folder, "documents")
+    encoded = token_files.encode(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    token_files.write(encoded, path, keys=docs)
+    return token_files.read(spark, path).select(
+        "doc_id", "start",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.crc32("ids").alias("ids_crc32"))
