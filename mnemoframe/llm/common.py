@@ -97,15 +97,16 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """Words (runs without ASCII white space) of a batch of texts, as byte ranges.
+    """Words (runs without ASCII white space, or of the bytes given) of a batch of texts.
 
     ``starts`` and ``ends`` are byte positions in ``data``; words of row r have the
-    numbers ``first[r]`` to ``first[r + 1]``, end exclusive.
+    numbers ``first[r]`` to ``first[r + 1]``, end exclusive; its bytes begin at ``at[r]``.
     """
 
-    def __init__(self, texts: pa.Array, lower: bool = False):
+    def __init__(self, texts: pa.Array, lower: bool = False, inside: np.ndarray = ~_SEPARATOR):
         self.data, at = text_bytes(texts)
-        inside = ~_SEPARATOR[self.data]
+        self.at = at
+        inside = inside[self.data]
         cut = np.zeros(len(self.data) + 1, dtype=bool)
         cut[at] = True
         before = np.concatenate(([False], inside[:-1])) if len(inside) else inside

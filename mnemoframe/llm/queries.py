@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mnemoframe.llm import byte_bpe, language, mixing, token_files
+from mnemoframe.llm import byte_bpe, language, mixing, token_files, toxicity
 from mnemoframe.llm.common import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +103,9 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_language")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(table(spark, folder, "documents"))
+
+
+@query("op4_toxicity")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.rate_documents(
+        table(spark, folder, "documents"), table(spark, folder, "labels")).drop("passages")
