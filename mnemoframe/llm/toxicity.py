@@ -119,7 +119,8 @@ def segment_features(docs: DataFrame, model: Model, passages: bool = False) -> D
                 rows.append((total, best, int(b - a), [
                     {"start": int(words.starts[a + i] - origin), "end": int(words.ends[a + j - 1] - origin), "score": s}
                     for i, j, s in above]))
-            columns = [batch.column("key"), *(pa.array([r[i] for r in rows]) for i in range(3))]
+            columns = [batch.column("key"), *(
+                pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.float64(), pa.float64(), pa.int64())))]
             if passages:
                 columns.append(pa.array([r[3] for r in rows], pa.list_(pa.struct([
                     ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))))
