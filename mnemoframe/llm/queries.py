@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mnemoframe.llm import byte_bpe, language, mixing, token_files, toxicity
+from mnemoframe.llm import byte_bpe, language, mixing, pii, token_files, toxicity
 from mnemoframe.llm.common import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,20 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.rate_documents(
         table(spark, folder, "documents"), table(spark, folder, "labels")).drop("passages")
+
+
+@query("op1_pii")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.find(table(spark, folder, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+
+    def of_kind(kind):
+        return lambda s: s["kind"] == kind
+
+    def told(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    return found.select(
+        "doc_id",
+        *[F.size(F.filter(base, of_kind(kind))).cast("long").alias(f"n_{kind}") for kind in pii.KINDS],
+        F.sha2(told(base), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))
