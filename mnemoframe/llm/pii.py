@@ -206,7 +206,7 @@ def _value(tree, names, row) -> float:
 
 
 def fit(featured: DataFrame, most: int = SAMPLE) -> Model:
-    """Gradient boosting on candidates with feature columns and ``base`` (a strict span that passes).
+    """Gradient boosting on candidates with feature columns and ``good``, what they are to predict.
 
     Four fifths of the sample grow the trees; the rest sets each kind's threshold.
     """
@@ -216,7 +216,7 @@ def fit(featured: DataFrame, most: int = SAMPLE) -> Model:
         featured.filter("kind is not null").withColumn("order", order)
         .orderBy("order").limit(most)
         .groupBy(*names, (F.pmod("order", F.lit(5)) == 0).alias("aside"))
-        .agg(F.sum(F.col("base").cast("long")).alias("good"), F.count(F.lit(1)).alias("n"))
+        .agg(F.sum(F.col("good").cast("long")).alias("good"), F.count(F.lit(1)).alias("n"))
         .orderBy(*names, "aside").collect())
     model = Model()
     table = [(tuple(r[n] for n in names), r["aside"], r["good"], r["n"]) for r in counted]
@@ -251,6 +251,13 @@ def find(docs: DataFrame, most: int = SAMPLE) -> DataFrame:
     proposed = store(candidates(docs), "candidates")
     featured = proposed.withColumns(features()).withColumn(
         "base", F.coalesce(F.col("strict") & passes(F.col("kind"), F.col("value")), F.lit(False)))
+    # a candidate that shares characters with a taken span of its kind shows what the kind looks like
+    of_its_kind = Window.partitionBy("row", "kind").orderBy("start")
+    taken = lambda c: F.when(F.col("base"), F.col(c))
+    featured = featured.withColumn("good", F.coalesce(
+        (F.max(taken("end")).over(of_its_kind.rangeBetween(Window.unboundedPreceding, 0)) > F.col("start"))
+        | (F.min(taken("start")).over(of_its_kind.rangeBetween(0, Window.unboundedFollowing)) < F.col("end")),
+        F.lit(False)))
     model = fit(featured, most)
     above = F.lit(False)
     if model.thresholds:
