@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 _SEPARATOR = np.zeros(256, dtype=bool)
@@ -42,7 +42,7 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def fold(doc_id) -> object:
+def fold(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 5; 0 is held out."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(5))
 
@@ -59,6 +59,20 @@ def range_starts(df: DataFrame, column: str, parts: int) -> list:
     return sorted({row["least"], *row["cuts"]}) if row["least"] is not None else []
 
 
+def place(value: Column, starts: list) -> Column:
+    """Number of the range that holds a value: how many of the sorted starts after the first
+    are at or below it."""
+    return _halved(value, starts[1:], 0)
+
+
+def _halved(value: Column, cuts: list, before: int) -> Column:
+    if not cuts:
+        return F.lit(before)
+    half = len(cuts) // 2
+    return F.when(value < F.lit(cuts[half]), _halved(value, cuts[:half], before)).otherwise(
+        _halved(value, cuts[half + 1:], before + half + 1))
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

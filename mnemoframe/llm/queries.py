@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mnemoframe.llm import byte_bpe, language, mixing, pii, token_files, toxicity
+from mnemoframe.llm import byte_bpe, fingerprints, language, mixing, pii, token_files, toxicity
 from mnemoframe.llm.common import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +126,12 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id",
         *[F.size(F.filter(base, of_kind(kind))).cast("long").alias(f"n_{kind}") for kind in pii.KINDS],
         F.sha2(told(base), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))
+
+
+@query("op8_syncmers")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.compare(table(spark, folder, "documents")).select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprints.as_text(F.col("fingerprint")).alias("fingerprint"),
+        fingerprints.as_text(F.col("edited_fingerprint")).alias("edited_fingerprint"),
+        "near_edited", "near_next")
