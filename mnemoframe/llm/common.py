@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -173,3 +174,15 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     for i in range(n):
         total = (total + words[i:i + count]) * np.uint64(0xD6E8FEB86659FD93)
     return mixed(total)
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """For actions within: hand wide rows to Python few at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

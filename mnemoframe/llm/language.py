@@ -90,10 +90,16 @@ def sample(docs: DataFrame, label: Column, most: int = SAMPLE) -> DataFrame:
     """Rows ``text, label``: as many of each label, by the order of a hash of the id."""
     rows = docs.select("doc_id", "text", label.alias("label")).filter(
         "label is not null and text is not null")
-    labels = max(1, rows.select("label").distinct().count())
-    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
-    return rows.withColumn("rank", F.row_number().over(order)).filter(
-        F.col("rank") <= max(1, most // labels)).select("text", "label")
+    counted = rows.groupBy("label").count().collect()
+    each = max(1, most // max(1, len(counted)))
+    # by chance of the hash alone, leave some four times as many of each label before ranking
+    share = F.create_map(*[x for r in counted for x in (F.lit(r["label"]), F.lit(4 * each / r["count"]))])
+    order = Window.partitionBy("label").orderBy("place", "doc_id", F.xxhash64("text"))
+    return (
+        rows.withColumn("place", F.xxhash64("doc_id"))
+        .filter(F.pmod("place", F.lit(1 << 20)) < share[F.col("label")] * (1 << 20) if counted else F.lit(False))
+        .withColumn("rank", F.row_number().over(order))
+        .filter(F.col("rank") <= each).select("text", "label"))
 
 
 def fit(labelled: DataFrame) -> Model | None:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mnemoframe.llm import byte_bpe, fingerprints, language, mixing, pii, token_files, toxicity
+from mnemoframe.llm import byte_bpe, fingerprints, jaccard, language, mixing, pii, token_files, toxicity
 from mnemoframe.llm.common import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,3 +135,8 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
         fingerprints.as_text(F.col("fingerprint")).alias("fingerprint"),
         fingerprints.as_text(F.col("edited_fingerprint")).alias("edited_fingerprint"),
         "near_edited", "near_next")
+
+
+@query("op9_jaccard")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.link(table(spark, folder, "documents"))
