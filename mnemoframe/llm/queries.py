@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mnemoframe.llm import byte_bpe, fingerprints, jaccard, language, mixing, pii, token_files, toxicity
+from mnemoframe.llm import byte_bpe, fingerprints, jaccard, language, mixing, pii, token_files, toxicity, vectors
 from mnemoframe.llm.common import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,3 +140,8 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_jaccard")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.link(table(spark, folder, "documents"))
+
+
+@query("op5_vectors")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return vectors.link(table(spark, folder, "embeddings"))

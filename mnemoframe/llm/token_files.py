@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.datasource import (
     DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage)
 
-from mnemoframe.llm.common import chunks, parallelism, range_starts
+from mnemoframe.llm.common import chunks, parallelism, place, range_starts, text_bytes
 
 FORMAT = "token_records"
 _HEAD = struct.Struct("<QI")
@@ -46,7 +46,7 @@ _OWN = struct.Struct("<?q")
 _TAIL = struct.Struct("<I")
 _ENTRY = struct.Struct("<qQI")
 _MASK = 0xA282EAD8
-_KEPT_WORDS = 300_000
+_KEPT_WORDS = 800_000  # distinct words remembered by a worker; more cost time only
 
 
 def masked_crc(data: bytes) -> int:
@@ -200,31 +200,68 @@ class WordTokenizer:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
-        self._known: dict[str, list[int]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        # the ids of word n are ids[starts[n]:starts[n] + sizes[n]]
+        self._number: dict[str, int] = {}
+        self._ids, self._sizes = np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int32)
+
+    def _learn(self, words: list[str]) -> None:
+        ids, sizes = [self._ids], [self._sizes]
+        for first in range(0, len(words), 20_000):
+            some = words[first:first + 20_000]
+            made = self._tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
+            ids.append(np.array(made.ids, dtype=np.uint32))
+            sizes.append(np.bincount(np.array(made.word_ids, dtype=np.int64), minlength=len(some)).astype(np.int32))
+        self._number.update(zip(words, range(len(self._number), len(self._number) + len(words))))
+        self._ids, self._sizes = np.concatenate(ids), np.concatenate(sizes)
+        self._starts = np.cumsum(self._sizes, dtype=np.int32) - self._sizes
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and where each text's ids begin and end."""
-        split = pc.ascii_split_whitespace(texts.fill_null(""))
+        split = pc.ascii_split_whitespace(_parted(texts))
         words = split.flatten().dictionary_encode()
-        known = self._known
         names = words.dictionary.to_pylist()
+        if len(self._number) + len(names) > _KEPT_WORDS:
+            self._forget()
+        known = self._number
         new = [w for w in names if w not in known]
-        if len(known) + len(new) > _KEPT_WORDS:
-            known.clear()
-            new = names
-        for word, made in zip(new, self._tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            known[word] = made.ids
-        each = [known[w] for w in names]
-        sizes = np.fromiter(map(len, each), dtype=np.int64, count=len(each))
-        flat = np.fromiter((i for ids in each for i in ids), dtype=np.uint32, count=int(sizes.sum()))
-        starts = np.cumsum(sizes) - sizes
+        if new:
+            self._learn(new)
+        number = np.fromiter(map(known.__getitem__, names), dtype=np.int32, count=len(names))
         used = words.indices.to_numpy()
-        lengths = sizes[used]
-        ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = flat[np.arange(total) - np.repeat(ends - lengths - starts[used], lengths)]
+        lengths = self._sizes[number][used]
+        ends = np.cumsum(lengths, dtype=np.int32)
+        place = np.repeat(self._starts[number][used] - ends + lengths, lengths)
+        place += np.arange(len(place), dtype=np.int32)
         at = split.offsets.to_numpy().astype(np.int64) - split.offsets[0].as_py()
-        return ids, np.concatenate(([0], ends))[at]
+        return self._ids[place], np.concatenate(([0], ends)).astype(np.int64)[at]
+
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_LETTER, _MARK = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
+_LETTER[97:123] = True
+_MARK[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) != "'"]] = True
+
+
+def _parted(texts: pa.Array) -> pa.Array:
+    """The texts in lower case (of A-Z), with a space between a letter and a mark after it.
+
+    Such a file ignores case and never joins the two, so the ids are the same; there are
+    fewer different words.  An apostrophe may belong to the letters and stays.
+    """
+    data, at = text_bytes(texts)
+    data = _LOWER[data]
+    gap = np.zeros(len(data) + 1, dtype=bool)
+    if len(data):
+        gap[1:-1] = _LETTER[data[:-1]] & _MARK[data[1:]]
+    gap[at] = False
+    places = np.flatnonzero(gap)
+    moved = (at + np.searchsorted(places, at)).astype(np.int32)
+    return pa.StringArray.from_buffers(
+        len(texts), pa.py_buffer(moved), pa.py_buffer(np.insert(data, places, 32)))
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -245,7 +282,7 @@ def encode(docs: DataFrame, path: str, end_id: int, width: int = 2) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = _tokenizer(path)
-        for batch in chunks(batches):
+        for batch in chunks(batches, most=8 << 20):  # words repeat more in longer stretches
             ids, at = made.encode(batch.column("text"))
             if len(ids) and int(ids.max()) >= 1 << 8 * width:
                 raise ValueError(f"an id does not fit in {width} bytes")
@@ -269,10 +306,7 @@ def write(encoded: DataFrame, path: str, keys: DataFrame, width: int = 2) -> Non
     spark.dataSource.register(TokenRecords)
     parts = parallelism(spark)
     starts = range_starts(keys, "doc_id", parts)
-    part = F.lit(0)
-    if len(starts) > 1:
-        # the number of starts at or below an id, found by halving the sorted list
-        part = _place(F.col("doc_id"), starts[1:], 0)
+    part = place(F.col("doc_id"), starts)
     (encoded.withColumn("part", F.coalesce(part, F.lit(0)).cast("int"))
      .repartitionById(max(1, len(starts)), F.col("part"))
      .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
@@ -280,14 +314,6 @@ def write(encoded: DataFrame, path: str, keys: DataFrame, width: int = 2) -> Non
      .write.format(FORMAT).mode("append").option("path", path).option("width", width).save())
 
 
-def _place(value, starts: list, before: int):
-    if not starts:
-        return F.lit(before)
-    half = len(starts) // 2
-    return F.when(value < F.lit(starts[half]), _place(value, starts[:half], before)).otherwise(
-        _place(value, starts[half + 1:], before + half + 1))
-
-
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Rows ``doc_id, start, ids``: ids as little-endian unsigned 32-bit integers; ``start`` counts
     the ids of all documents before."""
