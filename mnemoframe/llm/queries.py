@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mnemoframe.llm import byte_bpe, fingerprints, jaccard, language, mixing, pii, token_files, toxicity, vectors
+from mnemoframe.llm import byte_bpe, fingerprints, jaccard, language, mixing, pii, substrings, token_files, toxicity, vectors
 from mnemoframe.llm.common import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -145,3 +145,9 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_vectors")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.link(table(spark, folder, "embeddings"))
+
+
+@query("op3_substrings")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.remove(table(spark, folder, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
