@@ -8,10 +8,15 @@ from mnemoframe.llm import stages
 from mnemoframe.llm.common import store, table
 
 STAGES = [
+    ("language", stages.keep_known_languages),
+    ("near duplicates", stages.drop_near_duplicates),
+    ("personal data", stages.redact_personal_data),
     ("source mix", stages.mix_sources),
+    ("byte-level BPE", stages.encode_tokens),
 ]
 
-ORACLE_SQL = None  # learned and hashed decisions: tested against brute force instead
+# Learned languages and spans and the merges of a vocabulary have no SQL: tested against brute force
+ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -137,10 +137,10 @@ def fit(labelled: DataFrame) -> Model | None:
     return model
 
 
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """Rows ``doc_id, lang_pred, score, ambiguous`` for each row of ``docs`` (``doc_id, text``)."""
+def predict(docs: DataFrame, model: Model | None, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Each row of ``docs``: the columns to carry, and ``lang_pred, score, ambiguous`` of its ``text``."""
     schema = T.StructType([
-        docs.schema["doc_id"], T.StructField("lang_pred", T.StringType()),
+        *(docs.schema[c] for c in carry), T.StructField("lang_pred", T.StringType()),
         T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,10 +159,10 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 if chance.shape[1] > 1:
                     close |= ranked[:, -1] - ranked[:, -2] < CLOSE
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(names, pa.string()), pa.array(score), pa.array(close)],
+                [*(batch.column(c) for c in carry), pa.array(names, pa.string()), pa.array(score), pa.array(close)],
                 schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*carry, "text"])).mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame, most: int = SAMPLE) -> DataFrame:

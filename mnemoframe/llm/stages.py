@@ -1,21 +1,66 @@
-"""Pipeline stages: each takes ``(spark, docs, sf_dir)`` and applies one operator to docs."""
+"""Pipeline stages: each takes ``(spark, docs, sf_dir)`` and applies one operator to ``docs``.
+
+All but the last return the columns of ``documents``; other columns of ``docs`` go.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from mnemoframe.llm import mixing
+from mnemoframe.llm import byte_bpe, jaccard, language, mixing, pii
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents without a language: null texts and texts without a letter.
+
+    Ambiguous texts stay.  Learned from the labelled rows of ``docs``; where none is
+    labelled, all texts with a letter stay.
+    """
+    model = language.fit(language.sample(docs, F.col("lang")))
+    if model is None:
+        return docs.filter(F.col("text").rlike("\\p{L}")).select(*COLUMNS)
+    return language.predict(docs, model, COLUMNS).filter(
+        F.col("lang_pred") != language.UNKNOWN).select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents connected by a similarity of 0.8 or more on five-word shingles, keep
+    the one with the least id; of rows with that id, one.  Rows without an id or a word stay."""
+    linked = jaccard.link(docs, n=5, percent=80)
+    kept = linked.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    one = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text", "lang", "source", "n_chars"))
+    return (
+        docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi")
+        .withColumn("_nth", one).filter("_nth = 1").select(*COLUMNS)
+        .union(docs.filter("doc_id is null").select(*COLUMNS)))
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace personal data by its kind in brackets; ``n_chars`` is that of the new text."""
+    keyed = docs.select(F.struct("doc_id", F.xxhash64("text").alias("twin")).alias("doc_id"), "text")
+    found = (
+        pii.find(keyed).filter(F.size("spans") > 0)
+        .select(F.col("doc_id.doc_id").alias("id"), F.col("doc_id.twin").alias("twin"), "spans")
+        .dropDuplicates(["id", "twin"]))
+    text = F.coalesce(F.when(F.col("spans").isNotNull(), pii.redact(F.col("text"), F.col("spans"))), F.col("text"))
+    return (
+        docs.select(*COLUMNS)
+        .join(found, F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("twin")), "left")
+        .withColumn("text", text)
+        .withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(
+            F.length("text").cast(docs.schema["n_chars"].dataType)))
+        .select(*COLUMNS))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat or drop documents so that the words of each source come near its target.
 
     A document stays as often as the mix takes its words, to the nearest whole number
     (half a document counts as one).  Rows without words take no part in a mix and go.
     """
-    twin = F.xxhash64("text")
     times = (
         mixing.mix(docs).filter("taken > 0")
         .select(F.col("doc_id").alias("id"), "twin", F.expr(
@@ -24,9 +69,18 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         # equal rows share their copies; any of them stands for all
         .groupBy("id", "twin").agg(F.sum("times").alias("times"))
     )
-    one = docs.withColumn("twin", twin).dropDuplicates(["doc_id", "twin"])
+    one = docs.select(*COLUMNS, F.xxhash64("text").alias("own")).dropDuplicates(["doc_id", "own"])
     return (
-        one.join(times, F.col("doc_id").eqNullSafe(F.col("id")) & (one["twin"] == times["twin"]))
+        one.join(times, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("twin")))
         .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
         .select(*COLUMNS)
     )
+
+
+def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows ``doc_id, n_tokens, ids, decoded_sha256``: the token ids of each text, and a digest of the
+    bytes that they decode to."""
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ids = byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN)
+    return byte_bpe.decode(ids, ranks).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
