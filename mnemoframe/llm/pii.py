@@ -45,7 +45,7 @@ LOOSE = {
     "email": rf"(?:\G|(?<![{_NAME}]))[{_NAME}]++{_AT}{_DOMAIN}(?:{_DOT}{_DOMAIN}){{1,8}}",
     "ip": r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{0,4}){3,7}(?![0-9A-Fa-f:])",
     "card": r"(?<![0-9])[0-9](?:[\x20._/\-]{0,2}[0-9]){12,18}(?![0-9])",
-    "phone": r"(?<![0-9+])(?<![0-9][\x20./\-])(?:00[1-9][0-9]{0,2}|\(?[0-9]{2,4}\)?)[\x20./\-]\x20?[0-9]{3,4}[\x20./\-][0-9]{3,4}(?![\x20./\-]?[0-9])",
+    "phone": r"(?<![0-9+])(?<![0-9][./\-])(?:00[1-9][0-9]{0,2}|\(?[0-9]{2,4}\)?)[\x20./\-]\x20?[0-9]{3,4}[\x20./\-][0-9]{3,4}(?![\x20./\-]?[0-9])",
 }
 # what a text must hold for a pattern to be worth trying
 _NEEDS = {"email": "@|[\\[({]\\x20?at\\x20?[\\])}]", "ip": "[0-9]\\.[0-9]|[0-9A-Fa-f]:", "card": "[0-9]", "phone": "[0-9]"}
