@@ -32,7 +32,7 @@ from mnemoframe.llm.components import components
 
 BLOCK = 8  # dimensions of a block
 CELL = 10_000  # vectors that a cell and those around it should have at most
-CHUNK = 2048
+CHUNK = 8192
 _SLACK = 1e-9
 _ROTATIONS: dict[int, np.ndarray] = {}
 
@@ -44,15 +44,20 @@ def _rotation(size: int) -> np.ndarray:
     return _ROTATIONS[size]
 
 
-def _unit(keys: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(keys), dtype=np.float64).reshape(len(keys), -1)
+def _unit(keys: list[bytes], kind: str) -> np.ndarray:
+    x = np.frombuffer(b"".join(keys), dtype=kind).reshape(len(keys), -1).astype(np.float64)
     # scaled first, so that squares neither vanish nor overflow
     x = x / np.abs(x).max(1, keepdims=True)
-    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+    return x / np.sqrt((x * x).sum(1))[:, None]
+
+
+def _kind(vectors: DataFrame, column: str) -> str:
+    return "<f4" if isinstance(vectors.schema[column].dataType.elementType, T.FloatType) else "<f8"
 
 
 def keyed(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
-    """Rows ``id, key``: the components as doubles, or null where a vector links with nothing."""
+    """Rows ``id, key``: the bytes of the components, or null where a vector links with nothing."""
+    kind = _kind(vectors, vector_column)
     schema = T.StructType([T.StructField("id", vectors.schema[id_column].dataType), T.StructField("key", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,13 +66,13 @@ def keyed(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
             for v in batch.column(1):
                 x = None if not v.is_valid or v.values.null_count else v.values.to_numpy(zero_copy_only=False)
                 good = x is not None and len(x) and np.isfinite(x).all() and np.any(x)
-                keys.append((x.astype(np.float64) + 0.0).tobytes() if good else None)
+                keys.append((x + 0.0).astype(kind).tobytes() if good else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary())], ["id", "key"])
 
     return vectors.select(id_column, vector_column).mapInArrow(run, schema)
 
 
-def seats(classes: DataFrame, distance: float, grid: int) -> DataFrame:
+def seats(classes: DataFrame, kind: str, distance: float, grid: int) -> DataFrame:
     """Rows ``id, n, key, block, cell, guest``: the home of each class in each block, and its visits."""
     schema = T.StructType([*classes.select("id", "n", "key").schema.fields, T.StructField("block", T.IntegerType()),
                            T.StructField("cell", T.LongType()), T.StructField("guest", T.IntegerType())])
@@ -98,8 +103,9 @@ def seats(classes: DataFrame, distance: float, grid: int) -> DataFrame:
                 batch = whole.slice(begin, 500)
                 take, blocks, cells, guests = [], [], [], []
                 for row, key in enumerate(batch.column("key").to_pylist()):
-                    size = len(key) // 8
-                    spots = (_unit([key]) @ _rotation(size))[0]
+                    spots = _unit([key], kind)[0]
+                    size = len(spots)
+                    spots = spots @ _rotation(size)
                     for block, first in enumerate(range(0, size, BLOCK)):
                         part = spots[first:first + BLOCK]
                         width = np.sqrt(distance * len(part) / size)
@@ -116,31 +122,39 @@ def seats(classes: DataFrame, distance: float, grid: int) -> DataFrame:
     return classes.select("id", "n", "key").mapInArrow(run, schema)
 
 
-def _near(x: np.ndarray, y: np.ndarray, cosine: float, distance: float, block: int) -> np.ndarray:
-    """Mask of the pairs that link and for which this is the first block within its share."""
+def _pairs(x: np.ndarray, y: np.ndarray, cosine: float, distance: float, block: int, own: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (rows of x, rows of y) that link and for which this is the first block within its
+    share; of a chunk with itself, each pair once."""
     size = x.shape[1]
     turn = _rotation(size)
-    found = x @ y.T >= cosine - _SLACK
-    unsure = []
-    for number, first in enumerate(range(0, BLOCK * (block + 1), BLOCK)):
-        part = turn[:, first:first + BLOCK]
-        share = distance * part.shape[1] / size
-        a, b = x @ part, y @ part
-        apart = (a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * (a @ b.T)
-        low, high = apart <= share - _SLACK, apart <= share + _SLACK
-        found &= high if number == block else ~low
-        unsure.append(high & ~low)
-    # what rounding could decide is taken again, pair by pair in one way
-    close = found & (np.any(unsure, axis=0) | (x @ y.T < cosine + _SLACK))
-    for i, j in zip(*np.nonzero(close)):
-        gap = (x[i] - y[j]) @ turn
-        shares = [distance * len(gap[k:k + BLOCK]) / size for k in range(0, size, BLOCK)]
-        within = [float(np.sum(gap[k:k + BLOCK] ** 2)) <= s + 1e-12 for k, s in zip(range(0, size, BLOCK), shares)]
-        found[i, j] = within[block] and not any(within[:block]) and float(np.sum(x[i] * y[j])) >= cosine
-    return found
-
-
-def _count(cosine: float, distance: float):
+    firsts = range(0, size, BLOCK)
+    shares = np.array([distance * len(turn[k:k + BLOCK]) / size for k in firsts])
+    rx, ry = x @ turn, y @ turn
+    a, b = (r[:, block * BLOCK:(block + 1) * BLOCK] for r in (rx, ry))
+    # one product gives the squared distances within the block
+    a = np.column_stack((-2 * a, (a * a).sum(1), np.ones(len(a))))
+    b = np.column_stack((b, np.ones(len(b)), (b * b).sum(1))).T
+    out = [(np.zeros(0, dtype=np.int64),) * 2]
+    for first in range(0, len(x), 64):
+        i, j = np.nonzero(a[first:first + 64] @ b <= shares[block] + _SLACK)
+        i += first
+        if own:
+            i, j = i[j > i], j[j > i]
+        for at in range(0, len(i), 20_000):
+            p, q = i[at:at + 20_000], j[at:at + 20_000]
+            alike = (x[p] * y[q]).sum(1) >= cosine
+            p, q = p[alike], q[alike]
+            within = np.add.reduceat((rx[p] - ry[q]) ** 2, firsts, axis=1) - shares
+            good = (within[:, block] <= 0) & ~(within[:, :block] <= 0).any(1)
+            # what rounding could decide is taken again, pair by pair in one way
+            for n in np.flatnonzero((np.abs(within[:, :block + 1]) < _SLACK).any(1)):
+                gap = np.add.reduceat(np.einsum("i,ij->j", x[p[n]] - y[q[n]], turn) ** 2, firsts) - shares
+                good[n] = gap[block] <= 1e-12 and not (gap[:block] <= 1e-12).any()
+            out.append((p[good], q[good]))
+    return tuple(np.concatenate(z) for z in zip(*out))
+
+
+def _count(kind: str, cosine: float, distance: float):
     kinds = pa.schema([("id", pa.int64()), ("links", pa.int64()), ("other", pa.int64())])
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -161,18 +175,12 @@ def _count(cosine: float, distance: float):
         links = np.zeros(len(every), dtype=np.int64)
         label = np.arange(len(every))
         for xs, ys in by_size.values():
-            if not xs or not ys or (own and len(xs) < 2) or block * BLOCK >= len(xs[0][1]) // 8:
+            if not xs or not ys or (own and len(xs) < 2) or block * BLOCK >= len(xs[0][1]) // np.dtype(kind).itemsize:
                 continue
             a, b = (np.array([r for r, _ in s]) for s in (xs, ys))
-            x, y = (_unit([d for _, d in s]) for s in (xs, ys))
-            pairs = []
-            for first in range(0, len(x), 256):
-                mask = _near(x[first:first + 256], y, cosine, distance, block)
-                if own:
-                    mask &= np.arange(len(y))[None] > np.arange(first, first + len(mask))[:, None]
-                p, q = np.nonzero(mask)
-                pairs.append((a[p + first], b[q]))
-            p, q = (np.concatenate(z) for z in zip(*pairs))
+            x, y = (_unit([d for _, d in s], kind) for s in (xs, ys))
+            p, q = _pairs(x, y, cosine, distance, block, own)
+            p, q = a[p], b[q]
             np.add.at(links, p, copies[1][q])
             q = q if own else q + len(ids[0])
             np.add.at(links, q, copies[0][p])
@@ -192,14 +200,14 @@ def _count(cosine: float, distance: float):
 
 def link(vectors: DataFrame, cosine: float = 0.95, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """Rows ``vec_id, n_links, component_id, kept`` for each row of ``vectors``; ids are whole numbers."""
-    distance = 2 - 2 * cosine
+    distance, kind = 2 - 2 * cosine, _kind(vectors, vector_column)
     rows = store(keyed(vectors, id_column, vector_column), "vectors")
     classes = store(
         rows.filter("key is not null and id is not null").groupBy("key").agg(
             F.min("id").cast("long").alias("id"), F.count(F.lit(1)).alias("n")), "classes")
     # two vectors at random are in the same or touching cells in about 4 of 10 cases a dimension
     grid = int(np.clip(np.ceil(np.log(max(1, classes.count()) / CELL) / np.log(2.5)), 1, BLOCK))
-    placed = store(seats(classes, distance, grid), "seats")
+    placed = store(seats(classes, kind, distance, grid), "seats")
     counts = (
         placed.groupBy("block", "cell").agg(
             F.sum((F.col("guest") == 0).cast("long")).alias("homes"), F.sum("guest").alias("guests"))
@@ -226,7 +234,7 @@ def link(vectors: DataFrame, cosine: float = 0.95, id_column: str = "vec_id", ve
         "block", "cell", "task.*", "id", "n", "key")
     found = store(
         tasks.groupBy("block", "cell", "i", "j", "visits").applyInArrow(
-            _count(cosine, distance), "id long, links long, other long"), "links")
+            _count(kind, cosine, distance), "id long, links long, other long"), "links")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     joined = components(found.select(F.col("id").alias("a"), F.col("other").alias("b")))
     member = rows.join(classes.select("key", F.col("id").alias("chief"), "n"), "key", "left")
