@@ -21,16 +21,12 @@ MAX_ENTITIES = 500
 BM25_K1 = 1.2
 BM25_B = 0.75
 SEGMENT_CHARS = 800
-SEGMENT_MIN_INPUT = 3500
-SEGMENT_MAX = 6
 SEGMENTS_BEFORE = 2
 SEGMENTS_AFTER = 1
 FLUSH_MESSAGES = 5
 FLUSH_IDLE_SECONDS = 30
 SESSION_GAP_MINUTES = 30
 SCRATCHPAD_CHARS = 5000
-BATCH_QUERIES = 50
-EXPORT_CAP = 10000
 
 SIGNALS = ("vector", "keyword", "graph", "recency", "salience", "temporal")
 DEFAULT_WEIGHTS = {
@@ -213,9 +209,16 @@ STATEMENT_RULES = (
 ROLE_PREFIX = r"^[a-zA-Z_\-]+:\s*"
 HTML_TAG = r"<[^>]*>"
 PRIORITY_LEAD_IN = r"(?i)^User('s)?\s+(plans|added|believes|is planning|wants)\s+"
-CONTEXT_BEFORE = (
-    "[PRECEDING CONTEXT — use this to resolve pronouns, references, and temporal "
-    "expressions in the current segment]"
+
+# --- files of a code tree ----------------------------------------------------
+SOURCE_ENTRY_NAMES = (
+    r"index\.(ts|tsx|js|jsx)$", r"main\.(ts|tsx|js|py|rs)$", r"app\.(ts|tsx|js)$",
+    r"server\.(ts|tsx|js)$", r"routes?\.(ts|tsx|js)$", r"schema\.(ts|sql|prisma)$",
+    r"config\.(ts|js)$", r"lib\.rs$", r"mod\.rs$",
+)
+SKIPPED_FOLDERS = (
+    "node_modules", ".git", "dist", "build", ".next", ".turbo", ".cache",
+    "coverage", ".DS_Store", "pnpm-lock.yaml", "bun.lock", "package-lock.json",
+    "yarn.lock", "__pycache__", ".venv", "venv", "target",
 )
-CONTEXT_CURRENT = "[CURRENT SEGMENT — extract facts from this]"
-CONTEXT_AFTER = "[FOLLOWING CONTEXT]"
+SOURCE_EXTENSIONS = r"\.(ts|tsx|js|jsx|py|rs|go|java|rb|swift|kt|vue|svelte)$"

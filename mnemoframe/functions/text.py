@@ -160,6 +160,11 @@ def priority_label(content: Column) -> Column:
     return F.regexp_replace(short, r"\s+\S*$", "")
 
 
+CONTEXT_BEFORE = "[Earlier sentences, to tell what words here refer to]"
+CONTEXT_HERE = "[Sentences to read facts from]"
+CONTEXT_AFTER = "[Later sentences]"
+
+
 def segments(text: Column, size: int = fv.SEGMENT_CHARS) -> Column:
     """Whole sentences packed greedily into segments of about ``size`` characters."""
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
@@ -182,33 +187,26 @@ def segments(text: Column, size: int = fv.SEGMENT_CHARS) -> Column:
     return F.aggregate(F.split(text, r"(?<=[.!?])\s+"), start, pack, close)
 
 
-def enriched_segments(text: Column, parts: Column, before: int = fv.SEGMENTS_BEFORE, after: int = fv.SEGMENTS_AFTER,
-                      min_input: int = fv.SEGMENT_MIN_INPUT,
-                      max_segments: int = fv.SEGMENT_MAX) -> Column:
+def enriched_segments(text: Column, parts: Column, before: int = fv.SEGMENTS_BEFORE,
+                      after: int = fv.SEGMENTS_AFTER) -> Column:
     """Array of ``(index, total, segment, context_window)`` for the extraction prompt.
 
     ``parts`` is the ``segments`` column, computed in an earlier projection so the
-    packing runs once per text.
+    packing runs once per text.  A text of one segment is its own window; a text
+    without a sentence is one empty segment.
     """
-    kept = F.least(F.size(parts), F.lit(max_segments))
-
-    def window(i: Column) -> Column:
-        head = F.slice(parts, F.greatest(i - before, F.lit(0)) + 1, F.least(i, F.lit(before)))
-        tail = F.slice(parts, i + 2, F.lit(after))
-        segment = F.element_at(parts, i + 1)
-        context = F.concat(
-            F.when(F.size(head) > 0, F.concat(
-                F.lit(fv.CONTEXT_BEFORE + "\n"), F.array_join(head, "\n"),
-                F.lit("\n\n"))).otherwise(F.lit("")),
-            F.lit(fv.CONTEXT_CURRENT + "\n"), segment,
-            F.when(F.size(tail) > 0, F.concat(
-                F.lit("\n\n" + fv.CONTEXT_AFTER + "\n"), F.array_join(tail, "\n")))
-            .otherwise(F.lit("")))
-        return F.struct(i.alias("index"), kept.alias("total"), segment.alias("segment"),
-                        context.alias("context_window"))
+    count = F.size(parts)
+
+    def block(title: str, some: Column) -> Column:
+        return F.when(F.size(some) > 0, F.concat(F.lit(title + "\n"), F.array_join(some, "\n")))
+
+    def window(segment: Column, i: Column) -> Column:
+        context = F.concat_ws("\n\n", block(
+            CONTEXT_BEFORE, F.slice(parts, F.greatest(i - before, F.lit(0)) + 1, F.least(i, F.lit(before)))), block(
+            CONTEXT_HERE, F.array(segment)), block(CONTEXT_AFTER, F.slice(parts, i + 2, F.lit(after))))
+        return F.struct(i.alias("index"), count.alias("total"), segment.alias("segment"),
+                        F.when(count == 1, segment).otherwise(context).alias("context_window"))
 
     whole = F.array(F.struct(F.lit(0).alias("index"), F.lit(1).alias("total"),
                              text.alias("segment"), text.alias("context_window")))
-    return F.when(F.length(text) < min_input, whole).otherwise(
-        F.transform(F.sequence(F.lit(0), kept - 1), window))
-
+    return F.when(count == 0, whole).otherwise(F.transform(parts, window))

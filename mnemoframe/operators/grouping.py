@@ -36,7 +36,7 @@ def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], spread_by:
 
 
 def keyset_page(df: DataFrame, requests: DataFrame, scope_keys: Sequence[str], ts: str,
-                row_id: str, newest_first: bool = True, max_limit: int = 100) -> DataFrame:
+                row_id: str, newest_first: bool = True) -> DataFrame:
     """One page per request row, with a ``has_more`` flag.
 
     ``requests`` holds ``page_id``, the scope keys, ``page_limit`` and the cursor
@@ -53,7 +53,8 @@ def keyset_page(df: DataFrame, requests: DataFrame, scope_keys: Sequence[str], t
             (F.col(ts) == F.col("cursor_ts")) & (F.col(row_id) > F.col("cursor_id")))
         order = [F.col(ts).asc(), F.col(row_id).asc()]
     pairs = pairs.where(F.col("cursor_ts").isNull() | after)
-    probed = top_k(pairs, ["page_id"], order, max_limit + 1, rank="position")
+    ranked = F.row_number().over(Window.partitionBy("page_id").orderBy(*order))
+    probed = pairs.withColumn("position", ranked).where(F.col("position") <= F.col("page_limit") + 1)
     more = F.max("position").over(Window.partitionBy("page_id"))
     return (probed.withColumn("has_more", more > F.col("page_limit"))
             .where(F.col("position") <= F.col("page_limit")))

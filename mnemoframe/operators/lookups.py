@@ -46,20 +46,19 @@ def lineage_versions(facts: DataFrame, lineages: DataFrame) -> DataFrame:
 
 def scope_pages(facts: DataFrame, requests: DataFrame, include_invalid: bool = True) -> DataFrame:
     rows = facts if include_invalid else facts.where(valid_at())
-    return keyset_page(rows, requests, SCOPE, "created_at", "fact_id", max_limit=fv.PAGE_MAX)
+    return keyset_page(rows, requests, SCOPE, "created_at", "fact_id")
 
 
 def entity_pages(entities: DataFrame, requests: DataFrame) -> DataFrame:
     """Entities of a tenant, oldest first."""
     return keyset_page(entities, requests, ("tenant_id",), "created_at", "entity_id",
-                       newest_first=False, max_limit=fv.PAGE_MAX)
+                       newest_first=False)
 
 
 def entity_fact_pages(facts: DataFrame, links: DataFrame, requests: DataFrame) -> DataFrame:
     """Facts linked to an entity, newest first, closed versions included."""
     linked = links.select("entity_id", "fact_id").join(facts, "fact_id")
-    return keyset_page(linked, requests, ("tenant_id", "entity_id"), "created_at", "fact_id",
-                       max_limit=fv.PAGE_MAX)
+    return keyset_page(linked, requests, ("tenant_id", "entity_id"), "created_at", "fact_id")
 
 
 def entities_of_facts(links: DataFrame, entities: DataFrame, keys: DataFrame) -> DataFrame:
@@ -79,11 +78,6 @@ def incident_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
             .withColumnRenamed("_node", "entity_id"))
 
 
-def page_size(requested: int | None) -> int:
-    """Page limit clamped to 1..100, 20 by default."""
-    return max(1, min(fv.PAGE_MAX, requested if requested is not None else fv.PAGE_DEFAULT))
-
-
 def search_limit(requested: int | None) -> int:
     return min(fv.DEFAULT_LIMIT if requested is None else requested, fv.MAX_LIMIT)
 
@@ -107,11 +101,9 @@ def keys_allowing(api_keys: DataFrame, scope: str, now: Column) -> DataFrame:
     return api_keys.where(F.col("active") & live & allowed)
 
 
-def active_sessions(sessions: DataFrame, recent: int = 5) -> DataFrame:
-    """Newest open session among the latest few of each scope."""
-    latest = top_k(sessions, SCOPE,
-                   [F.col("started_at").desc(), F.col("session_id").desc()], recent)
-    return top_k(latest.where(F.col("ended_at").isNull()), SCOPE,
+def active_sessions(sessions: DataFrame) -> DataFrame:
+    """Newest open session of each scope."""
+    return top_k(sessions.where(F.col("ended_at").isNull()), SCOPE,
                  [F.col("started_at").desc(), F.col("session_id").desc()], 1)
 
 

@@ -9,20 +9,17 @@ from mnemoframe.functions.text import priority_label, profile_category
 from mnemoframe.operators.grouping import first_per_key, top_k
 from mnemoframe.operators.lookups import SCOPE, json_field, not_dismissed, valid_at, with_priority
 
-PROFILE_FACTS = 100
 STATIC_IMPORTANCE = 0.7
 STATIC_DAYS = 7
 
 
-def user_profiles(facts: DataFrame, now: Column, newest: int = PROFILE_FACTS) -> DataFrame:
-    """Stable and changing facts of every user, from the newest hundred of each.
+def user_profiles(facts: DataFrame, now: Column) -> DataFrame:
+    """Stable and changing facts of every user, from all that are valid.
 
     ``part`` is static for important facts older than a week, else dynamic; static
     facts are placed by importance, dynamic ones by recency.
     """
-    recent = top_k(facts.where(F.col("scope") == "user"), SCOPE,
-                   [F.col("created_at").desc(), F.col("fact_id").desc()], newest)
-    shown = recent.where(valid_at()).withColumn(
+    shown = facts.where((F.col("scope") == "user") & valid_at()).withColumn(
         "last_updated", F.max("created_at").over(Window.partitionBy(*SCOPE))).where(
         ~F.array_contains("tags", "raw_chunk"))
     static = (F.col("importance") >= STATIC_IMPORTANCE) & (
@@ -42,11 +39,11 @@ def greeting_facts(facts: DataFrame, items: int = 15, max_chars: int = 150,
     rows = facts.where(valid_at() & (F.col("scope") == "user"))
     rows = (rows.where(F.col("content").ilike(f"%{about}%")) if about
             else rows.where(F.col("importance") >= min_importance))
-    best = top_k(rows, SCOPE, [F.col("importance").desc(), F.col("created_at").desc(),
-                               F.col("fact_id")], items, rank="rank")
-    texts = best.withColumn("_text", F.lower(F.trim("content")))
-    once = first_per_key(texts, [*SCOPE, "_text"], [F.col("rank")])
-    return once.where(F.length("content") <= max_chars).drop("_text")
+    best = [F.col("importance").desc(), F.col("created_at").desc(), F.col("fact_id")]
+    short = rows.where(F.length("content") <= max_chars).withColumn(
+        "_text", F.xxhash64(*SCOPE, F.lower(F.trim("content"))))
+    once = first_per_key(short, [*SCOPE, "_text"], best)
+    return top_k(once, SCOPE, best, items, rank="rank").drop("_text")
 
 
 def priority_labels(facts: DataFrame) -> DataFrame:

@@ -11,10 +11,11 @@ from mnemoframe.operators.lookups import SCOPE, valid_at
 _LEAF = ("topic_match array<string>, keyword_any array<string>, "
          "entity_present array<string>, "
          "semantic_similarity struct<text:string, threshold:double>")
+_STRING = r'"(?:[^"\\]|\\.)*"'
+_SEMANTIC = rf'"semantic_similarity"\s*:\s*\{{(?:[^{{}}"]|{_STRING})*\}}'
 NESTING = 3
 TEMPLATE_MATCHES = 5
 FACTS_PER_ENTITY = 10
-ENTITY_PROBE = 100
 
 
 def condition_schema(levels: int = NESTING) -> str:
@@ -28,9 +29,13 @@ def condition_schema(levels: int = NESTING) -> str:
 
 def parse_condition(text: Column, levels: int = NESTING) -> Column:
     """Condition struct of a JSON text; a deeper nesting is an error, not a no-match."""
-    deeper = r'"(AND|OR)"\s*:\s*\[[^\]]*' * (levels + 1)
+    # texts and leaf objects go first; then each pass takes away the innermost conditions
+    bare = F.regexp_replace(text, _SEMANTIC, "0")
+    bare = F.regexp_replace(bare, _STRING, "0")
+    for _ in range(levels + 1):
+        bare = F.regexp_replace(bare, r"\{[^{}]*\}", "0")
     return F.from_json(
-        F.when(text.rlike(deeper), F.raise_error(
+        F.when(bare.contains("{"), F.raise_error(
             F.concat(F.lit("trigger condition is nested too deep: "), text))).otherwise(text),
         condition_schema(levels))
 
@@ -71,10 +76,9 @@ def holds(condition: Column, query: Column, entity_types: Column, query_vector:
             .otherwise(leaf))
 
 
-def tenant_entity_types(entities: DataFrame, probe: int = ENTITY_PROBE) -> DataFrame:
-    """Lower-case types among the oldest ``probe`` entities of each tenant."""
-    oldest = top_k(entities, ["tenant_id"], [F.col("created_at"), F.col("entity_id")], probe)
-    return oldest.groupBy("tenant_id").agg(
+def tenant_entity_types(entities: DataFrame) -> DataFrame:
+    """Lower-case types of the entities of each tenant."""
+    return entities.groupBy("tenant_id").agg(
         F.collect_set(F.lower("entity_type")).alias("entity_types"))
 
 

@@ -46,12 +46,14 @@ def local_session(app: str = "mnemoframe", cpus: int | str = "*") -> SparkSessio
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder the cluster names.
 
-    A folder of our own is set only when the session names none, which is the
-    case in tests.
+    A folder of our own is set only in a local session that names none, as in tests;
+    on a cluster the session has to name one.
     """
     spark = df.sparkSession
     shared = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="mnemoframe-ckpt-"))
     return df.checkpoint()

@@ -113,23 +113,17 @@ def transcript_stream(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(TRANSCRIPT).json(path)
 
 
-SOURCE_PRIORITY = ("README", "package.json", "main", "index", "app", "server", "config")
+def key_source_files(spark: SparkSession, root: str, depth: int, top: int) -> DataFrame:
+    """The ``top`` source files of a code tree worth reading first: entry files, then the smallest.
 
-
-def key_source_files(spark: SparkSession, root: str, depth: int = 4, top: int = 15) -> DataFrame:
-    """Files of a code tree worth reading first: known names, then the largest."""
+    Hidden folders and files do not count; ``depth`` is the number of folders below the root.
+    """
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
              .select("path", "length"))
     relative = F.split_part(F.col("path"), F.lit(root.rstrip("/") + "/"), F.lit(-1))
-    level = F.size(F.split(relative, "/"))
-    name = F.element_at(F.split("path", "/"), -1)
-    place = F.lit(len(SOURCE_PRIORITY))
-    for i, word in reversed(list(enumerate(SOURCE_PRIORITY))):
-        place = F.when(F.lower(name).startswith(word.lower()), F.lit(i)).otherwise(place)
-    return (files.where(level <= depth).withColumn("priority", place)
-            .orderBy("priority", F.col("length").desc(), "path").limit(top))
-
-
-def capped(rows: DataFrame, order: str, cap: int = fv.EXPORT_CAP) -> DataFrame:
-    """The download form of an export: the first ``cap`` rows."""
-    return rows.orderBy(order).limit(cap)
+    parts = F.split(relative, "/")
+    name = F.element_at(parts, -1)
+    entry = F.when(name.rlike("|".join(fv.SOURCE_ENTRY_NAMES)), 0).otherwise(1)
+    shown = ~F.exists(parts, lambda p: p.startswith(".") | p.isin(*fv.SKIPPED_FOLDERS))
+    return (files.where(shown & (F.size(parts) <= depth + 1) & name.rlike(fv.SOURCE_EXTENSIONS))
+            .withColumn("priority", entry).orderBy("priority", "length", "path").limit(top))

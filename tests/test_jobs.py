@@ -46,11 +46,13 @@ def test_transcripts_and_source_files(spark, tmp_path):
     assert [(r.role, r.content) for r in got] == [("user", "hi"), ("assistant", "yo")]
     code = tmp_path / "code" / "a" / "b"
     code.mkdir(parents=True)
+    (tmp_path / "code" / "node_modules").mkdir()
+    (tmp_path / "code" / "node_modules" / "index.js").write_text("x")
     (tmp_path / "code" / "README.md").write_text("x")
-    (code / "big.py").write_text("x" * 500)
-    (code / "main.py").write_text("x" * 5)
-    files = io.key_source_files(spark, str(tmp_path / "code"))
-    assert [r.path.rsplit("/", 1)[1] for r in files.collect()] == ["README.md", "main.py", "big.py"]
+    for name, size in (("big.py", 500), ("small.py", 50), ("main.py", 900), ("index.ts", 400), (".hidden.py", 1)):
+        (code / name).write_text("x" * size)
+    files = io.key_source_files(spark, str(tmp_path / "code"), depth=4, top=15).collect()
+    assert [r.path.rsplit("/", 1)[1] for r in files] == ["index.ts", "main.py", "small.py", "big.py"]
 
 
 def test_partitioned_facts_prune_scans(spark, tmp_path):

@@ -1,6 +1,7 @@
 import random
 from collections import deque
 
+import pytest
 from pyspark.sql import functions as F
 
 from mnemoframe.operators import (
@@ -248,3 +249,23 @@ def test_signal_turns_and_fallback(spark):
     df = spark.createDataFrame(rows, "session_id string, turn_number long, content string")
     got = sorted((r.session_id, r.turn_number) for r in conversations.signal_turns(df).collect())
     assert got == [("a", 1), ("a", 2), ("b", 1), ("b", 2)]
+
+
+def test_pages_hold_as_many_rows_as_asked_for(spark):
+    rows = spark.range(300).select(F.lit("t").alias("tenant_id"), F.col("id"), F.timestamp_seconds("id").alias("ts"))
+    asked = spark.createDataFrame([("big", "t", 200, None, None), ("all", "t", 300, None, None)],
+                                  "page_id string, tenant_id string, page_limit int, cursor_ts timestamp, cursor_id long")
+    got = grouping.keyset_page(rows, asked, ["tenant_id"], "ts", "id").groupBy("page_id", "has_more").count().collect()
+    assert sorted((r.page_id, r["count"], r.has_more) for r in got) == [("all", 300, False), ("big", 200, True)]
+
+
+def test_conditions_nested_too_deep_are_an_error(spark):
+    inner = '{"topic_match":["a"],"semantic_similarity":{"text":"} {","threshold":0.5}}'
+    def nest(levels):
+        text = inner
+        for _ in range(levels):
+            text = f'{{"OR":[{{"keyword_any":["]"]}},{text}]}}'
+        return spark.createDataFrame([(text,)], "c string").select(triggers.parse_condition(F.col("c")))
+    assert nest(3).first()[0] is not None
+    with pytest.raises(Exception, match="nested too deep"):
+        nest(4).collect()

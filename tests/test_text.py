@@ -67,16 +67,19 @@ def test_segments_match_greedy_packing(spark):
     assert one(spark, tx.segments(F.lit(text), 800)) == pack(800)
 
 
-def test_short_text_is_one_window_and_long_text_at_most_six(spark):
-    rows = spark.createDataFrame([(1, "short"), (2, "A sentence here. " * 600)],
+def test_every_segment_has_a_window(spark):
+    rows = spark.createDataFrame([(1, "short"), (2, "A sentence here. " * 600), (3, "")],
                                  "id long, content string")
     got = {}
     for r in ex.windows(rows).collect():
         got.setdefault(r.id, []).append(r)
     assert [(r.segment, r.context_window) for r in got[1]] == [("short", "short")]
-    assert sorted(r["index"] for r in got[2]) == list(range(6))
+    assert [(r.segment, r.total) for r in got[3]] == [("", 1)]
+    assert sorted(r["index"] for r in got[2]) == list(range(got[2][0].total)) and got[2][0].total > 10
+    assert sum(r.segment.count("sentence") for r in got[2]) == 600
     first = min(got[2], key=lambda r: r["index"])
-    assert "PRECEDING" not in first.context_window and "FOLLOWING" in first.context_window
+    assert "Earlier" not in first.context_window and "Later" in first.context_window
+
 
 
 @pytest.mark.parametrize("raw,want", [

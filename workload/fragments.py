@@ -100,8 +100,7 @@ def graph_facts_cte(name: str, k: int, reached: str = "reached") -> str:
 
 def entity_types_cte(name: str = "etypes") -> str:
     return f"""
-{name} AS (SELECT tenant_id, list(DISTINCT lower(entity_type)) AS types FROM (SELECT * FROM entities
-  QUALIFY row_number() OVER (PARTITION BY tenant_id ORDER BY created_at, entity_id) <= 100) GROUP BY ALL)"""
+{name} AS (SELECT tenant_id, list(DISTINCT lower(entity_type)) AS types FROM entities GROUP BY ALL)"""
 
 
 def fired_cte(name: str = "fired") -> str:

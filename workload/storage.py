@@ -64,6 +64,17 @@ def _(t):
         "page_id", "fact_id", F.col("position").cast("long").alias("position"), "has_more")
 
 
+@query("entity_pages_large", f"""WITH req AS (SELECT concat('t', CAST(r_regionkey AS STRING)) AS page_id, concat('t', CAST(r_regionkey AS STRING)) AS tenant_id, CAST(150 + 400 * r_regionkey AS INT) AS page_limit, CAST(NULL AS TIMESTAMP) AS cursor_ts, CAST(NULL AS STRING) AS cursor_id FROM region),
+  {_page_sql('entities', 'tenant_id', 'created_at', 'entity_id', False)}""")
+def _(t):
+    req = t.region.select(
+        F.concat(F.lit("t"), "r_regionkey").alias("page_id"), F.concat(F.lit("t"), "r_regionkey").alias("tenant_id"),
+        (150 + 400 * F.col("r_regionkey")).cast("int").alias("page_limit"),
+        F.lit(None).cast("timestamp").alias("cursor_ts"), F.lit(None).cast("string").alias("cursor_id"))
+    return lookups.entity_pages(t.entities, req).select(
+        "page_id", "entity_id", F.col("position").cast("long").alias("position"), "has_more")
+
+
 @query("entity_pages", f"""WITH req AS (SELECT concat('t', CAST(r_regionkey AS STRING)) AS page_id, concat('t', CAST(r_regionkey AS STRING)) AS tenant_id, 50 AS page_limit, TIMESTAMP '2023-03-10 00:00:00' AS cursor_ts, 'c9' AS cursor_id FROM region),
   {_page_sql('entities', 'tenant_id', 'created_at', 'entity_id', False)}""")
 def _(t):
@@ -158,7 +169,7 @@ def _(t):
 
 
 @query("active_sessions", """WITH r AS (SELECT *, row_number() OVER (PARTITION BY tenant_id, scope, scope_id ORDER BY started_at DESC, session_id DESC) AS rn FROM sessions)
-  SELECT tenant_id, scope_id, session_id FROM r WHERE rn <= 5 AND ended_at IS NULL QUALIFY row_number() OVER (PARTITION BY tenant_id, scope, scope_id ORDER BY rn) = 1""")
+  SELECT tenant_id, scope_id, session_id FROM r WHERE ended_at IS NULL QUALIFY row_number() OVER (PARTITION BY tenant_id, scope, scope_id ORDER BY rn) = 1""")
 def _(t):
     return lookups.active_sessions(t.sessions).select("tenant_id", "scope_id", "session_id")
 
@@ -190,9 +201,9 @@ def _(t):
     return t.facts.select("fact_id", F.date_format(F.coalesce("event_date", "document_date"), "yyyy-MM-dd HH:mm:ss").alias("fact_date"))
 
 
-_GREETING = """WITH b AS (SELECT *, row_number() OVER (PARTITION BY tenant_id, scope, scope_id ORDER BY importance DESC, created_at DESC, fact_id) AS rank FROM facts WHERE valid_until IS NULL AND scope = 'user' AND {where}),
-  d AS (SELECT * FROM b WHERE rank <= {n} QUALIFY row_number() OVER (PARTITION BY tenant_id, scope, scope_id, lower(trim(content)) ORDER BY rank) = 1)
-  SELECT tenant_id, scope_id, fact_id, rank FROM d WHERE length(content) <= {chars}"""
+_GREETING = """WITH d AS (SELECT * FROM facts WHERE valid_until IS NULL AND scope = 'user' AND {where} AND length(content) <= {chars}
+    QUALIFY row_number() OVER (PARTITION BY tenant_id, scope, scope_id, lower(trim(content)) ORDER BY importance DESC, created_at DESC, fact_id) = 1)
+  SELECT tenant_id, scope_id, fact_id, row_number() OVER (PARTITION BY tenant_id, scope, scope_id ORDER BY importance DESC, created_at DESC, fact_id) AS rank FROM d QUALIFY rank <= {n}"""
 
 
 @query("greeting_facts", _GREETING.format(where="importance >= 0.6", n=15, chars=600))

@@ -341,7 +341,7 @@ def _(t):
 
 
 # --- profiles and recall -------------------------------------------------------------
-@query("user_profiles", f"""WITH r AS (SELECT * FROM facts WHERE scope = 'user' QUALIFY row_number() OVER (PARTITION BY tenant_id, scope, scope_id ORDER BY created_at DESC, fact_id DESC) <= 100),
+@query("user_profiles", f"""WITH r AS (SELECT * FROM facts WHERE scope = 'user'),
   v AS (SELECT *, max(created_at) OVER (PARTITION BY tenant_id, scope, scope_id) AS lu FROM r WHERE valid_until IS NULL),
   p AS (SELECT *, CASE WHEN importance >= 0.7::DOUBLE AND (epoch_us({NOW}) - epoch_us(valid_from)) / {DAY} > 7 THEN 'static' ELSE 'dynamic' END AS part FROM v WHERE NOT list_contains(tags, 'raw_chunk'))
   SELECT tenant_id, scope_id, fact_id, part, CASE {_CATS} ELSE 'other' END AS category, strftime(lu, '%Y-%m-%d %H:%M:%S') AS last_updated,

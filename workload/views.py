@@ -55,7 +55,7 @@ SELECT d.doc_id AS fact_id,
   CASE WHEN d.doc_id % 4 = 0 THEN concat('Conversation from ', d.source, ' in ', d.lang, CASE WHEN d.doc_id % 8 = 0 THEN repeat(' about the plan', 20) ELSE '' END) END AS source_chunk,
   d.doc_id % 40 AS extraction_id,
   CAST(DATE '2024-01-01' + CAST(d.doc_id % 30 AS INT) AS TIMESTAMP) AS created_at
-FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id % 500""",
+FROM (SELECT *, doc_id % (SELECT count(*) FROM embeddings) AS vec_key FROM documents) d LEFT JOIN embeddings e ON e.vec_id = d.vec_key""",
     "entities": """
 SELECT concat('u', CAST(r_regionkey AS STRING)) AS entity_id, concat('t', CAST(r_regionkey AS STRING)) AS tenant_id,
   'user' AS canonical_name, 'person' AS entity_type, CAST(DATE '2023-01-01' AS TIMESTAMP) AS created_at, CAST(r_regionkey AS BIGINT) AS vec_key FROM region
@@ -71,7 +71,7 @@ UNION ALL SELECT concat('p', CAST(p_partkey AS STRING)), concat('t', CAST(p_part
   CAST(DATE '2023-05-01' + CAST(p_partkey % 100 AS INT) AS TIMESTAMP), p_partkey + 11 FROM part""",
     "entity_vectors": """
 SELECT n.entity_id, n.tenant_id, n.canonical_name, n.entity_type, e.embedding
-FROM entities n JOIN embeddings e ON e.vec_id = n.vec_key % 500""",
+FROM (SELECT *, vec_key % (SELECT count(*) FROM embeddings) AS vec_place FROM entities) n JOIN embeddings e ON e.vec_id = n.vec_place""",
     "edges": """
 SELECT concat(k.source_id, '|', k.relation, '|', k.target_id) AS edge_id, k.* FROM (
 SELECT concat('n', CAST(n_nationkey AS STRING)) AS source_id, concat('r', CAST(n_regionkey AS STRING)) AS target_id, concat('t', CAST(n_regionkey AS STRING)) AS tenant_id,
@@ -91,8 +91,8 @@ UNION ALL SELECT concat('c', CAST(o.o_custkey AS STRING)), concat('s', CAST(l.l_
   GROUP BY o.o_custkey, l.l_suppkey, c.c_nationkey % 5) k""",
     "fact_entities": """
 SELECT doc_id AS fact_id, concat('n', CAST(doc_id % 25 AS STRING)) AS entity_id, 'mentioned' AS role FROM documents
-UNION ALL SELECT d.doc_id, concat('c', CAST(c.c_custkey AS STRING)), 'subject' FROM documents d
-  JOIN customer c ON c.c_custkey = d.doc_id % 150 AND c.c_nationkey % 5 = d.doc_id % 5
+UNION ALL SELECT d.doc_id, concat('c', CAST(c.c_custkey AS STRING)), 'subject' FROM (SELECT doc_id, doc_id % (SELECT count(*) FROM customer) AS cust_key FROM documents) d
+  JOIN customer c ON c.c_custkey = d.cust_key AND c.c_nationkey % 5 = d.doc_id % 5
 UNION ALL SELECT doc_id, concat('u', CAST(doc_id % 5 AS STRING)), 'object' FROM documents""",
     "requests": """
 SELECT b.item_id AS query_id, concat('t', CAST(b.item_id % 5 AS STRING)) AS tenant_id, 'user' AS scope,
@@ -101,7 +101,7 @@ SELECT b.item_id AS query_id, concat('t', CAST(b.item_id % 5 AS STRING)) AS tena
     WHEN 3 THEN 'last month at' WHEN 4 THEN 'on 15th March, 2023 near' WHEN 5 THEN 'the last order from' ELSE 'plans and lives in' END,
     ' nation_', CAST(b.item_id % 25 AS STRING)) AS query,
   e.embedding AS embedding
-FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id * 7 % 500""",
+FROM (SELECT *, item_id * 7 % (SELECT count(*) FROM embeddings) AS vec_key FROM benchmark) b JOIN embeddings e ON e.vec_id = b.vec_key""",
     "triggers": """
 SELECT concat('g', CAST(n_nationkey AS STRING)) AS trigger_id, concat('t', CAST(n_nationkey % 5 AS STRING)) AS tenant_id, 'user' AS scope,
   CASE WHEN n_nationkey % 2 = 0 THEN 'en' ELSE 'fr' END AS scope_id, n_nationkey % 7 <> 6 AS active, CAST(n_nationkey % 3 AS INT) AS priority,
@@ -113,7 +113,7 @@ SELECT concat('g', CAST(n_nationkey AS STRING)) AS trigger_id, concat('t', CAST(
   CAST(n_nationkey AS BIGINT) AS fact_a, CAST(n_nationkey + 25 AS BIGINT) AS fact_b,
   concat('n', CAST(n_nationkey AS STRING)) AS watched_entity, n_name AS vector_text, e.embedding AS vector,
   CAST(n_nationkey % 4 AS BIGINT) AS times_fired
-FROM nation JOIN embeddings e ON e.vec_id = n_nationkey * 11 % 500""",
+FROM (SELECT *, n_nationkey * 11 % (SELECT count(*) FROM embeddings) AS vec_key FROM nation) k JOIN embeddings e ON e.vec_id = k.vec_key""",
     "memory_accesses": """
 SELECT event_id AS access_id, user_id AS fact_id, CAST(ts AS TIMESTAMP) AS accessed_at,
   CASE event_type WHEN 'purchase' THEN 'explicit_positive' WHEN 'click' THEN 'implicit_positive' WHEN 'error' THEN 'explicit_negative' WHEN 'view' THEN 'implicit_negative' ELSE 'correction' END AS feedback_type,
