@@ -159,7 +159,8 @@ def meet(rows: DataFrame) -> DataFrame:
 
 
 def fetch(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """Rows ``anchor, key, start, n, words``: the words of the wanted segments (``anchor, key, start, n``)."""
+    """Rows ``anchor, key, start, n, words``: the words of the wanted segments (``anchor, key, start, n``),
+    whose anchor may be null."""
     lists = wanted.groupBy("key").agg(F.collect_list(F.struct("anchor", "start", "n")).alias("wanted"))
     schema = T.StructType([*(T.StructField(c, T.LongType()) for c in ("anchor", "key", "start", "n")), T.StructField("words", T.StringType())])
 
@@ -168,15 +169,15 @@ def fetch(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             words = Words(batch.column("text"))
             data, column = words.data.tobytes(), batch.column("wanted")
             struct = column.flatten()
-            anchor, start, n = (struct.field(i).to_numpy() for i in range(3))
+            start, n = (struct.field(i).to_numpy() for i in (1, 2))
             row = np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy()))
             first = words.first[row] + start
             good = first + n + length - 1 <= words.first[row + 1]
-            anchor, start, n, row, first = (x[good] for x in (anchor, start, n, row, first))
+            start, n, row, first = (x[good] for x in (start, n, row, first))
             begin, end = words.starts[first], words.ends[first + n + length - 2]
             slices = pa.array([data[a:b] for a, b in zip(begin.tolist(), end.tolist())], pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor), batch.column("key").take(pa.array(row)), pa.array(start), pa.array(n), slices], schema.names)
+                [struct.field(0).filter(pa.array(good)), batch.column("key").take(pa.array(row)), pa.array(start), pa.array(n), slices], schema.names)
 
     return docs.join(lists, "key").select("key", "text", "wanted").mapInArrow(run, schema)
 
@@ -273,12 +274,10 @@ def repeats(docs: DataFrame, length: int = 20) -> DataFrame:
     known = met.filter("anchor is null").select("key", "start", "n")
     shared = met.filter("anchor is not null")
     many = shared.groupBy("anchor").agg(F.count(F.lit(1)).alias("segments")).filter(F.col("segments") > MANY)
-    wanted = shared.join(many, "anchor", "left").withColumn("many", F.col("segments").isNotNull())
-    marked = store(wanted.select("anchor", "key", "start", "n", "many"), "shared")
-    few = search(fetch(docs, marked.filter("not many"), length), length)
-    if marked.filter("many").isEmpty():
-        return known.union(few)
-    every = store(windows(fetch(docs, marked.filter("many"), length), length), "windows")
+    wanted = shared.join(many, "anchor", "left").withColumn("anchor", F.when(F.col("segments").isNull(), F.col("anchor")))
+    slices = store(fetch(docs, wanted.select("anchor", "key", "start", "n"), length), "slices")
+    few = search(slices.filter("anchor is not null"), length)
+    every = store(windows(slices.filter("anchor is null"), length), "windows")
     firsts = every.filter("window is not null").groupBy("window").agg(
         F.min(F.struct("key", "start")).alias("first"), F.count(F.lit(1)).alias("places")).filter("places > 1")
     later = every.join(firsts, "window").filter(F.struct("key", "start") > F.col("first"))
