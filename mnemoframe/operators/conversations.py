@@ -62,17 +62,14 @@ def signal_turns(turns: DataFrame, phrases=fv.SIGNAL_PHRASES, fallback: int = 2)
 
 
 def session_windows(events: DataFrame, keys: list[str], ts: str = "ts",
-                    gap_minutes: int = fv.SESSION_GAP_MINUTES,
-                    bucket: str = "hour") -> DataFrame:
+                    gap_minutes: int = fv.SESSION_GAP_MINUTES) -> DataFrame:
     """Activity sessions: a gap as long as the timeout starts a new one.
 
-    Events become short sessions per (key, hour) first.  What is then joined up per
-    key are those sessions, of which there is at most a fixed number per day, so a
-    key with a third of all events is no burden.
+    No session ends within a minute, so events are counted by minute first, before any
+    shuffle.  What is then joined up per key are minutes, however many events they hold.
     """
-    short = events.groupBy(*keys, F.date_trunc(bucket, ts).alias("_bucket"),
-                           F.session_window(ts, f"{gap_minutes} minutes").alias("_w")).agg(
-        F.min(ts).alias("_from"), F.max(ts).alias("_to"), F.count(F.lit(1)).alias("_n"))
+    short = events.groupBy(*keys, F.date_trunc("minute", ts).alias("_minute")).agg(
+        F.min(ts).alias("_from"), F.max(ts).alias("_to"), F.count(F.lit(1)).alias("_n")).drop("_minute")
     in_order = Window.partitionBy(*keys).orderBy("_from")
     before = F.lag("_to").over(in_order)
     starts = before.isNull() | (

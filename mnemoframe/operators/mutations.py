@@ -89,8 +89,14 @@ def insert_ignore(rows: DataFrame, incoming: DataFrame, *keys: str) -> DataFrame
 
 
 def only_new(rows: DataFrame, incoming: DataFrame, *keys: str) -> DataFrame:
-    return incoming.dropDuplicates(list(keys)).join(
-        rows.select(*keys), list(keys), "left_anti")
+    """Incoming rows whose key is not there yet, each key once.
+
+    Of several rows of a key the least in the order of their other columns stays, so
+    that a repeated run chooses the same.
+    """
+    others = sorted(c for c in incoming.columns if c not in keys) or list(keys)
+    once = first_per_key(incoming, list(keys), [F.col(c).asc_nulls_last() for c in others])
+    return once.join(rows.select(*keys), list(keys), "left_anti")
 
 
 def month_counters(existing: DataFrame, events: DataFrame, ts: str,
@@ -151,8 +157,18 @@ def apply_feedback(facts: DataFrame, feedback: DataFrame, now: Column) -> DataFr
 
 def access_decay(facts: DataFrame, accessed: DataFrame, now: Column) -> DataFrame:
     """Frequency and decay after recording accesses (``fact_id``, one row per access)."""
-    hits = accessed.groupBy("fact_id").agg(F.count(F.lit(1)).alias("_hits"))
-    touched = facts.join(hits, "fact_id").withColumn(
+    return decay_after(facts, access_hits(accessed), now)
+
+
+def access_hits(accessed: DataFrame) -> DataFrame:
+    """``fact_id, hits`` of accesses, one row each."""
+    return accessed.groupBy("fact_id").agg(F.count(F.lit(1)).alias("hits"))
+
+
+def decay_after(facts: DataFrame, hits: DataFrame, now: Column) -> DataFrame:
+    """Frequency and decay of facts after all rows ``fact_id, hits`` of a log of accesses."""
+    total = hits.groupBy("fact_id").agg(F.sum("hits").alias("_hits"))
+    touched = facts.join(total, "fact_id").withColumn(
         "new_frequency", F.col("frequency") + F.col("_hits"))
     return touched.withColumn("new_decay_score", scoring.decay(
         F.col("importance"), F.col("new_frequency"), now, now)).drop("_hits")

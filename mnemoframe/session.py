@@ -43,17 +43,24 @@ def local_session(app: str = "mnemoframe", cpus: int | str = "*") -> SparkSessio
     return configure(spark)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the session names it.
 
-    A folder of our own is set only in a local session that names none, as in tests;
+    A folder of our own is made only in a local session that names none, as in tests;
     on a cluster the session has to name one.
     """
-    spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        if not shared and not sc.master.startswith("local"):
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if named is None:
+        if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="mnemoframe-ckpt-"))
+        named = "file://" + tempfile.mkdtemp(prefix="mnemoframe-shared-")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder the cluster names."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -59,7 +59,6 @@ def export_scope(facts: DataFrame, entities: DataFrame, edges: DataFrame,
     keys = ["tenant_id", "scope", "scope_id"]
     asked = scopes.select(*keys).distinct()
     tenants = scopes.select("tenant_id").distinct()
-    vectors_out = [c for c in facts.columns if c != "embedding"]
 
     def packed(df: DataFrame, kind: str, row_id: str) -> DataFrame:
         return df.select(F.lit(kind).alias("kind"), F.col(row_id).cast("string").alias("id"),
@@ -67,11 +66,11 @@ def export_scope(facts: DataFrame, entities: DataFrame, edges: DataFrame,
 
     own_entities = entities.join(tenants, "tenant_id", "left_semi")
     return union_all([
-        packed(facts.select(*vectors_out).join(asked, keys, "left_semi"), "fact", "fact_id"),
+        packed(facts.join(asked, keys, "left_semi"), "fact", "fact_id"),
         packed(own_entities, "entity", "entity_id"),
         packed(edges.join(tenants, "tenant_id", "left_semi"), "edge", "edge_id"),
         packed(sessions.join(asked, keys, "left_semi"), "session", "session_id"),
-    ]).dropDuplicates(["kind", "id"])
+    ])
 
 
 def import_rows(existing: DataFrame, exported: DataFrame, kind: str, schema: str,

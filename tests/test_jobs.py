@@ -3,6 +3,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from mnemoframe.operators import mutations
 from mnemoframe.plans import tools
 from mnemoframe.sources import io
 from mnemoframe.sources.catalog import MemoryCatalog
@@ -77,3 +78,24 @@ def test_stream_replay_overwrites_its_own_batches(spark, tmp_path):
     out = spark.read.parquet(str(tmp_path / "out"))
     row = sinks.latest(out, "tenant_id", "period_start").collect()
     assert [r.queries for r in row] == [15]
+
+
+def test_decay_counts_the_accesses_of_all_batches(spark, tmp_path):
+    facts = spark.createDataFrame([(1, 0.8, 1)], "fact_id long, importance double, frequency long")
+    for batch in range(3):
+        spark.createDataFrame([(1,)] * 3, "fact_id long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("fact_id long").parquet(str(tmp_path / "in"))
+        sinks.run_available(stream, str(tmp_path / "out"), str(tmp_path / "ckpt"), "append", mutations.access_hits)
+    log = spark.read.parquet(str(tmp_path / "out"))
+    assert log.count() == 3
+    got = mutations.decay_after(facts, log, F.expr("TIMESTAMP '2024-01-01 00:00:00'")).collect()
+    assert [r.new_frequency for r in got] == [10]
+
+
+def test_repeated_inputs_choose_the_same_row(spark):
+    rows = [("t", "h", "s2", 5), ("t", "h", "s1", 9), ("t", "h", "s1", 7)]
+    seen = spark.createDataFrame([], "tenant_id string, hash string")
+    for order in (rows, rows[::-1]):
+        incoming = spark.createDataFrame(order, "tenant_id string, hash string, session_id string, turn int").repartition(3)
+        got = mutations.only_new(seen, incoming, "tenant_id", "hash").collect()
+        assert [(r.session_id, r.turn) for r in got] == [("s1", 7)]

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
+from mnemoframe.operators.mutations import access_hits, decay_after
+from mnemoframe.session import shared_folder
 from mnemoframe.streaming import queries as st, sinks
 from workload.registry import query
 from workload.storage import _planned, stamp
@@ -15,9 +16,7 @@ from workload.views import NOW, Tables
 
 def _run(t: Tables, stream, mode="append", transform=None):
     """Drain a stream into a fresh folder and read the result back."""
-    shared = t.spark.conf.get("spark.checkpoint.dir", None)
-    base = (f"{shared}/streams/{uuid.uuid4().hex}" if shared
-            else tempfile.mkdtemp(prefix="mnemoframe-stream-"))
+    base = f"{shared_folder(t.spark)}/streams/{uuid.uuid4().hex}"
     sinks.run_available(stream, f"{base}/out", f"{base}/checkpoint", mode, transform)
     return t.spark.read.parquet(f"{base}/out")
 
@@ -56,8 +55,8 @@ def _(t):
   SELECT fact_id, CAST(frequency + n AS BIGINT) AS new_frequency, round(greatest(0, least(1, importance * least(1.0::DOUBLE, ln(1 + (frequency + n)::DOUBLE) / ln(51::DOUBLE)))), 6) AS new_decay_score FROM facts JOIN h USING (fact_id)""")
 def _(t):
     stream = _stream(t, "events").select(F.col("user_id").alias("fact_id"))
-    out = _run(t, stream, transform=sinks.decay_updates(t.facts, t.now))
-    return out.select("fact_id", F.col("new_frequency").cast("long").alias("new_frequency"), F.round("new_decay_score", 6).alias("new_decay_score"))
+    hits = _run(t, stream, transform=access_hits)  # one log row per batch and fact
+    return decay_after(t.facts, hits, t.now).select("fact_id", F.col("new_frequency").cast("long").alias("new_frequency"), F.round("new_decay_score", 6).alias("new_decay_score"))
 
 
 @query("stream_webhook_outbox", """SELECT w.webhook_id, e.event_id FROM (SELECT event_id, 't' || (user_id % 5) AS tenant_id FROM events WHERE event_type = 'error') e JOIN webhooks w ON w.tenant_id = e.tenant_id AND w.active AND list_contains(w.events, 'extraction.failed')""")
