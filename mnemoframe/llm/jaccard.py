@@ -7,6 +7,10 @@ document whose first grams are frequent takes a longer prefix with more matches
 for, where its estimated number of candidates falls by more than the prefix costs.
 Candidates are verified on the full sets.
 
+Of two sets, the one whose prefix ends earlier in the order shows all the grams that its
+prefix shares with the other, so similar sets share as many prefix grams as their needed
+overlap leaves after the rest of that set; fewer rule a pair out before any set is read.
+
 Equal sets form a class and stand for one another.  Candidates are verified in two
 steps: first the sets around a prefix gram with the least of them, which joins groups of
 copies in linear work; then all candidate pairs whose members are not connected yet.
@@ -22,12 +26,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from mnemoframe.llm.common import Words, chunks, gram_hashes, mixed, small_batches, store
 from mnemoframe.llm.components import components
 
 SLOTS = 1 << 18
+SHORT = 64  # documents of a gram whose pairs are joined as rows; those of more meet in tasks
+MEET = 512  # documents of a gram that a task compares with as many others
 LONGEST = 4  # matches asked for at most
 VERIFY = 10.0  # cost of a candidate against that of an entry of a prefix list
 
@@ -153,6 +159,88 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         run, pairs.select("a", "b").schema)
 
 
+def meetings(placed: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` of different components that meet at a gram and share as many prefix grams as
+    similar sets must.
+
+    Rows of ``placed`` are ``gram, doc_id, size, matches, component, largest, listed``.  The documents at
+    a gram are cut into chunks; a task compares one chunk of those outside the largest
+    component with one of all, by their whole prefixes, and returns the pairs that pass.
+    """
+    parts = F.ceil(F.col("listed") / MEET).cast("int")
+    seated = placed.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("doc_id"), parts).cast("int"))
+    chunk = F.sequence(F.lit(0), F.col("parts") - 1)
+    left = F.when(F.col("component") != F.col("largest"), F.transform(
+        chunk, lambda j: F.struct(F.col("part").alias("i"), j.alias("j"), F.lit(True).alias("left"))))
+    right = F.transform(chunk, lambda i: F.struct(i.alias("i"), F.col("part").alias("j"), F.lit(False).alias("left")))
+    none = F.array().cast("array<struct<i:int,j:int,left:boolean>>")
+    seats = (
+        seated.select("gram", "doc_id", "size", "matches", "component", F.explode(F.concat(F.coalesce(left, none), right)).alias("seat"))
+        .select("gram", "seat.*", "doc_id", "size", "matches", "component")
+        .join(lists.select("doc_id", "size", "matches", "grams"), ["doc_id", "size", "matches"])
+        .repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j"))
+    kind = placed.schema["doc_id"].dataType
+
+    def needed(size: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """Prefix grams beyond ``matches`` of the first that two sets of these sizes share at least."""
+        return -(-percent * (size + other) // (100 + percent)) - -(-percent * size // 100)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, ["gram", "i", "j"]):
+            side = group["left"].to_numpy(zero_copy_only=False)
+            x, y = np.flatnonzero(side), np.flatnonzero(~side)
+            if not len(x) or not len(y):
+                continue
+            grams = group["grams"].combine_chunks()
+            row = np.repeat(np.arange(len(grams)), np.diff(grams.offsets.to_numpy()))
+            _, token, often = np.unique(grams.flatten().to_numpy(), return_inverse=True, return_counts=True)
+            used = np.flatnonzero(often > 1)
+            place = np.full(len(often), -1)
+            place[used] = np.arange(len(used))
+            known = place[token] >= 0
+            table = np.zeros((len(grams), len(used)), dtype=np.float32)
+            table[row[known], place[token[known]]] = 1
+            shared = table[x] @ table[y].T
+            size, asked, doc, component = (group[c].to_numpy() for c in ("size", "matches", "doc_id", "component"))
+            s, o = size[x][:, None], size[y][None]
+            least = np.minimum(needed(s, o) + asked[x][:, None], needed(o, s) + asked[y][None])
+            good = (shared >= least) & (100 * s >= percent * o) & (100 * o >= percent * s)
+            good &= component[x][:, None] != component[y][None]
+            p, q = np.nonzero(good)
+            a, b = doc[x[p]], doc[y[q]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return seats.mapInArrow(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Runs of rows with equal keys of sorted batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        columns = [batch.column(k).to_numpy() for k in keys]
+        ends = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+        for first, end in zip([0, *ends], [*ends, batch.num_rows]):
+            key = tuple(c[first] for c in columns)
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(first, end - first))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def least_shared(percent: int, x_size: str, x_matches: str, y_size: str, y_matches: str) -> Column:
+    """How many prefix grams two sets share at least if they are similar enough; sizes that rule
+    it out ask for more than a prefix has."""
+    both = f"({percent} * ({x_size} + {y_size}) + {99 + percent}) div {100 + percent}"
+    own = [f"{both} - ({percent} * {size} + 99) div 100 + {matches}" for size, matches in (
+        (x_size, x_matches), (y_size, y_matches))]
+    apart = f"100 * {x_size} < {percent} * {y_size} or 100 * {y_size} < {percent} * {x_size}"
+    return F.expr(f"case when {apart} then {x_size} + {y_size} + 1 else least({own[0]}, {own[1]}) end")
+
+
 def link(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """Rows ``doc_id, n_shingles, component_id`` for each row of ``docs`` (``doc_id, text``).
 
@@ -171,22 +259,30 @@ def link(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     lists = store(
         prefixes(docs, n, percent, frequency).join(chiefs, "doc_id", "left_semi")
         .dropDuplicates(["doc_id", "size", "grams"]), "prefixes")
-    entries = lists.select("doc_id", "size", "matches", F.explode("grams").alias("gram"))
+    # only grams that several documents have are kept, and travel with nothing but the id
+    entries = lists.select(F.explode("grams").alias("gram"), "doc_id")
+    several = entries.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram")
+    met = store(entries.join(several, "gram"), "entries").join(lists.select("doc_id", "size", "matches"), "doc_id")
     # what meets at a gram: the least id in it is verified with all others
-    hubs = (
-        entries.groupBy("gram").agg(F.min("doc_id").alias("hub"), F.count(F.lit(1)).alias("n"))
-        .filter("n > 1").select("gram", "hub"))
-    met = store(entries.join(hubs, "gram"), "entries")
-    in_lists = met.select("doc_id").distinct()
-    sets = store(full_sets(docs.select("doc_id", "text").join(in_lists, "doc_id", "left_semi"), n), "sets")
-    size_of = lists.select(F.col("doc_id").alias("hub"), F.col("size").alias("hub_size")).groupBy("hub").agg(
-        F.min("hub_size").alias("least"), F.max("hub_size").alias("most"))
-    near = f"100 * size >= {percent} * least and {percent} * size <= 100 * most"
+    hubs = met.groupBy("gram").agg(F.min("doc_id").alias("hub"))
+    texts = docs.select("doc_id", "text")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        pairs = store(pairs, "pairs")
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        # one plan at every size: the ids may outgrow any broadcast
+        sets = store(full_sets(texts.join(ends.hint("merge"), "doc_id", "left_semi"), n), "sets")
+        with small_batches(spark, 500):
+            return store(verified(pairs, sets, percent), "links")
+
+    of_hub = lists.select(F.col("doc_id").alias("hub"), F.col("size").alias("hub_size"), F.col("matches").alias("hub_matches"))
     stars = (
-        met.filter("doc_id <> hub").groupBy("hub", "doc_id").agg(F.min("size").alias("size"))
-        .join(size_of, "hub").filter(near).select(F.col("hub").alias("a"), F.col("doc_id").alias("b")))
-    with small_batches(spark, 500):
-        links = store(verified(stars, sets, percent), "links")
+        met.join(hubs, "gram").filter("doc_id <> hub").groupBy("hub", "doc_id", "size", "matches").agg(F.count(F.lit(1)).alias("shared"))
+        .join(of_hub, "hub")
+        # a pair may meet elsewhere as well: what half of the asked grams show is worth a look
+        .filter(2 * F.col("shared") >= least_shared(percent, "size", "matches", "hub_size", "hub_matches"))
+        .select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct())
+    links = confirmed(stars)
     joined = components(links)
     placed = met.join(joined, met["doc_id"] == joined["node"], "left").select(
         "gram", "doc_id", "size", "matches", F.coalesce("component", "doc_id").alias("component"))
@@ -194,19 +290,23 @@ def link(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     largest = (
         placed.groupBy("gram", "component").agg(F.count(F.lit(1)).alias("n"))
         .groupBy("gram").agg(F.max(F.struct("n", "component"))["component"].alias("largest"),
-                             F.count(F.lit(1)).alias("parts"))
-        .filter("parts > 1").select("gram", "largest"))
-    mixed_grams = store(placed.join(largest, "gram"), "mixed")
-    x, y = mixed_grams.alias("x"), mixed_grams.alias("y")
-    rest = (
+                             F.count(F.lit(1)).alias("parts"), F.sum("n").alias("listed"))
+        .filter("parts > 1"))
+    listed = store(placed.join(largest, "gram"), "listed")
+    x, y = (listed.filter(F.col("listed") <= SHORT).alias(name) for name in "xy")
+    few = (
         x.filter("component <> largest").join(y, F.col("x.gram") == F.col("y.gram"))
         .filter("x.component <> y.component and (y.component = y.largest or x.doc_id < y.doc_id)")
         .filter(f"100 * x.size >= {percent} * y.size and 100 * y.size >= {percent} * x.size")
-        .groupBy(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"))
-        .agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("x.matches", "y.matches")).alias("asked"))
-        .filter("shared >= asked").select("a", "b"))
-    with small_batches(spark, 500):
-        more = store(verified(rest, sets, percent), "links")
+        .select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct())
+    of = {s: lists.select(F.col("doc_id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("size", "matches", "grams")]) for s in "ab"}
+    few = (
+        few.join(of["a"], "a").join(of["b"], "b")
+        .filter(F.size(F.array_intersect("a_grams", "b_grams")) >= least_shared(
+            percent, "a_size", "a_matches", "b_size", "b_matches"))
+        .select("a", "b"))
+    rest = few.union(meetings(listed.filter(F.col("listed") > SHORT), lists, percent)).distinct()
+    more = confirmed(rest)
     of_chief = components(links.union(more)) if not more.isEmpty() else joined
     # members of a class hang on its chief; equal ids count as one document
     member = sizes.join(classes, ["size", "one", "two"], "left").select("doc_id", "size", "chief")
