@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, types as T
 from mnemoframe.llm.common import chunks
 
 _KEPT_PARTS = 300_000  # distinct words remembered by a worker; more cost time only
+_KEPT_PAIRS = 1_000_000  # and neighbours
 _UNEVEN = regex.compile(r"\s\s|^\s|\s$").search
 
 
@@ -36,7 +37,7 @@ class Encoder:
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.sizes = {i: len(b) for b, i in ranks.items()}
         self.split = regex.compile(pattern).findall
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._fits: dict[int, bool] = {}
         self._shorter: dict[int, int] = {}
         self._parts: dict[str, tuple[int, ...]] = {}
         self._spaced: dict[str, tuple[int, ...]] = {}
@@ -58,12 +59,15 @@ class Encoder:
 
     def fits(self, left: int, right: int) -> bool:
         """True if merging leaves the two tokens as they are; left -1: the token alone."""
-        found = self._fits.get((left, right))
+        pair = (left + 1) << 24 | right
+        found = self._fits.get(pair)
         if found is None:
             data = self.bytes_of[right]
             want = [right] if left < 0 else [left, right]
             found = self.merged(data if left < 0 else self.bytes_of[left] + data) == want
-            self._fits[left, right] = found
+            if len(self._fits) >= _KEPT_PAIRS:
+                self._fits.clear()
+            self._fits[pair] = found
         return found
 
     def shorter(self, token: int) -> int:
@@ -94,7 +98,7 @@ class Encoder:
             while token >= 0:
                 end = at + sizes[token]
                 if not dead[end]:
-                    good = fits.get((last, token))
+                    good = fits.get((last + 1) << 24 | token)
                     if good is None:
                         good = self.fits(last, token)
                     if good:
