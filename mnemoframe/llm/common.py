@@ -37,9 +37,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def store(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it: later plans start there."""
+    """Write a table to the shared folder and read it: later plans start there.
+
+    What the job has shuffled is of no more use; Spark deletes it once the driver's JVM
+    has collected its handles, which it is asked to do.
+    """
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

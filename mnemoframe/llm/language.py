@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from mnemoframe.llm.common import chunks, fold, text_bytes
 
-SAMPLE = 3000  # labelled rows that the classifiers are fitted on, the same number of each language
+SAMPLE = 1200  # labelled rows that the classifiers are fitted on, the same number of each language
 SLOTS = 4096
 ORDERS = (2, 3, 4)
 RIDGE = 0.02

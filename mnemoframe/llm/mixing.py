@@ -66,11 +66,11 @@ def schedule(targets: DataFrame) -> DataFrame:
     spans = (
         targets.withColumn("all", F.sum("target").over(everywhere))
         .withColumn("total", F.sum("source_size").over(everywhere))
-        .withColumn("to", F.sum("target").over(running) / F.col("all") * 2.0 ** 32)
+        .withColumn("to", F.try_divide(F.sum("target").over(running), F.col("all")) * 2.0 ** 32)
         .withColumn("from", F.coalesce(F.lag("to").over(Window.orderBy("place")), F.lit(0.0)))
         .filter("total > 0 and to > from")
         .withColumn("block", F.ceil(F.col("total") / 2 ** SLOTS))
-        .withColumn("slots", F.ceil(F.col("total") / F.col("block")))
+        .withColumn("slots", F.ceil(F.try_divide(F.col("total"), F.col("block"))))
         .withColumn("cell", F.explode(F.sequence(
             F.floor(F.col("from") / (2 ** 32 // CELLS)),
             F.least(F.floor(F.col("to") / (2 ** 32 // CELLS)), F.lit(CELLS - 1)))))

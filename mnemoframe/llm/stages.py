@@ -64,7 +64,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     times = (
         mixing.mix(docs).filter("taken > 0")
         .select(F.col("doc_id").alias("id"), "twin", F.expr(
-            "cast(floor(taken / size + 0.5) as int)").alias("times"))
+            "cast(floor(try_divide(taken, size) + 0.5) as int)").alias("times"))
         .filter("times > 0")
         # equal rows share their copies; any of them stands for all
         .groupBy("id", "twin").agg(F.sum("times").alias("times"))
