@@ -22,8 +22,13 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     model = language.fit(language.sample(docs, F.col("lang")))
     if model is None:
         return docs.filter(F.col("text").rlike("\\p{L}")).select(*COLUMNS)
-    return language.predict(docs, model, COLUMNS).filter(
-        F.col("lang_pred") != language.UNKNOWN).select(*COLUMNS)
+    # texts do not come back from Python: what is rejected is found by id and digest
+    keyed = docs.select(F.struct("doc_id", F.xxhash64("text").alias("twin")).alias("doc_id"), "text")
+    rejected = (
+        language.predict(keyed, model).filter(F.col("lang_pred") == language.UNKNOWN)
+        .select(F.col("doc_id.doc_id").alias("id"), F.col("doc_id.twin").alias("twin")).distinct())
+    return docs.select(*COLUMNS).join(
+        rejected, F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("twin")), "left_anti")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
