@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, types as T
 
 from mnemoframe.llm.common import chunks
 
-_KEPT_PARTS = 300_000  # distinct words remembered by a worker; more cost time only
+_KEPT_PARTS = 200_000  # distinct words remembered by a worker; more cost time only
 _KEPT_PAIRS = 1_000_000  # and neighbours
 _UNEVEN = regex.compile(r"\s\s|^\s|\s$").search
 
@@ -142,16 +142,14 @@ class Encoder:
         return ids
 
     def _known(self, part: str) -> tuple[int, ...]:
-        ids = self._parts.get(part)
+        known, key = (self._spaced, part[1:]) if part[:1] == " " else (self._parts, part)
+        ids = known.get(key)
         if ids is None:
             ids = tuple(self.encode(part))
             if len(part) <= 64:
-                if len(self._parts) >= _KEPT_PARTS:
-                    self._parts.clear()
-                    self._spaced.clear()
-                self._parts[part] = ids
-                if part[:1] == " ":
-                    self._spaced[part[1:]] = ids
+                if len(known) >= _KEPT_PARTS:
+                    known.clear()
+                known[key] = ids
         return ids
 
 
