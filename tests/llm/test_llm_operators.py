@@ -53,7 +53,7 @@ def test_personal_data(spark):
     rnd = random.Random(1)
     parts = ["@", ".", "-", "+", "a.b", "x9", "1", "22", "255", "256", "4111 1111 1111 1111", " ", "(", ")", "é", "🙂", "a@b.co", "1.2.3.4", "+1 (555) 123-4567", "\n"]
     texts = odd_texts() + ["".join(rnd.choice(parts) for _ in range(rnd.choice([3, 10, 40]))) for _ in range(300)]
-    texts += ["a" * 50_000, "1." * 20_000, "a@b" + ".c" * 9000, "9" * 30_000, "x" * 300_000]
+    texts += ["a" * 10_000, "1." * 3000, "a@b" + ".c" * 2000, "9" * 4000, "x" * 40_000]
     found = {r.doc_id: r.spans for r in pii.find(frame(spark, texts)).collect()}
     assert len(found) == len(texts)
     for n, text in enumerate(texts):
