@@ -2,9 +2,12 @@
 
 For each kind (email, ip, card, phone) a strict and a loose pattern propose spans, which
 may overlap.  Strict spans that pass their check (parts of an address, Luhn sum, number
-of digits) are always taken.  Boosted trees over format and context features learn from
-them what such spans look like, and a loose or failed span is added where its score
-exceeds a threshold that kept the asked precision on candidates the trees had not seen.
+of digits) are always taken.  The other candidates are labelled by their own evidence: their
+value passes the check of its kind once separators, prefixes and words for signs are put
+right, and its form, the words before it or a taken span that it touches tell the kind;
+candidates without evidence either way have no label.  Boosted trees over format and context
+features learn the labels, and a loose or failed span is added where its score exceeds a
+threshold that kept the asked precision on labelled candidates the trees had not seen.
 An added span never overlaps a strict one; of overlapping added ones the first, then
 the longest stays.
 
@@ -17,6 +20,7 @@ candidates nothing is learned and nothing added.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -24,11 +28,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from mnemoframe.llm.common import store
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE = 20_000  # candidates that the trees and thresholds are fitted on, by the order of a hash
+SAMPLE = 20_000  # labelled candidates that the trees are fitted on, as many of each kind, by the order of a hash
 ROUNDS = 30
 RATE = 0.3
 PRECISION = 0.98
 LEAST_SUPPORT = 20  # calibration candidates above a threshold that make it count
+STEPS = 1000  # scores are counted in steps of a thousandth
 
 # A match starts where the one before ended or where a run of its characters begins, which
 # is where the plain pattern would start too; possessive runs never need to give back.
@@ -40,7 +45,8 @@ STRICT = {
     "card": r"[0-9](?:[\x20\-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9\-]+[0-9]",
 }
-_AT, _DOT = r"\x20?(?:@|[\[({]\x20?at\x20?[\])}])\x20?", r"\x20?(?:\.|[\[({]\x20?dot\x20?[\])}])\x20?"
+_AT = r"\x20?(?:@|[\[({]\x20?at\x20?[\])}])\x20?"
+_DOT = r"(?:\.|\x20\.\x20|\x20?[\[({]\x20?dot\x20?[\])}]\x20?)"  # a space after a plain dot alone ends a sentence
 LOOSE = {
     "email": rf"(?:\G|(?<![{_NAME}]))[{_NAME}]++{_AT}{_DOMAIN}(?:{_DOT}{_DOMAIN}){{1,8}}",
     "ip": r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{0,4}){3,7}(?![0-9A-Fa-f:])",
@@ -118,6 +124,35 @@ def passes(kind: Column, value: Column) -> Column:
         .when(kind == "phone", F.length(digits).between(9, 15)))
 
 
+def valid(kind: Column, strict: Column, value: Column) -> Column:
+    """Whether a value passes the check of its kind once words for signs, spaces and prefixes are put right."""
+    address = F.regexp_replace(F.regexp_replace(value, _AT, "@"), _DOT, ".")
+    groups, halves = F.split(value, ":", -1), F.split(value, "::", -1)
+    # eight groups, or fewer around one double colon
+    short = (F.size(halves) == 2) & ~F.exists(halves, lambda x: x.startswith(":") | x.endswith(":")) & (F.size(groups) <= 8)
+    number = F.regexp_replace(value, "^00", "")
+    return F.when(strict | (kind == "card"), passes(kind, value)).otherwise(
+        F.when(kind == "email", address.rlike(rf"^[{_NAME}]+@{_DOMAIN}(?:\.{_DOMAIN})*\.[A-Za-z]{{2,}}$"))
+        .when(kind == "ip", short | ((F.size(groups) == 8) & ~F.array_contains(groups, "")))
+        .when(kind == "phone", passes(kind, number)))
+
+
+def label(own_taken: Column, other_taken: Column) -> Column:
+    """Whether a candidate is what its kind says, by its own evidence; null without evidence.
+
+    Takes whether it shares characters with a taken span of its kind, and of another.
+    """
+    kind, value, context = F.col("kind"), F.col("value"), F.col("context")
+    form = (
+        F.when(kind == "email", value.rlike("[\\[({]") | ~value.contains(" "))
+        .when(kind == "phone", value.startswith("00") | value.startswith("("))
+        .otherwise(True))
+    return (
+        F.when(kind.isNull(), F.lit(None).cast("boolean"))
+        .when(F.col("valid") == 0, False).when(own_taken, True).when(other_taken, False)
+        .when(context == 2, True).when(form, True).when(context == 1, False))
+
+
 def features() -> dict[str, Column]:
     """Binned format and context features of a candidate, as small whole numbers."""
     value, before = F.col("value"), F.col("before")
@@ -147,6 +182,7 @@ def features() -> dict[str, Column]:
         "variety": F.least(F.size(F.array_distinct(F.split(_digits(value), ""))), F.lit(9)),
         "widest": F.when(value.rlike("[0-9]{7}"), 2).when(value.rlike("[0-9]{4}"), 1).otherwise(0),
         "left": edge(last), "right": edge(following), "context": own,
+        "valid": F.coalesce(valid(F.col("kind"), F.col("strict"), value), F.lit(False)).cast("int"),
     }
 
 
@@ -206,25 +242,23 @@ def _value(tree, names, row) -> float:
 
 
 def fit(featured: DataFrame, most: int = SAMPLE) -> Model:
-    """Gradient boosting on candidates with feature columns and ``good``, what they are to predict.
+    """Gradient boosting on candidates with feature columns and ``good``, what they are to predict (null
+    without a label), and ``order``, a hash.
 
-    Four fifths of the sample grow the trees; the rest sets each kind's threshold.
+    Four fifths grow the trees, as a sample of each kind; all of the rest set each kind's threshold.
     """
     names = list(features())
-    order = F.xxhash64("doc_id", "kind", "strict", "start", "value")
-    counted = (
-        featured.filter("kind is not null").withColumn("order", order)
-        .orderBy("order").limit(most)
-        .groupBy(*names, (F.pmod("order", F.lit(5)) == 0).alias("aside"))
-        .agg(F.sum(F.col("good").cast("long")).alias("good"), F.count(F.lit(1)).alias("n"))
-        .orderBy(*names, "aside").collect())
+    labelled = featured.filter("good is not null")
+    aside = F.pmod("order", F.lit(5)) == 0
+    parts = [
+        labelled.filter(~aside & (F.col("kind") == kind)).orderBy("order").limit(max(1, most // len(KINDS))) for kind in KINDS]
+    told = (F.sum(F.col("good").cast("long")).alias("good"), F.count(F.lit(1)).alias("n"))
+    counted = reduce(DataFrame.union, parts).groupBy(*names).agg(*told).orderBy(*names).collect()
     model = Model()
-    table = [(tuple(r[n] for n in names), r["aside"], r["good"], r["n"]) for r in counted]
-    grow = [r for r in table if not r[1]]
-    if not grow:
+    if not counted:
         return model
-    x = np.array([r[0] for r in grow])
-    good, n = (np.array([r[i] for r in grow], dtype=float) for i in (2, 3))
+    x = np.array([[r[n] for n in names] for r in counted])
+    good, n = (np.array([r[i] for r in counted], dtype=float) for i in ("good", "n"))
     share = (good.sum() + 1) / (n.sum() + 2)
     model.start = float(np.log(share / (1 - share)))
     score = np.full(len(x), model.start)
@@ -233,15 +267,14 @@ def fit(featured: DataFrame, most: int = SAMPLE) -> Model:
         tree = _tree(names, x, n * chance - good, n * chance * (1 - chance), 3)
         model.trees.append(tree)
         score = score + np.array([_value(tree, names, row) for row in x])
-    for number, kind in enumerate(KINDS):
-        rows = sorted(((model.start + sum(_value(t, names, r[0]) for t in model.trees), r[2], r[3])
-                       for r in table if r[1] and r[0][0] == number), reverse=True)
+    step = F.floor(model.column() * STEPS)
+    scored = labelled.filter(aside).groupBy("kind", step.alias("step")).agg(*told).collect()
+    for kind in KINDS:
         good = n = 0
-        for place, (value, g, m) in enumerate(rows):
-            good, n = good + g, n + m
-            tied = place + 1 < len(rows) and rows[place + 1][0] == value
-            if not tied and n >= LEAST_SUPPORT and good / n >= PRECISION:
-                model.thresholds[kind] = float(value)
+        for r in sorted((r for r in scored if r["kind"] == kind), key=lambda r: -r["step"]):
+            good, n = good + r["good"], n + r["n"]
+            if n >= LEAST_SUPPORT and good / n >= PRECISION:
+                model.thresholds[kind] = r["step"] / STEPS
     return model
 
 
@@ -251,13 +284,20 @@ def find(docs: DataFrame, most: int = SAMPLE) -> DataFrame:
     proposed = store(candidates(docs), "candidates")
     featured = proposed.withColumns(features()).withColumn(
         "base", F.coalesce(F.col("strict") & passes(F.col("kind"), F.col("value")), F.lit(False)))
-    # a candidate that shares characters with a taken span of its kind shows what the kind looks like
-    of_its_kind = Window.partitionBy("row", "kind").orderBy("start")
-    taken = lambda c: F.when(F.col("base"), F.col(c))
-    featured = featured.withColumn("good", F.coalesce(
-        (F.max(taken("end")).over(of_its_kind.rangeBetween(Window.unboundedPreceding, 0)) > F.col("start"))
-        | (F.min(taken("start")).over(of_its_kind.rangeBetween(0, Window.unboundedFollowing)) < F.col("end")),
-        F.lit(False)))
+
+    def touches_taken(keys: tuple[str, ...]) -> Column:
+        order = Window.partitionBy(*keys).orderBy("start")
+        taken = lambda c: F.when(F.col("base"), F.col(c))
+        return F.coalesce(
+            (F.max(taken("end")).over(order.rangeBetween(Window.unboundedPreceding, 0)) > F.col("start"))
+            | (F.min(taken("start")).over(order.rangeBetween(0, Window.unboundedFollowing)) < F.col("end")),
+            F.lit(False))
+
+    featured = featured.withColumns({"own_taken": touches_taken(("row", "kind")), "any_taken": touches_taken(("row",))})
+    featured = store(featured.select(
+        "row", "doc_id", "kind", "start", "end", "base", *features(),
+        label(F.col("own_taken"), F.col("any_taken")).alias("good"),
+        F.xxhash64("doc_id", "kind", "strict", "start", "value").alias("order")), "labelled")
     model = fit(featured, most)
     above = F.lit(False)
     if model.thresholds:

@@ -72,6 +72,20 @@ def test_personal_data_that_strict_patterns_miss(spark):
     assert [(s.kind, s.start, s.end, s.base) for s in spans] == [("phone", 5, 19, False)]
 
 
+def test_personal_data_that_touches_no_strict_span(spark):
+    rnd = random.Random(15)
+    texts, want = [], []
+    for i in range(900):
+        spans = [("email", f"n{i} [at] mail{i % 7} [dot] org"), ("ip", f"2001:db8::{i:x}:1"), ("phone", f"({100 + i}) 555-{1000 + i}"),
+                 (None, f"at 1{i % 10}:30:45:{i % 60:02d} or"), ("phone", f"0049 {100 + i} {2000 + i}")][i % 5:][:1]
+        kind, value = spans[0]
+        before = " ".join(rnd.choice(["some", "words", "é"]) for _ in range(rnd.choice([1, 4]))) + " "
+        texts.append(f"{before}{value}. Next")
+        want.append([(kind, len(before), len(before) + len(value), False)] if kind else [])
+    found = {r.doc_id: [(s.kind, s.start, s.end, s.base) for s in r.spans] for r in pii.find(frame(spark, texts)).collect()}
+    assert [found[i] for i in range(900)] == want
+
+
 def test_redaction(spark):
     df = frame(spark, ["mail x@y.org and é 10.0.0.1", "nothing"]).select("doc_id", "text")
     found = pii.find(df).select(F.col("doc_id").alias("id"), "spans")
