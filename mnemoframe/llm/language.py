@@ -26,6 +26,9 @@ SAMPLE = 1200  # labelled rows that the classifiers are fitted on, the same numb
 SLOTS = 4096
 ORDERS = (2, 3, 4)
 RIDGE = 0.02
+KEPT = 0.999  # share of the labelled texts of a size that the highest loss has to spare
+LEAST_LOSS = float(np.log(2)) / 2  # and half the loss of bits that say nothing, at least
+LEAST_SUPPORT = 20  # labelled texts of a size that set a level for texts of this size or more
 CLOSE = 0.2  # probability between the best and the next below which a text is ambiguous
 UNKNOWN = "und"
 _ROWS = 512
@@ -43,10 +46,16 @@ class Model:
     sharpness: float
 
     def probabilities(self, features: np.ndarray) -> np.ndarray:
-        return self.decoded(features @ self.weights + self.offsets)
+        return self.decoded(self.losses(features))
 
-    def decoded(self, margins: np.ndarray) -> np.ndarray:
-        loss = np.stack([np.logaddexp(0, -self.sharpness * margins * code) @ self.trust for code in self.codes], 1)
+    def losses(self, features: np.ndarray) -> np.ndarray:
+        """Loss of each language's codeword."""
+        return self.lost(features @ self.weights + self.offsets)
+
+    def lost(self, margins: np.ndarray) -> np.ndarray:
+        return np.stack([np.logaddexp(0, -self.sharpness * margins * code) @ self.trust for code in self.codes], 1)
+
+    def decoded(self, loss: np.ndarray) -> np.ndarray:
         chance = np.exp(loss.min(1, keepdims=True) - loss)
         return chance / chance.sum(1, keepdims=True)
 
@@ -131,17 +140,19 @@ def fit(labelled: DataFrame) -> Model | None:
     fits = {}
     for sharpness in (1.0, 2.0, 4.0, 8.0, 16.0, 32.0):
         model.sharpness = sharpness
-        chance = model.decoded(left_out)[np.arange(len(truth)), truth]
+        chance = model.decoded(model.lost(left_out))[np.arange(len(truth)), truth]
         fits[sharpness] = np.log(np.maximum(chance, 1e-9)).sum()
     model.sharpness = max(fits, key=fits.get)
     return model
 
 
 def predict(docs: DataFrame, model: Model | None, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Each row of ``docs``: the columns to carry, and ``lang_pred, score, ambiguous`` of its ``text``."""
+    """Each row of ``docs``: the columns to carry, and ``lang_pred, score, ambiguous, loss, size`` of its ``text``:
+    the loss of the codeword it gets (null if ``und``), and the binary logarithm of its bytes of letters."""
     schema = T.StructType([
         *(docs.schema[c] for c in carry), T.StructField("lang_pred", T.StringType()),
-        T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())])
+        T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType()),
+        T.StructField("loss", T.DoubleType()), T.StructField("size", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _rows(batches):
@@ -149,8 +160,14 @@ def predict(docs: DataFrame, model: Model | None, carry: tuple[str, ...] = ("doc
             known = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
             names = np.full(batch.num_rows, UNKNOWN, dtype=object)
             score, close = np.zeros(batch.num_rows), np.ones(batch.num_rows, dtype=bool)
+            least = np.full(batch.num_rows, np.nan)
+            data, at = text_bytes(texts)
+            letters = np.concatenate(([0], np.cumsum(_BYTES[data] != 32)))
+            size = np.log2(np.maximum(letters[at[1:]] - letters[at[:-1]], 1)).astype(np.int32)
             if model is not None and known.any():
-                chance = model.probabilities(features(texts))
+                loss = model.losses(features(texts))
+                chance = model.decoded(loss)
+                least[known] = loss.min(1)[known]
                 ranked = np.sort(chance, axis=1)
                 best = chance.argmax(1)
                 names[known] = np.array(model.languages, dtype=object)[best[known]]
@@ -159,12 +176,26 @@ def predict(docs: DataFrame, model: Model | None, carry: tuple[str, ...] = ("doc
                 if chance.shape[1] > 1:
                     close |= ranked[:, -1] - ranked[:, -2] < CLOSE
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in carry), pa.array(names, pa.string()), pa.array(score), pa.array(close)],
+                [*(batch.column(c) for c in carry), pa.array(names, pa.string()), pa.array(score), pa.array(close),
+                 pa.array(least, from_pandas=True), pa.array(size)],
                 schema.names)
 
     return docs.select(*dict.fromkeys([*carry, "text"])).mapInArrow(run, schema)
 
 
+def unlike_all(predicted: DataFrame) -> Column:
+    """Whether a predicted text is in none of the learned languages, for a table with ``labelled``, whether a
+    row has a label: no letter, or a higher loss than all but a thousandth of the labelled texts of its size (of
+    the next smaller size that has enough of them, as more letters tell more)."""
+    levels = (
+        predicted.filter("labelled and loss is not null").groupBy("size")
+        .agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("loss", KEPT, 10_000).alias("level")).collect())
+    level = F.lit(None).cast("double")
+    for r in sorted((r for r in levels if r["n"] >= LEAST_SUPPORT), key=lambda r: r["size"]):
+        level = F.when(F.col("size") >= r["size"], max(r["level"], LEAST_LOSS)).otherwise(level)
+    return (F.col("lang_pred") == UNKNOWN) | F.coalesce(F.col("loss") > level, F.lit(False))
+
+
 def identify(docs: DataFrame, most: int = SAMPLE) -> DataFrame:
     """Learn from the rows of ``docs`` (``doc_id, text, lang``) that are not held out, and predict
     all: rows ``doc_id, held_out, lang_pred, score, ambiguous``.

@@ -10,7 +10,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from mnemoframe.llm import (
-    byte_bpe, common, fingerprints, fm_index, jaccard, language, mixing, pii, substrings, token_files, toxicity, vectors)
+    byte_bpe, common, fingerprints, fm_index, jaccard, language, mixing, pii, stages, substrings, token_files, toxicity, vectors)
 from plain import jaccard_components, personal, sha, shingles, without_repeats, words
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, row string, key string, grams int"
@@ -111,6 +111,20 @@ def test_language(spark):
     assert language.codewords(12).shape[0] == 12 and len({tuple(c) for c in language.codewords(12)}) == 12
 
 
+def test_languages_that_were_not_learned_are_dropped(spark):
+    rnd = random.Random(16)
+    vocabulary = {"aa": ["the", "and", "of", "tion"], "bb": ["der", "und", "ich", "ein"], "cc": ["que", "los", "ción", "ará"], "dd": ["och", "att", "jag", "är"]}
+    made = lambda words: " ".join(rnd.choice(words) for _ in range(60))
+    rows = [(i, made(vocabulary[k]), k, "s", 0) for i, k in enumerate(list(vocabulary) * 60)]
+    rows += [(1000 + i, made(["привет", "мир", "хорошо", "сегодня"]), None, "s", 0) for i in range(20)]
+    rows += [(2000 + i, "".join(rnd.choice("bcdfghjkqvwxz ") for _ in range(180)), None, "s", 0) for i in range(20)]
+    rows += [(3000 + i, made(vocabulary["aa"]), None, "s", 0) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    left = {r.doc_id for r in stages.keep_known_languages(spark, docs, "").collect()}
+    assert left >= {i for i, *_ in rows if i < 1000 or i >= 3000}
+    assert len(left) <= 262
+
+
 @pytest.mark.parametrize("many", [2, 2000])
 def test_repeated_passages(spark, monkeypatch, many):
     monkeypatch.setattr(substrings, "MANY", many)
