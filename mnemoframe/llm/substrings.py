@@ -64,6 +64,15 @@ def _segments(words: Words, length: int):
     return row[at], grams[least[at]].view(np.int64), digest.view(np.int64), first - words.first[row[at]], count
 
 
+def _told_apart(group: tuple[np.ndarray, ...], key: np.ndarray, start: np.ndarray):
+    """Masks of sorted rows: the first of each group, and those at another place than it.  What is at its
+    place comes from a row with the same id and is in neither."""
+    lead = np.ones(len(key), dtype=bool)
+    lead[1:] = np.any([g[1:] != g[:-1] for g in group], axis=0)
+    at = np.flatnonzero(lead)[np.cumsum(lead) - 1] if len(key) else np.zeros(0, dtype=np.int64)
+    return lead, (key != key[at]) | (start != start[at])
+
+
 def _merged(key: np.ndarray, start: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
     """Ranges of windows with those that touch put together."""
     order = np.lexsort((start, key))
@@ -98,9 +107,8 @@ def segments(docs: DataFrame, length: int) -> DataFrame:
         anchor, digest, key, start, n = (np.concatenate(p) for p in zip(*parts))
         del parts
         order = np.lexsort((start, key, digest))
-        first = np.ones(len(order), dtype=bool)
-        first[1:] = digest[order][1:] != digest[order][:-1]
-        again, order = order[~first], order[first]
+        first, later = _told_apart((digest[order],), key[order], start[order])
+        again, order = order[later], order[first]
         yield _ranges(key[again], start[again].astype(np.int64), n[again].astype(np.int64))
         for at in range(0, len(order), 100_000):
             some = order[at:at + 100_000]
@@ -115,7 +123,7 @@ def meet(rows: DataFrame) -> DataFrame:
     """Of all segments: ranges that repeat an earlier segment (without an anchor), and first segments that share
     their anchor with a different one."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # anchor and digest of the row before
+        last = None  # anchor, digest, key and start of the first row of the segment before
         waiting, open_anchor = None, None  # a first segment alone so far; an anchor known to have several
         for batch in batches:
             known = batch.column("digest").is_valid().to_numpy(zero_copy_only=False)
@@ -125,13 +133,17 @@ def meet(rows: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             anchor, digest = batch.column("anchor").to_numpy(), batch.column("digest").to_numpy()
-            new = np.ones(len(anchor), dtype=bool)
-            new[1:] = (anchor[1:] != anchor[:-1]) | (digest[1:] != digest[:-1])
-            new[0] = last != (anchor[0], digest[0])
-            last = (anchor[-1], digest[-1])
-            if not new.all():
-                again = batch.filter(pa.array(~new))
-                yield _kept(_ranges(*(again.column(c).to_numpy() for c in ("key", "start", "n"))), None)
+            key, start = batch.column("key").to_numpy(), batch.column("start").to_numpy()
+            new, later = _told_apart((anchor, digest), key, start)
+            if last is not None and last[:2] == (anchor[0], digest[0]):
+                until = int(np.flatnonzero(new)[1]) if new.sum() > 1 else len(new)
+                later[:until] = (key[:until] != last[2]) | (start[:until] != last[3])
+                new[0] = False
+            if new.any():
+                lead = np.flatnonzero(new)[-1]
+                last = (anchor[lead], digest[lead], key[lead], start[lead])
+            if later.any():
+                yield _kept(_ranges(key[later], start[later], batch.column("n").to_numpy()[later]), None)
             firsts = pa.Table.from_batches([b for b in (waiting, batch.filter(pa.array(new))) if b is not None])
             firsts = firsts.combine_chunks()
             waiting = None
@@ -233,10 +245,7 @@ def _later(group: np.ndarray, key: np.ndarray, start: np.ndarray) -> pa.RecordBa
     """Ranges of the windows that are not at the first place of their group."""
     order = np.lexsort((start, key, group))
     group, key, start = group[order], key[order], start[order]
-    lead = np.ones(len(group), dtype=bool)
-    lead[1:] = group[1:] != group[:-1]
-    at = np.flatnonzero(lead)[np.cumsum(lead) - 1] if len(group) else np.zeros(0, dtype=np.int64)
-    later = (key != key[at]) | (start != start[at])
+    later = _told_apart((group,), key, start)[1]
     found = _merged(key[later], start[later], np.ones(int(later.sum()), dtype=np.int64))
     return pa.RecordBatch.from_arrays(list(map(pa.array, found)), ["key", "start", "n"])
 
@@ -257,9 +266,8 @@ def windows(slices: DataFrame, length: int) -> DataFrame:
             key, start = batch.column("key").to_numpy()[of], batch.column("start").to_numpy()[of] + shift
             order = np.lexsort((start, key, window))
             window, key, start = window[order], key[order], start[order]
-            lead = np.ones(len(window), dtype=bool)
-            lead[1:] = window[1:] != window[:-1]
-            for mask, named in ((lead, True), (~lead, False)):
+            lead, later = _told_apart((window,), key, start)
+            for mask, named in ((lead, True), (later, False)):
                 found = [key[mask], start[mask], np.ones(int(mask.sum()), dtype=np.int64)]
                 found = found if named else _merged(*found)
                 yield pa.RecordBatch.from_arrays(

@@ -141,6 +141,16 @@ def test_repeated_passages_of_odd_tables(spark):
     assert substrings.remove(frame(spark, ["a"]).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("many,parts", [(0, 1), (2000, 1), (2000, 8)])
+def test_rows_that_stand_twice_keep_their_words(spark, monkeypatch, many, parts):
+    monkeypatch.setattr(substrings, "MANY", many)
+    text = [" ".join(f"{c}{i}" for i in range(30)) for c in "xyz"]
+    # 5 stands twice without an earlier copy, in 6 part of it stands again before other words
+    docs = frame(spark, [text[0] + " " + text[1], text[0] + " " + text[1], text[0] + " " + text[2], text[2]], [5, 5, 6, 7]).repartition(parts)
+    got = sorted((r.doc_id, r.n_removed) for r in substrings.remove(docs).collect())
+    assert got == [(5, 0), (5, 0), (6, 30), (7, 30)]
+
+
 def test_index_finds_repeated_patterns():
     rnd = np.random.default_rng(4)
     for top in (1, 2, 9):
