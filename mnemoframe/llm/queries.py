@@ -8,7 +8,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mnemoframe.llm import byte_bpe, fingerprints, jaccard, language, mixing, pii, substrings, token_files, toxicity, vectors
+from mnemoframe.llm import (
+    alignment, byte_bpe, fingerprints, jaccard, language, licenses, merkle, mixing, pii, substrings, token_files, toxicity, vectors)
 from mnemoframe.llm.common import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -151,3 +152,147 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.remove(table(spark, folder, "documents")).select(
         "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op11_token_alignment")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    aligned = alignment.align(
+        table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("piece_bpe_32k.model"))
+    return aligned.select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum",
+        F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256"))
+
+
+def _values(templates) -> str:
+    return ", ".join(
+        "('{}', [{}], {}, {})".format(t.label, ", ".join(f"'{w}'" for w in t.words), t.asked(), str(t.phrase).lower())
+        for t in templates)
+
+
+OP12_SQL = rf"""
+WITH templates(label, listed, asked, phrase) AS (VALUES {_values(licenses.PHRASES + licenses.STATEMENTS)}),
+sized AS (SELECT *, len(listed) AS width, list_distinct(listed) AS set FROM templates),
+texts AS (
+  SELECT row_number() OVER () AS row, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents),
+likely AS (SELECT * FROM texts, sized WHERE len(list_intersect(words, set)) >= asked),
+blocks AS (
+  SELECT row, label, asked, phrase, listed, width, set, b * width AS low, words[b * width + 1:b * width + 2 * width] AS held
+  FROM (SELECT *, unnest(range((len(words) + width - 1) // width)) AS b FROM likely)),
+places AS (
+  SELECT row, label, low + o AS first
+  FROM (SELECT *, unnest(range(width)) AS o FROM blocks WHERE phrase)
+  WHERE held[o + 1:o + width] = listed),
+passages AS (
+  SELECT row, label, len(list_intersect(list_distinct(held), set)) / len(set)::DOUBLE AS share
+  FROM blocks WHERE NOT phrase AND len(list_intersect(list_distinct(held), set)) >= asked),
+base AS (
+  SELECT row, count(*) AS n, min(first) AS first_word, max(first) AS last_word,
+    string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM places GROUP BY row),
+every AS (
+  SELECT row, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS share
+  FROM (SELECT row, label, 1.0 AS share FROM places UNION ALL SELECT row, label, share FROM passages) GROUP BY row)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word,
+  last_word::BIGINT AS last_word, coalesce(b.labels, '') AS base_labels, coalesce(e.labels, '') AS labels,
+  coalesce(share, 0)::DOUBLE AS score
+FROM texts LEFT JOIN base b USING (row) LEFT JOIN every e USING (row)
+"""
+
+
+@query("op12_licenses", OP12_SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    places = F.filter("found", lambda f: f["phrase"])
+
+    def labels(found):
+        return F.array_join(F.sort_array(F.array_distinct(F.transform(found, lambda f: f["label"]))), ",")
+
+    starts = F.transform(places, lambda f: f["first"])
+    return licenses.scan(table(spark, folder, "documents")).select(
+        "doc_id", "n_words", F.size(places).cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        labels(places).alias("base_labels"), labels(F.col("found")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("found", lambda f: f["share"])), F.lit(0.0)).alias("score"))
+
+
+def _told(value: str) -> str:
+    return f"coalesce(strlen({value}) || ':' || {value}, '-')"
+
+
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ROW = " || ".join(_told(c) for c in ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", "{text}"))
+OP13_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS row, lang, doc_id, sha256({_ROW.format(text="text")}) AS leaf,
+    CASE WHEN crc32 % 3 = 0 THEN sha256({_ROW.format(text=_LOWER)}) ELSE sha256({_ROW.format(text="text")}) END AS told
+  FROM (SELECT *, (
+    -- crc32 of the decimal id, bit by bit
+    SELECT xor(list_reduce(list_prepend(4294967295, list_transform(string_split(coalesce(doc_id::VARCHAR, ''), ''),
+      lambda x: ascii(x)::BIGINT)), lambda acc, x: list_reduce(list_prepend(xor(acc, x), range(8)),
+      lambda a, _: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END)), 4294967295)) AS crc32
+    FROM documents)),
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx,
+    count(*) OVER (PARTITION BY lang) AS n FROM d),
+up AS (
+  SELECT lang, 0 AS lvl, idx, leaf AS h, n FROM leaves
+  UNION ALL
+  SELECT lang, lvl + 1, idx // 8, sha256(string_agg(h, '' ORDER BY idx)), (max(n) + 7) // 8
+  FROM up WHERE n > 1 GROUP BY lang, lvl, idx // 8),
+tops AS (
+  SELECT lang, lvl AS levels, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place, count(*) OVER () AS trees
+  FROM up WHERE n = 1),
+forest AS (
+  SELECT 0 AS lvl, place AS idx, h, trees AS n FROM tops
+  UNION ALL
+  SELECT lvl + 1, idx // 8, sha256(string_agg(h, '' ORDER BY idx)), (max(n) + 7) // 8
+  FROM forest WHERE n > 1 GROUP BY lvl, idx // 8),
+-- each tree's nodes with the forest's above its root: one tree, whose numbers go on from the root's
+whole AS (
+  SELECT u.lang, u.lvl, u.idx, u.h FROM up u WHERE n > 1
+  UNION ALL
+  SELECT t.lang, t.levels + f.lvl, f.idx, f.h FROM tops t, forest f),
+way AS (
+  SELECT row, l.lang, told, s.lvl, CASE WHEN s.lvl < t.levels THEN l.idx // (8 ** s.lvl)::BIGINT
+    ELSE t.place // (8 ** (s.lvl - t.levels))::BIGINT END AS idx
+  FROM leaves l JOIN tops t ON l.lang IS NOT DISTINCT FROM t.lang
+  JOIN (SELECT DISTINCT lang, lvl FROM whole) s ON s.lang IS NOT DISTINCT FROM l.lang
+  WHERE s.lvl < t.levels + (SELECT max(lvl) FROM forest)),
+siblings AS (
+  SELECT row, way.lvl, coalesce(string_agg(h, '' ORDER BY whole.idx) FILTER (whole.idx < way.idx), '') AS before,
+    coalesce(string_agg(h, '' ORDER BY whole.idx) FILTER (whole.idx > way.idx), '') AS after
+  FROM way JOIN whole ON whole.lang IS NOT DISTINCT FROM way.lang AND whole.lvl = way.lvl AND whole.idx // 8 = way.idx // 8
+  GROUP BY row, way.lvl),
+proofs AS (
+  SELECT row, string_agg(before || after, '' ORDER BY lvl) AS proof,
+    list(struct_pack(b := before, a := after) ORDER BY lvl) AS steps FROM siblings GROUP BY row),
+folded AS (
+  SELECT row, told AS h, 0 AS at FROM leaves
+  UNION ALL
+  SELECT row, sha256(steps[at + 1].b || h || steps[at + 1].a), at + 1
+  FROM folded JOIN proofs USING (row) WHERE at < len(steps))
+SELECT l.doc_id, l.leaf, t.h AS subroot, r.h AS root, sha256(coalesce(p.proof, '')) AS proof_sha256,
+  f.h AS folded_root, f.h = r.h AS verified
+FROM leaves l JOIN tops t ON l.lang IS NOT DISTINCT FROM t.lang
+JOIN (SELECT h FROM forest WHERE n = 1) r ON true
+LEFT JOIN proofs p USING (row)
+JOIN folded f ON f.row = l.row AND f.at = coalesce(len(p.steps), 0)
+"""
+
+
+@query("op13_merkle", OP13_SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+    def leaf(text):
+        return merkle.row_digest(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text)
+
+    tampered = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == 0
+    leaves = docs.select("doc_id", "lang", leaf(F.col("text")).alias("leaf"), F.when(tampered, leaf(lower)).alias("told"))
+    proved = merkle.manifest(leaves, "lang", "doc_id")
+    return proved.withColumn("folded_root", merkle.folded(F.coalesce("told", "leaf"), F.col("proof"))).select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(merkle.proof_text(F.col("proof")), 256).alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
