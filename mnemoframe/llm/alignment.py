@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from mnemoframe.llm.common import chunks, mixed, small_batches, store, text_bytes
 
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 _UNITS_AT_ONCE = 20_000
 _OUT_BYTES = 4 << 20
 

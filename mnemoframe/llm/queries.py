@@ -269,16 +269,16 @@ proofs AS (
   SELECT row, string_agg(before || after, '' ORDER BY lvl) AS proof,
     list(struct_pack(b := before, a := after) ORDER BY lvl) AS steps FROM siblings GROUP BY row),
 folded AS (
-  SELECT row, told AS h, 0 AS at FROM leaves
+  SELECT row, told AS h, 0 AS pos FROM leaves
   UNION ALL
-  SELECT row, sha256(steps[at + 1].b || h || steps[at + 1].a), at + 1
-  FROM folded JOIN proofs USING (row) WHERE at < len(steps))
+  SELECT row, sha256(steps[pos + 1].b || h || steps[pos + 1].a), pos + 1
+  FROM folded JOIN proofs USING (row) WHERE pos < len(steps))
 SELECT l.doc_id, l.leaf, t.h AS subroot, r.h AS root, sha256(coalesce(p.proof, '')) AS proof_sha256,
   f.h AS folded_root, f.h = r.h AS verified
 FROM leaves l JOIN tops t ON l.lang IS NOT DISTINCT FROM t.lang
 JOIN (SELECT h FROM forest WHERE n = 1) r ON true
 LEFT JOIN proofs p USING (row)
-JOIN folded f ON f.row = l.row AND f.at = coalesce(len(p.steps), 0)
+JOIN folded f ON f.row = l.row AND f.pos = coalesce(len(p.steps), 0)
 """
 
 
