@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from mnemoframe.llm.common import chunks, mixed, small_batches, store, text_bytes
+from mnemoframe.llm.common import chunks, cuttable, mixed, small_batches, spread, store, text_bytes
 
 BLOCK_BYTES = 4 << 20
 _UNITS_AT_ONCE = 20_000
@@ -205,7 +205,9 @@ def _tokens(texts: pa.Array, a: _Vocabulary, b: _Vocabulary) -> tuple[np.ndarray
     full = np.flatnonzero(np.diff(at))
     data = np.insert(data, at[full], 32)
     at = at + np.concatenate(([0], np.cumsum(np.diff(at) > 0)))
-    starts = np.union1d(at[full], np.flatnonzero(_cuttable(data, at)))
+    begin = cuttable(data, at)
+    begin[at[full]] = True
+    starts = np.flatnonzero(begin)
     units = pa.StringArray.from_buffers(
         len(starts), pa.py_buffer(np.append(starts, len(data)).astype(np.int32)), pa.py_buffer(data)).dictionary_encode()
     of = np.searchsorted(starts, at)  # units of text n: of[n] to of[n + 1]
@@ -231,25 +233,6 @@ def _tokens(texts: pa.Array, a: _Vocabulary, b: _Vocabulary) -> tuple[np.ndarray
     return tuple(out)
 
 
-def _cuttable(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """True at spaces inside a text that follow no white space and do not end the text.
-
-    A character that might be white space in some version of Unicode counts as such.
-    """
-    out = data == 32
-    back = [np.concatenate((np.zeros(n, np.uint8), data[:-n])) if len(data) > n else np.zeros(len(data), np.uint8)
-            for n in (1, 2, 3)]
-    out &= (back[0] > 32) & (back[0] != 127)
-    out &= ~((back[1] == 0xC2) & ((back[0] == 0x85) | (back[0] == 0xA0)))
-    out &= ~((back[2] == 0xE2) & ((back[1] == 0x80) | (back[1] == 0x81)))
-    out &= ~((back[2] == 0xE1) & ((back[1] == 0x9A) | (back[1] == 0xA0)))
-    out &= ~((back[2] == 0xE3) & (back[1] == 0x80)) & ~((back[2] == 0xEF) & (back[1] == 0xBB))
-    if len(out):
-        out[at[:-1][np.diff(at) > 0]] = False
-        out[at[1:][np.diff(at) > 0] - 1] = False
-    return out
-
-
 def group_cuts(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """How many tokens of A, and of B, stand before the end of each group.
 
@@ -318,7 +301,7 @@ class _Groups:
                 break
             seed += 1  # two different groups had one hash
         (self.sizes_a, self.ids_a), (self.sizes_b, self.ids_b) = (
-            (sizes[first], ids[_spread(starts[first], sizes[first])]) for ids, starts, sizes in sides)
+            (sizes[first], ids[spread(starts[first], sizes[first])]) for ids, starts, sizes in sides)
         self.links = self.sizes_a.astype(np.int64) * self.sizes_b
 
     @staticmethod
@@ -334,7 +317,7 @@ class _Groups:
 
     @staticmethod
     def _same(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, like: np.ndarray) -> bool:
-        return np.array_equal(sizes, sizes[like]) and np.array_equal(ids, ids[_spread(starts[like], sizes)])
+        return np.array_equal(sizes, sizes[like]) and np.array_equal(ids, ids[spread(starts[like], sizes)])
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Group, pair of ids (A's times 2 ** 32 plus B's), and links of the pair in the group: once each."""
@@ -345,7 +328,7 @@ class _Groups:
             sides.append((keys >> 32, keys & 0xFFFFFFFF, times))
         (group, a, times_a), (of, b, times_b) = sides
         width = np.bincount(of, minlength=len(self.sizes_a))
-        place = _spread((np.cumsum(width) - width)[group], width[group])
+        place = spread((np.cumsum(width) - width)[group], width[group])
         full = np.repeat(np.arange(len(group)), width[group])
         return group[full], a[full] << 32 | b[place], times_a[full] * times_b[place]
 
@@ -357,17 +340,11 @@ class _Groups:
         first = np.cumsum(width) - width
         held = np.unique(row.astype(np.int64) << 32 | self.number)  # groups of each document, once
         document, group = held >> 32, held & 0xFFFFFFFF
-        seen = number[_spread(first[group], width[group])]
+        seen = number[spread(first[group], width[group])]
         once = np.unique(np.repeat(document, width[group]) << 32 | seen)
         return pairs, np.bincount(once & 0xFFFFFFFF, minlength=len(pairs))
 
 
-def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The numbers from each start on, so many each, in a row."""
-    ends = np.cumsum(sizes, dtype=np.int64)
-    return np.repeat(starts - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
-
-
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for block, pairs, docs in zip(*(batch.column(c) for c in ("block", "pairs", "docs"))):

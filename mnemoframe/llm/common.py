@@ -116,6 +116,31 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[at[0]:at[-1]], at - at[0]
 
 
+def cuttable(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """True at spaces inside a text that follow no white space and do not end the text.
+
+    A character that might be white space in some version of Unicode counts as such.
+    """
+    out = data == 32
+    back = [np.concatenate((np.zeros(n, np.uint8), data[:-n])) if len(data) > n else np.zeros(len(data), np.uint8)
+            for n in (1, 2, 3)]
+    out &= (back[0] > 32) & (back[0] != 127)
+    out &= ~((back[1] == 0xC2) & ((back[0] == 0x85) | (back[0] == 0xA0)))
+    out &= ~((back[2] == 0xE2) & ((back[1] == 0x80) | (back[1] == 0x81)))
+    out &= ~((back[2] == 0xE1) & ((back[1] == 0x9A) | (back[1] == 0xA0)))
+    out &= ~((back[2] == 0xE3) & (back[1] == 0x80)) & ~((back[2] == 0xEF) & (back[1] == 0xBB))
+    if len(out):
+        out[at[:-1][np.diff(at) > 0]] = False
+        out[at[1:][np.diff(at) > 0] - 1] = False
+    return out
+
+
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, so many each, in a row."""
+    ends = np.cumsum(sizes, dtype=np.int64)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 class Words:
     """Words (runs without ASCII white space, or of the bytes given) of a batch of texts.
 

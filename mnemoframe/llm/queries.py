@@ -81,8 +81,8 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_byte_bpe")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    ids = byte_bpe.encode(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
-    return byte_bpe.decode(ids, ranks).select(
+    encoded = byte_bpe.encode(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN, decoded=True)
+    return encoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),

@@ -93,6 +93,5 @@ def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Rows ``doc_id, n_tokens, ids, decoded_sha256``: the token ids of each text, and a digest of the
     bytes that they decode to."""
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    ids = byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN)
-    return byte_bpe.decode(ids, ranks).select(
+    return byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN, decoded=True).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))

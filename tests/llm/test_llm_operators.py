@@ -339,20 +339,40 @@ def test_jaccard_of_odd_tables(spark):
     assert jaccard.link(frame(spark, [None, ""])).count() == 2
 
 
-def test_byte_bpe(spark):
-    made = byte_bpe.encoder(RANKS, public_tokenizers.PATTERN)
-    reference = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=made.ranks, special_tokens={})
+def bpe_texts():
     rnd = random.Random(13)
-    parts = [" ", "\n", "\t", "a", "the", "ing", "'s", "é", "ß", "中", "🙂", "0", "12", "!!", "　", "aaaa", "  "]
-    texts = odd_texts(14) + ["".join(rnd.choice(parts) for _ in range(rnd.choice([3, 20, 80]))) for _ in range(500)] + ["a" * 30_000]
+    parts = [" ", "\n", "\t", "a", "the", "ing", "'s", "é", "ß", "中", "🙂", "0", "12", "!!", "\u3000", "\u00a0", "aaaa", "  ", "\n\n", "tion", "ation", "zq"]
+    return odd_texts(14) + ["".join(rnd.choice(parts) for _ in range(rnd.choice([3, 20, 80]))) for _ in range(500)] + [
+        "a" * 30_000, "ab" * 9000, "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9000))]
+
+
+@pytest.mark.parametrize("pattern", [public_tokenizers.PATTERN, r"[^\s]{1,3}|\s+", r"(?s:.{1,7})"])
+def test_byte_bpe(spark, monkeypatch, pattern):
+    ranks = byte_bpe.read_ranks(RANKS)
+    reference = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    texts = bpe_texts()
     docs = frame(spark, texts)
-    out = byte_bpe.decode(byte_bpe.encode(docs, RANKS, public_tokenizers.PATTERN), RANKS).collect()
+    monkeypatch.setattr(byte_bpe, "KEPT_PAIRS", 300)  # forget often
+    monkeypatch.setattr(byte_bpe, "KEPT_UNITS", 200)
+    monkeypatch.setattr(byte_bpe, "_CHUNK_BYTES", 5000)
+    encoded = byte_bpe.encode(docs, RANKS, pattern, decoded=True)
+    out = {r.doc_id: r for r in encoded.collect()}
     assert len(out) == len(texts)
-    for r in out:
-        text = texts[r.doc_id] or ""
-        assert r.ids == reference.encode_ordinary(text), r.doc_id
-        assert bytes(r.decoded).decode() == text
-    assert byte_bpe.encode(docs.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
+    for n, text in enumerate(texts):
+        assert out[n].ids == reference.encode_ordinary(text or ""), n
+        assert bytes(out[n].decoded).decode() == (text or "")
+    again = byte_bpe.decode(encoded.select("doc_id", "ids"), RANKS).collect()
+    assert all(bytes(r.decoded) == bytes(out[r.doc_id].decoded) for r in again)
+    assert byte_bpe.encode(docs.limit(0), RANKS, pattern, decoded=True).count() == 0
+
+
+def test_byte_bpe_decoding_of_null_and_unknown_ids(spark):
+    rows = spark.createDataFrame([(1, None), (2, []), (3, [0, 1])], "doc_id long, ids array<int>")
+    token = {i: b for b, i in byte_bpe.read_ranks(RANKS).items()}
+    got = {r.doc_id: bytes(r.decoded) for r in byte_bpe.decode(rows, RANKS).collect()}
+    assert got == {1: b"", 2: b"", 3: token[0] + token[1]}
+    with pytest.raises(Exception, match="does not have"):
+        byte_bpe.decode(spark.createDataFrame([(1, [10 ** 6])], "doc_id long, ids array<int>"), RANKS).collect()
 
 
 def test_components_of_a_long_chain(spark):
