@@ -16,8 +16,7 @@ from mnemoframe.operators.vector_search import TIE_DIGITS
 def postings(facts: DataFrame, on: Sequence[str] = SCOPE) -> DataFrame:
     """``scope…, fact_id, term, tf, dl``: the inverted index, one row per term of a fact.
 
-    Term counts are folded per fact before the shuffle.  Write it bucketed or
-    sorted by term and pass it to ``bm25`` to search without reading texts.
+    Term counts are folded per fact before the shuffle.  ``keyword_index`` stores it.
     """
     docs = facts.select(*on, "fact_id", search_terms(F.col("content")).alias("_terms"))
     words = docs.select(*on, "fact_id", F.size("_terms").cast("long").alias("dl"),
@@ -49,9 +48,17 @@ def matching_postings(facts: DataFrame, terms: DataFrame, on: Sequence[str] = SC
 
 
 def bm25_weight(tf: Column, dl: Column, df: Column, n: Column, avg_dl: Column) -> Column:
-    idf = F.log(1 + (n - df + 0.5) / (df + 0.5))
+    return idf(df, n) * bm25_saturation(tf, dl, avg_dl)
+
+
+def idf(df: Column, n: Column) -> Column:
+    return F.log(1 + (n - df + 0.5) / (df + 0.5))
+
+
+def bm25_saturation(tf: Column, dl: Column, avg_dl: Column) -> Column:
+    """Weight of a term in a fact without its rarity; at most ``k1 + 1``."""
     k1, b = F.lit(fv.BM25_K1), fv.BM25_B
-    return idf * tf * (k1 + 1) / (tf + k1 * (F.lit(1 - b) + F.lit(b) * dl / avg_dl))
+    return tf * (k1 + 1) / (tf + k1 * (F.lit(1 - b) + F.lit(b) * dl / avg_dl))
 
 
 def bm25(terms: DataFrame, hits: DataFrame, stats: DataFrame, k: int,

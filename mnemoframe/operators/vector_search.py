@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from mnemoframe.functions import fixed_values as fv, vectors
 from mnemoframe.operators.grouping import salted_join, top_k
 from mnemoframe.operators.lookups import SCOPE, searchable, valid_at
+from mnemoframe.operators.vector_blocks import vector_blocks
 
 # Similarities closer than this count as equal, so ties break by id on any machine.
 TIE_DIGITS = 9
@@ -21,9 +22,23 @@ def with_norm(rows: DataFrame, vector: str, out: str) -> DataFrame:
 
 
 def similar_pairs(queries: DataFrame, rows: DataFrame, on: Sequence[str], row_id: str,
-                  min_similarity: float, salts: int = 8) -> DataFrame:
+                  min_similarity: float, salts: int = 8, k: int | None = None) -> DataFrame:
     """``query_id, row_id, similarity`` of pairs that share the keys and pass the floor.
 
+    Queries of a checked size meet the vectors where those lie; more of them are joined.
+    With ``k`` only rows that can be among a query's best ``k`` need come.
+    """
+    found = vector_blocks(queries, rows, on, row_id, min_similarity, k)
+    if found is None:
+        return joined_pairs(queries, rows, on, row_id, min_similarity, salts)
+    rounded = F.round("similarity", TIE_DIGITS)
+    return found.withColumn("similarity", rounded).where(F.col("similarity") >= min_similarity)
+
+
+def joined_pairs(queries: DataFrame, rows: DataFrame, on: Sequence[str], row_id: str,
+                 min_similarity: float, salts: int = 8) -> DataFrame:
+    """The same pairs for any number of queries.
+
     The join is an equi-join on the scope, hot scopes are salted, and vectors are
     dropped as soon as the similarity is known.
     """
@@ -40,7 +55,7 @@ def similar_pairs(queries: DataFrame, rows: DataFrame, on: Sequence[str], row_id
 
 def nearest(queries: DataFrame, rows: DataFrame, on: Sequence[str], row_id: str, k: int,
             min_similarity: float, salts: int = 8) -> DataFrame:
-    pairs = similar_pairs(queries, rows, on, row_id, min_similarity, salts)
+    pairs = similar_pairs(queries, rows, on, row_id, min_similarity, salts, k)
     return top_k(pairs, ["query_id"], [F.col("similarity").desc(), F.col(row_id)], k,
                  rank="position")
 

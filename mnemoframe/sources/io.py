@@ -39,17 +39,6 @@ def write_facts(facts: DataFrame, path: str, mode: str = "append") -> None:
     facts.write.mode(mode).partitionBy("tenant_id", "scope").parquet(path)
 
 
-def write_postings(postings: DataFrame, path: str, files_per_scope: int = 8) -> None:
-    """The inverted index by tenant and scope, sorted by term inside each file.
-
-    A hot scope is spread over ``files_per_scope`` tasks by term.
-    """
-    shard = F.pmod(F.xxhash64("term"), F.lit(files_per_scope))
-    (postings.repartition("tenant_id", "scope", "scope_id", shard)
-     .sortWithinPartitions("tenant_id", "scope", "term")
-     .write.mode("overwrite").partitionBy("tenant_id", "scope").parquet(path))
-
-
 def export_scope(facts: DataFrame, entities: DataFrame, edges: DataFrame,
                  sessions: DataFrame, scopes: DataFrame) -> DataFrame:
     """Facts, sessions, their tenants' entities and edges as ``kind, id, body`` rows.

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import functions as F
 
 from mnemoframe.functions import dates, fixed_values as fv, scoring
-from mnemoframe.operators import graph, keyword_search as kw, ranking, triggers, vector_search as vs
+from mnemoframe.operators import (
+    graph, keyword_index, keyword_search as kw, lookups, ranking, triggers, vector_index, vector_search as vs)
 from mnemoframe.plans.search import Memory, SearchOptions, access_records, candidates, search
+from mnemoframe.session import shared_folder
 from workload import fragments as fr
 from workload.registry import query
 from workload.views import AS_OF, NOW, Tables
@@ -42,6 +45,31 @@ def _(t):
         "similarity", F.round("similarity", 6))
 
 
+def stored_index(t: Tables) -> vector_index.Index:
+    """The open facts in a new coarse index."""
+    facts = t.facts.where(lookups.valid_at())
+    return vector_index.write(facts, vector_index.fit(facts, "fact_id"), f"{shared_folder(t.spark)}/cells-{uuid.uuid4().hex}")
+
+
+@query("vec_topk_probed")
+def _(t):
+    return vector_index.search(t.requests, stored_index(t)).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("vec_topk_all_cells", f"WITH {fr.vector_cte('v', 10, 0.0)} SELECT query_id, fact_id, round(similarity, 6) AS similarity, position FROM v")
+def _(t):
+    index = stored_index(t)
+    return vector_index.search(t.requests, index, probes=index.cells).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("vec_probed_recall", f"WITH {fr.vector_cte('v', 10, 0.0)} SELECT CAST(count(DISTINCT query_id) AS BIGINT) AS queries, CAST(count(*) AS BIGINT) AS wanted, true AS nine_tenths FROM v")
+def _(t):
+    found = vector_index.search(t.requests, stored_index(t))
+    return vector_index.recall(found, vs.vector_search(t.requests, t.facts)).agg(
+        F.count(F.lit(1)).alias("queries"), F.sum("wanted").alias("wanted"),
+        (F.sum("met") >= 0.9 * F.sum("wanted")).alias("nine_tenths"))
+
+
 @query("vec_similarity_join", f"""SELECT r.query_id, f.fact_id, round({fr.cosine('f.embedding', 'r.embedding')}, 6) AS similarity
   FROM requests r JOIN facts f USING ({fr.S}) WHERE f.embedding IS NOT NULL AND round({fr.cosine('f.embedding', 'r.embedding')}, 9) >= 0.1""")
 def _(t):
@@ -71,6 +99,14 @@ def _(t):
         "query_id", "fact_id", F.round("raw_score", 6).alias("raw_score"), "position")
 
 
+@query("kw_bm25_stored", f"WITH {fr.bm25_cte('b', 10)} SELECT query_id, fact_id, round(raw_score, 6) AS raw_score, round(keyword_score, 6) AS keyword_score, position FROM b")
+def _(t):
+    path = f"{shared_folder(t.spark)}/keywords-{uuid.uuid4().hex}"
+    keyword_index.write(t.facts.where(lookups.valid_at()), path)
+    return keyword_index.search(t.spark, t.requests, path).withColumns(
+        {"raw_score": F.round("raw_score", 6), "keyword_score": F.round("keyword_score", 6)})
+
+
 @query("kw_postings_stats", f"""WITH d AS (SELECT {fr.S}, fact_id, {fr.terms('content')} AS ts FROM facts),
   p AS (SELECT {fr.S}, fact_id, term, count(*) AS tf FROM (SELECT {fr.S}, fact_id, unnest(ts) AS term FROM d) GROUP BY ALL)
   SELECT {fr.S}, term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM p GROUP BY ALL""")
