@@ -17,9 +17,10 @@ below it are skipped; the postings of asked terms in the ranges that are left ar
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from mnemoframe.functions import fixed_values as fv
 from mnemoframe.operators.grouping import top_k
@@ -46,18 +47,29 @@ def write(facts: DataFrame, path: str, on: Sequence[str] = SCOPE) -> None:
               .withColumn("range", F.pmod(F.xxhash64("fact_id"), F.col("_ranges")))
               .withColumn("folder", _folder()))
     # a folder of a hot term's is written by several tasks: ranges spread it
-    (listed.repartition("folder", F.col("range") % 8)
-     .sortWithinPartitions("folder", "term", *on, "range")
-     .select(*on, "term", "range", "fact_id", "tf", "dl", "folder")
-     .write.partitionBy("folder").parquet(f"{path}/postings"))
-    stored = spark.read.parquet(f"{path}/postings").join(spans.drop("_ranges"), list(on))
+    listed = (listed.repartition("folder", F.col("range") % 8)
+              .sortWithinPartitions("folder", "term", *on, "range")
+              .select(*on, "term", "range", "fact_id", "tf", "dl", "folder"))
+    _stored(listed, f"{path}/postings")
+    stored = _read(spark, f"{path}/postings").join(spans.drop("_ranges"), list(on))
     bounds = stored.groupBy("folder", *on, "term", "range").agg(
         F.max(bm25_saturation(F.col("tf"), F.col("dl"), F.col("avg_dl"))).alias("bound"),
         F.count(F.lit(1)).alias("_facts"))
     frequency = bounds.groupBy(*on, "term").agg(F.sum("_facts").alias("df"))
-    (bounds.drop("_facts").join(frequency, [*on, "term"])
-     .repartition("folder", F.col("range") % 8).sortWithinPartitions("folder", "term", *on)
-     .write.partitionBy("folder").parquet(f"{path}/blocks"))
+    _stored(bounds.drop("_facts").join(frequency, [*on, "term"])
+            .repartition("folder", F.col("range") % 8).sortWithinPartitions("folder", "term", *on)
+            .select(*on, "term", "range", "bound", "df", "folder"), f"{path}/blocks")
+
+
+def _stored(rows: DataFrame, path: str) -> None:
+    """By folder, with the schema beside: a table without rows has no file that tells it."""
+    rows.write.partitionBy("folder").parquet(path)
+    rows.sparkSession.createDataFrame([(rows.schema.json(),)], "schema string").coalesce(1).write.text(f"{path}-schema")
+
+
+def _read(spark: SparkSession, path: str) -> DataFrame:
+    told = spark.read.text(f"{path}-schema").first()[0]
+    return spark.read.schema(T.StructType.fromJson(json.loads(told))).parquet(path)
 
 
 def search(spark: SparkSession, queries: DataFrame, path: str, k: int = fv.DEFAULT_LIMIT,
@@ -67,12 +79,12 @@ def search(spark: SparkSession, queries: DataFrame, path: str, k: int = fv.DEFAU
     wanted = [r["folder"] for r in terms.select("folder").distinct().collect()]  # FOLDERS at most
     keys = ["folder", *on, "term"]
     scopes = spark.read.parquet(f"{path}/scopes")
-    blocks = spark.read.parquet(f"{path}/blocks").where(F.col("folder").isin(wanted))
+    blocks = _read(spark, f"{path}/blocks").where(F.col("folder").isin(wanted))
     met = (terms.join(blocks, keys).join(scopes, list(on))
            .withColumn("_idf", idf(F.col("df"), F.col("n_facts")))
            .withColumn("_most", F.col("_idf") * F.col("bound")))
     kept = met.join(promising_ranges(met, k, match_all), ["query_id", "range"])
-    listed = spark.read.parquet(f"{path}/postings").where(F.col("folder").isin(wanted))
+    listed = _read(spark, f"{path}/postings").where(F.col("folder").isin(wanted))
     scored = kept.select(*keys, "range", "query_id", "_idf", "avg_dl").join(listed, [*keys, "range"]).select(
         "query_id", "fact_id",
         (F.col("_idf") * bm25_saturation(F.col("tf"), F.col("dl"), F.col("avg_dl"))).alias("_weight"))

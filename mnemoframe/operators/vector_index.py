@@ -36,6 +36,7 @@ class Index:
     centres: np.ndarray
     on: tuple[str, ...]
     row_id: str
+    schema: T.StructType
 
     @property
     def cells(self) -> int:
@@ -125,20 +126,21 @@ def write(rows: DataFrame, centres: np.ndarray, path: str, row_id: str = "fact_i
     shard = F.pmod(F.xxhash64(row_id), F.lit(shards))
     (placed.repartition("cell", shard).sortWithinPartitions("cell", *on)
      .write.partitionBy("cell").parquet(f"{path}/cells"))
-    rows.sparkSession.read.parquet(f"{path}/cells").groupBy(*on, "cell").agg(
+    rows.sparkSession.read.schema(placed.schema).parquet(f"{path}/cells").groupBy(*on, "cell").agg(
         F.count(F.lit(1)).alias("rows")).write.parquet(f"{path}/counts")
     told = rows.sparkSession.createDataFrame(
         [(n, c.tolist()) for n, c in enumerate(centres)], "cell int, centre array<double>")
     told.coalesce(1).write.parquet(f"{path}/centres")
-    spec = json.dumps({"on": list(on), "row_id": row_id})
+    spec = json.dumps({"on": list(on), "row_id": row_id, "cells": placed.schema.jsonValue()})
     rows.sparkSession.createDataFrame([(spec,)], "spec string").coalesce(1).write.text(f"{path}/spec")
-    return Index(path, centres, tuple(on), row_id)
+    return Index(path, centres, tuple(on), row_id, placed.schema)
 
 
 def load(spark: SparkSession, path: str) -> Index:
     spec = json.loads(spark.read.text(f"{path}/spec").first()[0])
     rows = spark.read.parquet(f"{path}/centres").orderBy("cell").collect()  # MOST_CELLS at most
-    return Index(path, np.array([r["centre"] for r in rows]), tuple(spec["on"]), spec["row_id"])
+    return Index(path, np.array([r["centre"] for r in rows]), tuple(spec["on"]), spec["row_id"],
+                 T.StructType.fromJson(spec["cells"]))
 
 
 def search(queries: DataFrame, index: Index, k: int = fv.DEFAULT_LIMIT, probes: int | None = None,
@@ -160,7 +162,7 @@ def search(queries: DataFrame, index: Index, k: int = fv.DEFAULT_LIMIT, probes:
               .where((F.col("_nth") <= (probes or index.probes())) | (F.col("_before") < reach * k))
               .select("query_id", "cell"))
     wanted = [r["cell"] for r in probed.select("cell").distinct().collect()]  # MOST_CELLS at most
-    stored = spark.read.parquet(f"{index.path}/cells")
+    stored = spark.read.schema(index.schema).parquet(f"{index.path}/cells")
     if len(wanted) < index.cells:
         stored = stored.where(F.col("cell").isin(wanted))
     pairs = similar_pairs(asked.join(probed, "query_id"), stored, (*keys, "cell"), index.row_id, min_similarity, k=k)

@@ -86,6 +86,8 @@ def test_index_of_nothing(spark, tmp_path):
     none = facts(spark).limit(0)
     index = vector_index.write(none, vector_index.fit(none, "fact_id"), str(tmp_path / "a"))
     assert vector_index.search(queries(spark), index).count() == 0
+    keyword_index.write(none, str(tmp_path / "b"))
+    assert keyword_index.search(spark, queries(spark), str(tmp_path / "b")).count() == 0
 
 
 @pytest.mark.parametrize("k", [1, 3, 1000])
