@@ -13,9 +13,9 @@ hold each.  Corpus-wide counts are sums over blocks; they come back to each bloc
 row for each of its pairs, so that no more rows are shuffled than blocks have different
 pairs, however often an id occurs, and no key has more rows than there are blocks.
 
-Texts are cut for encoding where a space follows something that is not white space: both
-tokenizers start a token there whatever stands before, so equal stretches of a block are
-encoded once.  Nothing is remembered between blocks.
+Texts are cut for encoding where a space follows something that is not white space, and
+between a letter and a mark that no piece joins: both tokenizers start a token there
+whatever stands around, so equal stretches of a block are encoded once, and remembered from block to block of a task, ``KEPT_UNITS`` of them at most.
 
 Null and empty texts have no tokens, nor do texts whose tokens' bytes differ from the
 space and the text (as where a text has U+2581, which B takes for a space).  Texts of any length are
@@ -27,9 +27,9 @@ documents each.  An empty table gives an empty result.  Columns other than ``doc
 from __future__ import annotations
 
 import os
+import re
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +38,10 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from mnemoframe.llm.common import chunks, cuttable, mixed, small_batches, spread, store, text_bytes
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 3 << 20
+KEPT_UNITS = 400_000  # some 250 bytes each
 _UNITS_AT_ONCE = 20_000
+MARK = "▁"  # stands for a space in a piece model
 _OUT_BYTES = 4 << 20
 
 _STORED = T.StructType([
@@ -51,6 +53,12 @@ _STORED = T.StructType([
     T.StructField("sizes_b", T.BinaryType()), T.StructField("ids_b", T.BinaryType())])
 
 
+_AFTER_LETTER = re.compile("(?<=[A-Za-z])[!-/:-@\\[-`{-~]")
+_LETTERS, _MARKS = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
+_LETTERS[65:91] = _LETTERS[97:123] = True
+_MARKS[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) != "'"]] = True
+
+
 def _byte_decoder() -> dict[str, int]:
     """The byte of each character of a byte-level vocabulary: printable Latin-1 stands for itself,
     the other bytes, ascending, for the characters from U+0100."""
@@ -66,10 +74,40 @@ class _Vocabulary:
         self.token = token
         self.size = np.array([len(t) for t in token], dtype=np.int32)
 
-    def encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in a row, and how many each unit has."""
+    def ids(self, text: str) -> list[int]:
+        """Ids of a text that begins with a space."""
         raise NotImplementedError
 
+    def encode(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of units in a row, and how many each unit has.
+
+        A unit begins with a space or is what follows a letter.  One that begins with a space
+        may follow any other whose end is no white space: those are encoded as long texts, and
+        told apart by the bytes of their tokens.
+        """
+        data, at = text_bytes(units)
+        names = units.to_pylist()
+        apart = np.ones(len(names), dtype=bool)
+        apart[:-1] = ~cuttable(data, np.array([0, len(data)]))[at[1:-1]]
+        apart |= np.fromiter((MARK in name or name[0] != " " for name in names), dtype=bool, count=len(names))
+        counts, found = np.zeros(len(names), dtype=np.int64), []
+        together = np.flatnonzero(~apart)
+        for first in range(0, len(together), _UNITS_AT_ONCE):
+            some = together[first:first + _UNITS_AT_ONCE]
+            found.append(np.array(self.ids("".join([names[n] for n in some.tolist()])), dtype=np.int32))
+            ends = np.searchsorted(np.cumsum(self.size[found[-1]]), np.cumsum((at[1:] - at[:-1])[some])) + 1
+            counts[some] = np.diff(ends, prepend=0)
+        alone = np.flatnonzero(apart)
+        for n in alone.tolist():
+            ids = self.ids(names[n]) if names[n][0] == " " else self.ids(" a" + names[n])[1:]
+            found.append(np.array(ids, dtype=np.int32))
+            counts[n] = len(ids)
+        out = np.zeros(int(counts.sum()), dtype=np.int32)
+        order = np.concatenate((together, alone))
+        if len(order):
+            out[spread((np.cumsum(counts) - counts)[order], counts[order])] = np.concatenate(found)
+        return out, counts
+
     def differ(self, ids: np.ndarray, counts: np.ndarray, units: pa.Array) -> np.ndarray:
         """True for units that their tokens' bytes do not give."""
         want, at = text_bytes(units)
@@ -97,14 +135,8 @@ class ByteLevel(_Vocabulary):
             listed[i] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
         super().__init__(listed)
 
-    def encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids, counts = [], []
-        for first in range(0, len(units), _UNITS_AT_ONCE):
-            some = units[first:first + _UNITS_AT_ONCE]
-            made = self._tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
-            ids.append(np.array(made.ids, dtype=np.int32))
-            counts.append(np.bincount(np.array(made.word_ids, dtype=np.int64), minlength=len(some)))
-        return np.concatenate(ids), np.concatenate(counts)
+    def ids(self, text: str) -> list[int]:
+        return self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
 
 class Pieces(_Vocabulary):
@@ -116,16 +148,14 @@ class Pieces(_Vocabulary):
         self._model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [self._model.id_to_piece(i) for i in range(self._model.get_piece_size())]
         super().__init__([
-            bytes([int(p[3:5], 16)]) if self._model.is_byte(i) else p.replace("▁", " ").encode()
+            bytes([int(p[3:5], 16)]) if self._model.is_byte(i) else p.replace(MARK, " ").encode()
             for i, p in enumerate(pieces)])
+        # no piece joins a letter to these marks
+        self.parted = _MARKS.copy()
+        self.parted[[ord(m) for p in pieces for m in _AFTER_LETTER.findall(p)]] = False
 
-    def encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids, counts = [], []
-        for first in range(0, len(units), _UNITS_AT_ONCE):
-            made = self._model.encode([u[1:] for u in units[first:first + _UNITS_AT_ONCE]], num_threads=1)
-            counts.append(np.fromiter(map(len, made), dtype=np.int64, count=len(made)))
-            ids.append(np.fromiter(chain.from_iterable(made), dtype=np.int32, count=int(counts[-1].sum())))
-        return np.concatenate(ids), np.concatenate(counts)
+    def ids(self, text: str) -> list[int]:
+        return self._model.encode(text[1:], num_threads=1)
 
 
 def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
@@ -166,11 +196,12 @@ def _aligned(batches: Iterator[pa.RecordBatch], path_a: str, path_b: str) -> Ite
     """For each block: its documents with the numbers of their groups, and a row (``nth`` -1) with what
     the numbers stand for."""
     a, b = ByteLevel(path_a), Pieces(path_b)
+    encoded = _Encoded(a, b)
     block = TaskContext.get().partitionId() << 32
     for batch in chunks(batches, most=BLOCK_BYTES):
         doc_ids, texts = batch.column("doc_id"), batch.column("text")
         count = len(batch)
-        ids_a, of_a, ids_b, of_b = _tokens(texts, a, b)
+        ids_a, of_a, ids_b, of_b = _tokens(texts, encoded)
         cuts_a, cuts_b = group_cuts(np.cumsum(a.size[ids_a], dtype=np.int32), np.cumsum(b.size[ids_b], dtype=np.int32))
         groups = _Groups(ids_a, ids_b, cuts_a, cuts_b)
         at = np.searchsorted(cuts_a, of_a, side="right")  # groups of document n: at[n] to at[n + 1]
@@ -199,37 +230,62 @@ def _filled(columns: dict[str, pa.Array], count: int) -> pa.RecordBatch:
         [columns.get(f.name, pa.nulls(count, _STORED_ARROW[str(f.dataType)])) for f in _STORED.fields], _STORED.names)
 
 
-def _tokens(texts: pa.Array, a: _Vocabulary, b: _Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+class _Encoded:
+    """Ids of stretches of text by both tokenizers, remembered from block to block of a task."""
+
+    def __init__(self, a: ByteLevel, b: Pieces):
+        self.sides, self.parted = (a, b), b.parted
+        self._forget()
+
+    def _forget(self) -> None:
+        self._number: dict[str, int] = {}
+        self.bad = np.zeros(0, dtype=bool)  # units whose tokens' bytes differ
+        self.ids = [np.zeros(0, dtype=np.int32) for _ in self.sides]
+        self.counts = [np.zeros(0, dtype=np.int64) for _ in self.sides]
+
+    def numbers(self, units: pa.Array) -> np.ndarray:
+        names = units.to_pylist()
+        new = [n for n, name in enumerate(names) if name not in self._number]
+        if len(self._number) + len(new) > KEPT_UNITS:
+            self._forget()
+            new = list(range(len(names)))
+        if new:
+            some = units.take(pa.array(new))
+            bad = np.zeros(len(some), dtype=bool)
+            for side, vocabulary in enumerate(self.sides):
+                ids, counts = vocabulary.encode(some)
+                bad |= vocabulary.differ(ids, counts, some)
+                self.ids[side] = np.concatenate((self.ids[side], ids))
+                self.counts[side] = np.concatenate((self.counts[side], counts))
+            self.bad = np.concatenate((self.bad, bad))
+            self._number.update(zip([names[n] for n in new], range(len(self._number), len(self._number) + len(new))))
+        return np.fromiter(map(self._number.__getitem__, names), dtype=np.int64, count=len(names))
+
+
+def _tokens(texts: pa.Array, encoded: _Encoded) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Ids of both tokenizers of all texts in a row, and where each text's begin and end."""
     data, at = text_bytes(texts)
     full = np.flatnonzero(np.diff(at))
     data = np.insert(data, at[full], 32)
     at = at + np.concatenate(([0], np.cumsum(np.diff(at) > 0)))
     begin = cuttable(data, at)
+    begin[1:] |= _LETTERS[data[:-1]] & encoded.parted[data[1:]]
     begin[at[full]] = True
     starts = np.flatnonzero(begin)
     units = pa.StringArray.from_buffers(
         len(starts), pa.py_buffer(np.append(starts, len(data)).astype(np.int32)), pa.py_buffer(data)).dictionary_encode()
     of = np.searchsorted(starts, at)  # units of text n: of[n] to of[n + 1]
-    used = units.indices.to_numpy()
-    names = units.dictionary.to_pylist()
-    found, bad = [], np.zeros(len(names), dtype=bool)
-    for vocabulary in (a, b):
-        ids, counts = vocabulary.encode(names) if names else (np.zeros(0, np.int32), np.zeros(0, np.int64))
-        bad |= vocabulary.differ(ids, counts, units.dictionary)
-        found.append((ids, counts))
+    used = encoded.numbers(units.dictionary)[units.indices.to_numpy()]
+    bad = encoded.bad[used]
     if bad.any():  # the whole text has no tokens
-        hit = np.concatenate(([0], np.cumsum(bad[used])))
+        hit = np.concatenate(([0], np.cumsum(bad)))
         drop = np.repeat(hit[of[1:]] > hit[of[:-1]], np.diff(of))
         kept = np.concatenate(([0], np.cumsum(~drop)))
         used, of = used[~drop], kept[of]
     out = []
-    for ids, counts in found:
+    for ids, counts in zip(encoded.ids, encoded.counts):
         lengths = counts[used]
-        ends = np.cumsum(lengths)
-        first = np.cumsum(counts) - counts
-        out += [ids[np.repeat(first[used] - ends + lengths, lengths) + np.arange(int(lengths.sum()))],
-                np.concatenate(([0], ends))[of]]
+        out += [ids[spread((np.cumsum(counts) - counts)[used], lengths)], np.concatenate(([0], np.cumsum(lengths)))[of]]
     return tuple(out)
 
 
