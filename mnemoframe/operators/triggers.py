@@ -1,111 +1,140 @@
-"""Trigger conditions evaluated as columns, and the facts triggers surface."""
+"""Trigger conditions of any depth as rows, and the facts triggers surface.
+
+A condition is flattened into nodes, level by level.  Its tests are looked up from the
+queries' side: words through their first characters, entity types through the tenant's,
+vectors by blocks.  Only tests that hold make rows, and rows go up from the innermost
+level to the outermost, so a query meets no trigger that it cannot fire.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from mnemoframe.functions import vectors
 from mnemoframe.operators.grouping import salted_join, top_k
 from mnemoframe.operators.lookups import SCOPE, valid_at
+from mnemoframe.operators.vector_search import similar_pairs, vector_search
+from mnemoframe.session import stored
 
-_LEAF = ("topic_match array<string>, keyword_any array<string>, "
-         "entity_present array<string>, "
-         "semantic_similarity struct<text:string, threshold:double>")
-_STRING = r'"(?:[^"\\]|\\.)*"'
-_SEMANTIC = rf'"semantic_similarity"\s*:\s*\{{(?:[^{{}}"]|{_STRING})*\}}'
-NESTING = 3
 TEMPLATE_MATCHES = 5
 FACTS_PER_ENTITY = 10
+_STRING = r'"(?:[^"\\]|\\.)*"'
+_PIECE = 4  # characters of a word that it is looked up by
+_NODE = ("trigger_id", "path")
 
 
-def condition_schema(levels: int = NESTING) -> str:
-    """DDL of a condition with AND/OR nested ``levels`` deep."""
-    fields = _LEAF
-    for _ in range(levels):
-        inner = fields.replace(" array<", ":array<").replace(" struct<", ":struct<")
-        fields = f"{_LEAF}, `AND` array<struct<{inner}>>, `OR` array<struct<{inner}>>"
-    return fields
+def condition_errors(triggers: DataFrame) -> DataFrame:
+    """``tenant_id, trigger_id, condition`` of the active triggers whose condition is no JSON; they never fire."""
+    return triggers.where(F.col("active") & F.col("condition").isNotNull() & F.try_parse_json("condition").isNull()).select(
+        "tenant_id", "trigger_id", "condition")
 
 
-def parse_condition(text: Column, levels: int = NESTING) -> Column:
-    """Condition struct of a JSON text; a deeper nesting is an error, not a no-match."""
-    # texts and leaf objects go first; then each pass takes away the innermost conditions
-    bare = F.regexp_replace(text, _SEMANTIC, "0")
-    bare = F.regexp_replace(bare, _STRING, "0")
-    for _ in range(levels + 1):
-        bare = F.regexp_replace(bare, r"\{[^{}]*\}", "0")
-    return F.from_json(
-        F.when(bare.contains("{"), F.raise_error(
-            F.concat(F.lit("trigger condition is nested too deep: "), text))).otherwise(text),
-        condition_schema(levels))
+def nesting(condition: Column) -> Column:
+    """How deep the braces of a JSON text are nested."""
+    braces = F.regexp_replace(F.regexp_replace(condition, _STRING, ""), r"[^{}]", "")
+    steps = F.transform(F.split(braces, ""), lambda b: F.when(b == "{", 1).when(b == "}", -1).otherwise(0))
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    return F.aggregate(steps, start, lambda at, step: F.struct(
+        (at["now"] + step).alias("now"), F.greatest(at["most"], at["now"] + step).alias("most")), lambda at: at["most"])
 
 
-def holds(condition: Column, query: Column, entity_types: Column, query_vector: Column,
-          text_vectors: Column, levels: int = NESTING) -> Column:
-    """Whether a condition holds for a query.
+def condition_nodes(triggers: DataFrame) -> tuple[DataFrame, int]:
+    """The nodes of all conditions, and the number of their levels.
 
-    A non-empty AND decides alone, then a non-empty OR; else any leaf test that
-    hits.  An empty condition never holds.  ``text_vectors`` maps the texts of
-    semantic tests to their embeddings.
+    A node is a condition or a part of its AND or OR: scope, ``trigger_id``, ``path`` (places
+    of the parts on the way to it), ``depth``, ``operator`` with ``parts`` of them, or none and the tests of a leaf:
+    ``words``, ``types``, ``text, threshold``.  A non-empty AND decides alone, then a non-empty OR.
     """
-    lower = F.lower(query)
-
-    def mentions(field: str) -> Column:
-        return F.exists(F.coalesce(condition[field], F.array().cast("array<string>")),
-                        lambda w: F.contains(lower, F.lower(w)))
-
-    typed = F.exists(
-        F.coalesce(condition["entity_present"], F.array().cast("array<string>")),
-        lambda t: F.array_contains(entity_types, F.lower(t)))
-    test = condition["semantic_similarity"]
-    close = vectors.cosine(
-        query_vector, F.try_element_at(text_vectors, F.coalesce(test["text"], F.lit("")))
-    ) >= test["threshold"]
-    leaf = (mentions("topic_match") | mentions("keyword_any")
-            | F.coalesce(typed, F.lit(False)) | F.coalesce(close, F.lit(False)))
-    if levels == 0:
-        return leaf
-
-    all_of = F.size(F.coalesce(condition["AND"], F.array())) > 0
-    any_of = F.size(F.coalesce(condition["OR"], F.array())) > 0
-    parts = F.transform(
-        F.when(all_of, condition["AND"]).otherwise(condition["OR"]),
-        lambda part: holds(part, query, entity_types, query_vector, text_vectors, levels - 1))
-    return (F.when(all_of, F.forall(parts, lambda x: x))
-            .when(any_of, F.exists(parts, lambda x: x))
-            .otherwise(leaf))
-
-
-def tenant_entity_types(entities: DataFrame) -> DataFrame:
-    """Lower-case types of the entities of each tenant."""
-    return entities.groupBy("tenant_id").agg(
-        F.collect_set(F.lower("entity_type")).alias("entity_types"))
-
-
-def matched_triggers(queries: DataFrame, triggers: DataFrame, entities: DataFrame,
-                     levels: int = NESTING) -> DataFrame:
-    """``query_id, trigger_id, priority`` of the active triggers a query fires."""
-    parsed = triggers.where("active").withColumn(
-        "_condition", parse_condition(F.col("condition"), levels))
-    asked = queries.select(*SCOPE, "query_id", "query", F.col("embedding").alias("_query"))
-    typed = asked.join(tenant_entity_types(entities), "tenant_id", "left").withColumn(
-        "entity_types", F.coalesce("entity_types", F.array().cast("array<string>")))
-    return (salted_join(typed, parsed, SCOPE, "query_id")
-            .where(holds(F.col("_condition"), F.col("query"), F.col("entity_types"),
-                         F.col("_query"), F.col("text_vectors"), levels))
-            .select("query_id", "trigger_id", "priority"))
+    levels = triggers.where("active").agg(F.max(nesting(F.col("condition")))).first()[0] or 0
+
+    def read(path: str, kind: str) -> Column:
+        return F.try_variant_get("_condition", f"$.{path}", kind)
+
+    some = triggers.where("active").select(
+        *SCOPE, "trigger_id", "text_vectors", F.lit("").alias("path"), F.try_parse_json("condition").alias("_condition"))
+    found = []
+    for depth in range(max(levels, 1)):
+        all_of, any_of = read("AND", "array<variant>"), read("OR", "array<variant>")
+        some = some.withColumn("operator", F.when(F.size(all_of) > 0, "AND").when(F.size(any_of) > 0, "OR")).withColumn(
+            "_parts", F.when(F.col("operator") == "AND", all_of).when(F.col("operator") == "OR", any_of))
+        none = F.array().cast("array<string>")
+        leaf = F.col("operator").isNull()
+        found.append(some.select(
+            *SCOPE, "trigger_id", "path", F.lit(depth).alias("depth"), "operator", F.size("_parts").alias("parts"),
+            F.when(leaf, F.concat(F.coalesce(read("topic_match", "array<string>"), none),
+                                  F.coalesce(read("keyword_any", "array<string>"), none))).alias("words"),
+            F.when(leaf, F.coalesce(read("entity_present", "array<string>"), none)).alias("types"),
+            F.when(leaf, read("semantic_similarity.threshold", "double")).alias("threshold"),
+            F.when(leaf, F.try_element_at("text_vectors", F.coalesce(
+                read("semantic_similarity.text", "string"), F.lit("")))).alias("embedding")))
+        some = some.where(F.col("operator").isNotNull()).select(
+            *SCOPE, "trigger_id", "text_vectors", "path", F.posexplode("_parts").alias("_place", "_condition")).withColumn(
+            "path", F.concat("path", F.lit("."), F.col("_place"))).drop("_place")
+    nodes = found[0]
+    for more in found[1:]:
+        nodes = nodes.unionByName(more)
+    return stored(nodes, "condition-nodes"), len(found)
+
+
+def _leaves_that_hold(queries: DataFrame, nodes: DataFrame, entities: DataFrame) -> DataFrame:
+    """``query_id, trigger_id, path, depth`` of the leaves that some test of theirs holds for."""
+    leaves = nodes.where(F.col("operator").isNull())
+    out = ["query_id", *_NODE, "depth"]
+    scoped = queries.select(*SCOPE, "query_id")
+
+    words = leaves.select(*SCOPE, *_NODE, "depth", F.explode(F.array_distinct("words")).alias("word")).where(
+        F.col("word").isNotNull()).withColumn("word", F.lower("word")).withColumn("piece", F.substring("word", 1, _PIECE))
+    text = F.lower("query")
+    pieces = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda at: F.array(
+        *[F.substring(text, at, F.lit(n)) for n in range(_PIECE + 1)])))
+    cut = queries.select(*SCOPE, "query_id", F.explode(F.array_distinct(pieces)).alias("piece"))
+    named = (salted_join(cut, words, [*SCOPE, "piece"], "query_id").drop("piece")
+             .join(queries.select("query_id", text.alias("_text")), "query_id")
+             .where(F.contains("_text", "word")).select(*out))
+
+    held = entities.select("tenant_id", F.lower("entity_type").alias("type")).distinct()
+    typed = (leaves.select(*SCOPE, *_NODE, "depth", F.explode("types").alias("type"))
+             .withColumn("type", F.lower("type")).join(held, ["tenant_id", "type"], "left_semi")
+             .select(*SCOPE, *_NODE, "depth").distinct())
+    present = salted_join(scoped, typed, SCOPE, "query_id").select(*out)
+
+    empty = F.array().cast("array<float>")  # a missing vector is as near as 0
+    asked = queries.withColumn("embedding", F.coalesce("embedding", empty))
+    compared = leaves.where(F.col("threshold").isNotNull()).select(
+        *SCOPE, F.struct(*_NODE, "depth", "threshold").alias("leaf"), F.coalesce("embedding", empty).alias("embedding"))
+    close = similar_pairs(asked, compared, SCOPE, "leaf", -1.0).where(
+        F.col("similarity") >= F.col("leaf.threshold")).select("query_id", "leaf.trigger_id", "leaf.path", "leaf.depth")
+    return named.unionByName(present).unionByName(close).distinct()
+
+
+def matched_triggers(queries: DataFrame, triggers: DataFrame, entities: DataFrame) -> DataFrame:
+    """``query_id, trigger_id, priority`` of the active triggers a query fires.
+
+    Conditions may be nested to any depth.  One that is no JSON, and an empty one, never fires
+    and leaves the others alone; ``condition_errors`` lists the former.
+    """
+    nodes, levels = condition_nodes(triggers)
+    held = stored(_leaves_that_hold(queries, nodes, entities), "held-leaves")  # read once a level
+    above = nodes.where(F.col("operator").isNotNull()).select(*_NODE, "depth", "operator", "parts")
+    level = held.where(F.col("depth") == levels - 1) if levels > 1 else held
+    for depth in range(levels - 2, -1, -1):
+        met = (level.withColumn("path", F.regexp_replace("path", r"\.[0-9]+$", ""))
+               .groupBy("query_id", *_NODE).agg(F.count(F.lit(1)).alias("_met"))
+               .join(above.where(F.col("depth") == depth), list(_NODE))
+               .where((F.col("operator") == "OR") | (F.col("_met") == F.col("parts"))))
+        level = met.select("query_id", *_NODE, "depth").unionByName(held.where(F.col("depth") == depth))
+    return level.join(triggers.select("trigger_id", "priority"), "trigger_id").select(
+        "query_id", "trigger_id", "priority")
 
 
 def surfaced_facts(matches: DataFrame, queries: DataFrame, triggers: DataFrame,
-                   facts: DataFrame, links: DataFrame) -> DataFrame:
+                   facts: DataFrame, links: DataFrame, facts_per_entity: int = FACTS_PER_ENTITY,
+                   template_matches: int = TEMPLATE_MATCHES) -> DataFrame:
     """Open facts that fired triggers bring in.
 
     ``query_id, fact_id, trigger_id, priority, part, vector_score``; ``part`` orders
-    listed facts, facts of listed entities (newest ten each, then the open ones)
-    and the template search (best five, the only part with a score).
+    listed facts, facts of listed entities (the newest open ones of each)
+    and the template search (its best, the only part with a score).
     """
-    from mnemoframe.operators.vector_search import vector_search
-
     fired = matches.join(
         triggers.select("trigger_id", "fact_ids", "entity_ids", "template_embedding"),
         "trigger_id")
@@ -121,17 +150,16 @@ def surfaced_facts(matches: DataFrame, queries: DataFrame, triggers: DataFrame,
                  .join(tenants, "query_id"))
     wanted = links.join(by_entity.select("entity_id").distinct(), "entity_id", "left_semi")
     newest = top_k(
-        facts.select("tenant_id", "fact_id", "created_at", "valid_until").join(wanted, "fact_id"),
+        facts.where(valid_at()).select("tenant_id", "fact_id", "created_at").join(wanted, "fact_id"),
         ["tenant_id", "entity_id"], [F.col("created_at").desc(), F.col("fact_id").desc()],
-        FACTS_PER_ENTITY)
-    linked = (salted_join(by_entity, newest.where(valid_at()), ["tenant_id", "entity_id"],
-                          "query_id")
+        facts_per_entity)
+    linked = (salted_join(by_entity, newest, ["tenant_id", "entity_id"], "query_id")
               .withColumns({"part": F.lit(1), "vector_score": F.lit(0.0)}).select(*out))
     templates = (fired.where(F.col("template_embedding").isNotNull())
                  .join(queries.select("query_id", *SCOPE), "query_id")
                  .select(F.struct("query_id", "trigger_id", "priority").alias("query_id"),
                          *SCOPE, F.col("template_embedding").alias("embedding")))
-    found = vector_search(templates, facts, TEMPLATE_MATCHES)
+    found = vector_search(templates, facts, template_matches)
     searched = found.select(
         "query_id.query_id", "fact_id", "query_id.trigger_id", "query_id.priority",
         F.lit(2).alias("part"), F.col("similarity").alias("vector_score"))

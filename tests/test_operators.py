@@ -1,3 +1,4 @@
+import json
 import random
 from collections import deque
 
@@ -101,26 +102,51 @@ def test_top_k_plans_a_map_side_limit(spark):
     assert plan.count() == 15
 
 
-def test_conditions(spark):
-    cases = [
-        ('{"topic_match":["Billing"]}', "a billing question", True),
-        ('{"keyword_any":["refund"]}', "a billing question", False),
-        ('{"entity_present":["Person"]}', "anything", True),
-        ('{"entity_present":["robot"]}', "anything", False),
-        ('{"semantic_similarity":{"text":"x","threshold":0.9}}', "anything", True),
-        ('{"semantic_similarity":{"text":"y","threshold":0.9}}', "anything", False),
-        ('{"AND":[{"topic_match":["a"]},{"topic_match":["zz"]}],"topic_match":["a"]}', "a b", False),
-        ('{"AND":[],"OR":[{"topic_match":["zz"]},{"AND":[{"topic_match":["a"]}]}]}', "a b", True),
-        ('{"OR":[{"topic_match":["zz"]}],"topic_match":["a"]}', "a b", False),
-        ("{}", "a b", False)]
-    df = spark.createDataFrame([(i, c, q) for i, (c, q, _) in enumerate(cases)],
-                               "i long, c string, q string")
-    texts = F.create_map(F.lit("x"), F.array(F.lit(1.0), F.lit(0.0)),
-                         F.lit("y"), F.array(F.lit(0.0), F.lit(1.0)))
-    got = df.select("i", triggers.holds(
-        triggers.parse_condition(F.col("c")), F.col("q"), F.array(F.lit("person")),
-        F.array(F.lit(1.0), F.lit(0.0)), texts).alias("ok")).orderBy("i").collect()
-    assert [r.ok for r in got] == [want for _, _, want in cases]
+def plain_holds(c, query, types, near):
+    if not isinstance(c, dict):
+        return False
+    parts_all, parts_any = (c.get(k) if isinstance(c.get(k), list) else None for k in ("AND", "OR"))
+    if parts_all:
+        return all(plain_holds(p, query, types, near) for p in parts_all)
+    if parts_any:
+        return any(plain_holds(p, query, types, near) for p in parts_any)
+    words = [w for k in ("topic_match", "keyword_any") for w in c.get(k) or [] if w is not None]
+    test = c.get("semantic_similarity") or {}
+    return (any(w.lower() in query.lower() for w in words) or any(t.lower() in types for t in c.get("entity_present") or [])
+            or ("threshold" in test and near.get(test.get("text"), 0.0) >= test["threshold"]))
+
+
+def test_conditions_of_any_depth(spark):
+    rnd = random.Random(3)
+    leaves = [{"topic_match": ["Billing"]}, {"keyword_any": ["refund", "a"]}, {"entity_present": ["Person"]}, {"entity_present": ["robot"]},
+              {"semantic_similarity": {"text": "x", "threshold": 0.9}}, {"semantic_similarity": {"text": "} {", "threshold": 0.9}},
+              {"semantic_similarity": {"text": "none", "threshold": 0.0}}, {}, {"topic_match": ["ill", "\u00fcber"], "keyword_any": None},
+              {"topic_match": [""]}, {"keyword_any": ["zz", "q"]}, 7, {"AND": [], "topic_match": ["b"]}]
+
+    def made(depth):
+        if depth == 0:
+            return rnd.choice(leaves)
+        parts = [made(rnd.randrange(depth)) for _ in range(rnd.choice([0, 1, 2, 3]))] + [made(depth - 1)]
+        rnd.shuffle(parts)
+        return {rnd.choice(["AND", "OR", "OR"]): parts, **rnd.choice([{}, {"topic_match": ["a"]}])}
+
+    conditions = [made(depth) for depth in (0, 0, 0, 1, 1, 2, 3, 4, 6, 6, 12) for _ in range(12)] + [{"OR": [leaves[0], leaves[0]]}]
+    texts = [json.dumps(c) for c in conditions]
+    broken = ['{"AND":[', "not json", None]
+    rows = [(f"g{i}", "t", "user", "s" if i % 5 else "other", i != 3, i % 3, c) for i, c in enumerate(texts + broken)]
+    stored = spark.createDataFrame(rows, "trigger_id string, tenant_id string, scope string, scope_id string, active boolean, priority int, condition string").withColumn(
+        "text_vectors", F.create_map(F.lit("x"), F.array(F.lit(1.0), F.lit(0.0)), F.lit("} {"), F.array(F.lit(0.0), F.lit(1.0))))
+    asked = [("q1", "a billing question", [1.0, 0.0]), ("q2", "\u00dcBER all", [0.0, 1.0]), ("q3", "", [0.0, 0.0]), ("q4", "refund", None), ("q5", "zz top", [0.5, 0.5])]
+    near = {"q1": {"x": 1.0}, "q2": {"} {": 1.0}}
+    queries = spark.createDataFrame([(i, "t", "user", "s", q, v) for i, q, v in asked],
+                                    "query_id string, tenant_id string, scope string, scope_id string, query string, embedding array<double>")
+    entities = spark.createDataFrame([("t", "PERSON"), ("t", None), ("u", "robot")], "tenant_id string, entity_type string")
+    got = {(r.query_id, r.trigger_id) for r in triggers.matched_triggers(queries, stored, entities).collect()}
+    want = {(q, f"g{n}") for q, text, _ in asked for n, c in enumerate(conditions)
+            if n != 3 and n % 5 and plain_holds(c, text, {"person"}, near.get(q, {}))}
+    assert got == want and len(want) > 50
+    assert {r.condition for r in triggers.condition_errors(stored).collect()} == set(broken[:2])
+    assert triggers.matched_triggers(queries, stored.limit(0), entities).count() == 0
 
 
 def test_merge_keeps_best_scores_first_source_last_trigger(spark):
@@ -257,15 +283,3 @@ def test_pages_hold_as_many_rows_as_asked_for(spark):
                                   "page_id string, tenant_id string, page_limit int, cursor_ts timestamp, cursor_id long")
     got = grouping.keyset_page(rows, asked, ["tenant_id"], "ts", "id").groupBy("page_id", "has_more").count().collect()
     assert sorted((r.page_id, r["count"], r.has_more) for r in got) == [("all", 300, False), ("big", 200, True)]
-
-
-def test_conditions_nested_too_deep_are_an_error(spark):
-    inner = '{"topic_match":["a"],"semantic_similarity":{"text":"} {","threshold":0.5}}'
-    def nest(levels):
-        text = inner
-        for _ in range(levels):
-            text = f'{{"OR":[{{"keyword_any":["]"]}},{text}]}}'
-        return spark.createDataFrame([(text,)], "c string").select(triggers.parse_condition(F.col("c")))
-    assert nest(3).first()[0] is not None
-    with pytest.raises(Exception, match="nested too deep"):
-        nest(4).collect()

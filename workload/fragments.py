@@ -119,7 +119,7 @@ def fired_cte(name: str = "fired") -> str:
 
 def surfaced_cte(name: str = "surfaced", fired: str = "fired") -> str:
     return f"""
-{name}_new AS (SELECT l.entity_id, f.tenant_id, f.fact_id, f.valid_until FROM fact_entities l JOIN facts f USING (fact_id)
+{name}_new AS (SELECT l.entity_id, f.tenant_id, f.fact_id FROM fact_entities l JOIN facts f USING (fact_id) WHERE f.valid_until IS NULL
   QUALIFY row_number() OVER (PARTITION BY f.tenant_id, l.entity_id ORDER BY f.created_at DESC, f.fact_id DESC) <= 10),
 {name}_tq AS (SELECT x.query_id || '|' || x.trigger_id AS query_id, x.query_id AS qid, x.trigger_id, x.priority, r.tenant_id, r.scope, r.scope_id, g.vector AS embedding
   FROM {fired} x JOIN requests r USING (query_id) JOIN triggers g USING (trigger_id) WHERE g.priority > 0),
@@ -128,7 +128,7 @@ def surfaced_cte(name: str = "surfaced", fired: str = "fired") -> str:
   SELECT x.query_id, f.fact_id, x.trigger_id, x.priority, 0 AS part, 0.0::DOUBLE AS vector_score FROM {fired} x JOIN requests r USING (query_id) JOIN triggers g USING (trigger_id)
     JOIN facts f ON f.tenant_id = r.tenant_id AND f.fact_id IN (g.fact_a, g.fact_b) WHERE f.valid_until IS NULL
   UNION ALL SELECT x.query_id, n.fact_id, x.trigger_id, x.priority, 1, 0.0 FROM {fired} x JOIN requests r USING (query_id) JOIN triggers g USING (trigger_id)
-    JOIN {name}_new n ON n.tenant_id = r.tenant_id AND n.entity_id = g.watched_entity WHERE n.valid_until IS NULL
+    JOIN {name}_new n ON n.tenant_id = r.tenant_id AND n.entity_id = g.watched_entity
   UNION ALL SELECT q.qid, t.fact_id, q.trigger_id, q.priority, 2, t.similarity FROM {name}_t t JOIN {name}_tq q USING (query_id))"""
 
 

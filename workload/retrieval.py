@@ -193,6 +193,26 @@ def _(t):
         "priority", F.col("priority").cast("long"))
 
 
+def deep_triggers(t: Tables):
+    """The triggers inside six more levels, beside a word of their own; one of four is no JSON."""
+    nested = F.concat(*[F.lit('{"AND":[{"OR":[' )] * 3, F.col("condition"), F.lit(',{"keyword_any":["ZZ"]}]},{"keyword_any":["N"]}]}'),
+                      *[F.lit(']},{"topic_match":["a"]}]}')] * 2)
+    number = F.substring("trigger_id", 2, 9).cast("int")
+    return request_triggers(t).withColumn("condition", F.when(number % 4 == 3, '{"AND":[{"OR":[').otherwise(nested))
+
+
+@query("trigger_match_deep", f"""WITH {fr.fired_cte()} SELECT f.query_id, f.trigger_id, CAST(f.priority AS BIGINT) AS priority FROM fired f JOIN requests r USING (query_id)
+  WHERE CAST(substr(f.trigger_id, 2) AS INT) % 4 <> 3 AND contains(lower(r.query), 'n') AND contains(lower(r.query), 'a')""")
+def _(t):
+    return triggers.matched_triggers(t.requests, deep_triggers(t), t.entities).withColumn(
+        "priority", F.col("priority").cast("long"))
+
+
+@query("trigger_condition_errors", "SELECT tenant_id, trigger_id FROM triggers WHERE active AND CAST(substr(trigger_id, 2) AS INT) % 4 = 3")
+def _(t):
+    return triggers.condition_errors(deep_triggers(t)).select("tenant_id", "trigger_id")
+
+
 @query("trigger_surface", f"WITH {fr.fired_cte()}, {fr.surfaced_cte()} SELECT query_id, fact_id, trigger_id, CAST(part AS BIGINT) AS part, round(vector_score, 6) AS vector_score FROM surfaced")
 def _(t):
     trig = request_triggers(t)
