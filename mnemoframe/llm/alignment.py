@@ -26,13 +26,17 @@ documents each.  An empty table gives an empty result.  Columns other than ``doc
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
+import public_tokenizers
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -78,12 +82,16 @@ class _Vocabulary:
         """Ids of a text that begins with a space."""
         raise NotImplementedError
 
+    def latin_ids(self, text: str) -> list[int]:
+        """The same of a text whose characters all stand before U+0800."""
+        return self.ids(text)
+
     def encode(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of units in a row, and how many each unit has.
 
         A unit begins with a space or is what follows a letter.  One that begins with a space
         may follow any other whose end is no white space: those are encoded as long texts, and
-        told apart by the bytes of their tokens.
+        told apart by the bytes of their tokens; so are those of Latin letters and their like alone.
         """
         data, at = text_bytes(units)
         names = units.to_pylist()
@@ -91,19 +99,21 @@ class _Vocabulary:
         apart[:-1] = ~cuttable(data, np.array([0, len(data)]))[at[1:-1]]
         apart |= np.fromiter((MARK in name or name[0] != " " for name in names), dtype=bool, count=len(names))
         counts, found = np.zeros(len(names), dtype=np.int64), []
-        together = np.flatnonzero(~apart)
-        for first in range(0, len(together), _UNITS_AT_ONCE):
-            some = together[first:first + _UNITS_AT_ONCE]
-            found.append(np.array(self.ids("".join([names[n] for n in some.tolist()])), dtype=np.int32))
-            ends = np.searchsorted(np.cumsum(self.size[found[-1]]), np.cumsum((at[1:] - at[:-1])[some])) + 1
-            counts[some] = np.diff(ends, prepend=0)
+        far = np.add.reduceat(data >= 0xE0, at[:-1]) > 0 if len(names) else apart
+        together = [np.flatnonzero(~apart & ~far), np.flatnonzero(~apart & far)]
+        for encode, listed in zip((self.latin_ids, self.ids), together):
+            for first in range(0, len(listed), _UNITS_AT_ONCE):
+                some = listed[first:first + _UNITS_AT_ONCE]
+                found.append(np.array(encode("".join([names[n] for n in some.tolist()])), dtype=np.int32))
+                ends = np.searchsorted(np.cumsum(self.size[found[-1]]), np.cumsum((at[1:] - at[:-1])[some])) + 1
+                counts[some] = np.diff(ends, prepend=0)
         alone = np.flatnonzero(apart)
         for n in alone.tolist():
             ids = self.ids(names[n]) if names[n][0] == " " else self.ids(" a" + names[n])[1:]
             found.append(np.array(ids, dtype=np.int32))
             counts[n] = len(ids)
         out = np.zeros(int(counts.sum()), dtype=np.int32)
-        order = np.concatenate((together, alone))
+        order = np.concatenate((*together, alone))
         if len(order):
             out[spread((np.cumsum(counts) - counts)[order], counts[order])] = np.concatenate(found)
         return out, counts
@@ -121,7 +131,12 @@ class _Vocabulary:
 
 
 class ByteLevel(_Vocabulary):
-    """A byte-level BPE file of the ``tokenizers`` library."""
+    """A byte-level BPE file of the ``tokenizers`` library.
+
+    If the file's merges make its tokens in the order of their ids, the ids are ranks, and texts
+    of Latin letters are encoded by them, which is faster.  Other texts are left to the library, as
+    newer versions of Unicode sort their characters otherwise.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -134,10 +149,26 @@ class ByteLevel(_Vocabulary):
         for token, i in self._tokenizer.get_vocab().items():
             listed[i] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
         super().__init__(listed)
+        with open(path, encoding="utf-8") as file:
+            told = json.load(file)
+        ids = told["model"]["vocab"]
+        merges = [m if isinstance(m, str) else " ".join(m) for m in told["model"]["merges"]]
+        made = [ids["".join(m.split(" "))] for m in merges]
+        splitter = told.get("pre_tokenizer") or {}
+        self._ranked = None
+        if (made == sorted(made) and told.get("normalizer") is None
+                and (splitter.get("type"), splitter.get("add_prefix_space"), splitter.get("use_regex")) == ("ByteLevel", False, True)):
+            special = {t["id"] for t in told["added_tokens"]}
+            self._ranked = tiktoken.Encoding(
+                "file", pat_str=public_tokenizers.PATTERN, special_tokens={},
+                mergeable_ranks={t: i for i, t in enumerate(listed) if i not in special})
 
     def ids(self, text: str) -> list[int]:
         return self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
+    def latin_ids(self, text: str) -> list[int]:
+        return self.ids(text) if self._ranked is None else self._ranked.encode_ordinary(text)
+
 
 class Pieces(_Vocabulary):
     """A ``sentencepiece`` model that puts a space before a text and marks spaces with U+2581."""
@@ -349,11 +380,21 @@ class _Groups:
         for ids, cuts in ((ids_a, cuts_a), (ids_b, cuts_b)):
             starts = np.concatenate(([0], cuts[:-1])).astype(np.int64) if len(cuts) else np.zeros(0, np.int64)
             sides.append((ids, starts, cuts - starts))
+        (_, at_a, size_a), (_, at_b, size_b) = sides
+        irregular = np.flatnonzero((size_a != 1) | (size_b != 1))
+        # one token beside one token: the two ids themselves
+        keys = np.zeros(len(at_a), dtype=np.int64)
+        if len(keys):
+            keys[:] = ids_a[at_a].astype(np.int64) << 31 | ids_b[at_b]
+        odd = [(ids, starts[irregular], sizes[irregular]) for ids, starts, sizes in sides]
         seed = 0
         while True:
-            hashes = self._hashes(sides, seed)
-            _, first, self.number = np.unique(hashes, return_index=True, return_inverse=True)
-            if all(self._same(*side, first[self.number]) for side in sides):
+            keys[irregular] = (self._hashes(odd, seed) | np.uint64(1 << 63)).astype(np.int64)
+            self.number, named = pd.factorize(keys)
+            first = np.zeros(len(named), dtype=np.int64)
+            first[self.number[::-1]] = np.arange(len(keys))[::-1]
+            like = first[self.number[irregular]]
+            if all(self._same(ids, starts, sizes, irregular, like) for ids, starts, sizes in sides):
                 break
             seed += 1  # two different groups had one hash
         (self.sizes_a, self.ids_a), (self.sizes_b, self.ids_b) = (
@@ -364,16 +405,18 @@ class _Groups:
     def _hashes(sides: list, seed: int) -> np.ndarray:
         total = np.uint64(seed)
         for salt, (ids, starts, sizes) in enumerate(sides):
-            inner = np.arange(len(ids)) - np.repeat(starts, sizes)  # place within the group
-            each = mixed((ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+            inner = spread(np.zeros(len(sizes), dtype=np.int64), sizes)  # place within the group
+            each = mixed((ids[spread(starts, sizes)].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
                          + mixed(inner.astype(np.uint64) * np.uint64(2) + np.uint64(salt + 1 + (seed << 32))))
             run = np.concatenate((np.zeros(1, np.uint64), np.cumsum(each, dtype=np.uint64)))
-            total = mixed(total * np.uint64(0xD6E8FEB86659FD93) + run[starts + sizes] - run[starts])
+            ends = np.cumsum(sizes)
+            total = mixed(total * np.uint64(0xD6E8FEB86659FD93) + run[ends] - run[ends - sizes])
         return total
 
     @staticmethod
-    def _same(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, like: np.ndarray) -> bool:
-        return np.array_equal(sizes, sizes[like]) and np.array_equal(ids, ids[spread(starts[like], sizes)])
+    def _same(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, some: np.ndarray, like: np.ndarray) -> bool:
+        return np.array_equal(sizes[some], sizes[like]) and np.array_equal(
+            ids[spread(starts[some], sizes[some])], ids[spread(starts[like], sizes[like])])
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Group, pair of ids (A's times 2 ** 32 plus B's), and links of the pair in the group: once each."""
@@ -394,10 +437,10 @@ class _Groups:
         pairs, number = np.unique(pair, return_inverse=True)
         width = np.bincount(group, minlength=len(self.sizes_a))
         first = np.cumsum(width) - width
-        held = np.unique(row.astype(np.int64) << 32 | self.number)  # groups of each document, once
+        held = pd.unique(row.astype(np.int64) << 32 | self.number)  # groups of each document, once
         document, group = held >> 32, held & 0xFFFFFFFF
         seen = number[spread(first[group], width[group])]
-        once = np.unique(np.repeat(document, width[group]) << 32 | seen)
+        once = pd.unique(np.repeat(document, width[group]) << 32 | seen)
         return pairs, np.bincount(once & 0xFFFFFFFF, minlength=len(pairs))
 
 
