@@ -1,4 +1,4 @@
-"""Exact nearest facts by cosine, for a batch of queries."""
+"""Exact nearest facts by cosine, for a batch of queries, and duplicates told by them."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from mnemoframe.functions import fixed_values as fv, vectors
 from mnemoframe.operators.grouping import salted_join, top_k
 from mnemoframe.operators.lookups import SCOPE, searchable, valid_at
 from mnemoframe.operators.vector_blocks import vector_blocks
+from mnemoframe.session import stored
 
 # Similarities closer than this count as equal, so ties break by id on any machine.
 TIE_DIGITS = 9
@@ -94,27 +95,66 @@ def scoring_blend(score: Column, similarity: Column) -> Column:
 
 def deduplicate(candidates: DataFrame, facts: DataFrame,
                 min_similarity: float = fv.DEDUP_MIN_SIMILARITY,
-                k: int = fv.DEDUP_MATCHES) -> DataFrame:
-    """Operation of each extracted fact against the stored ones.
-
-    ``candidates`` holds ``query_id``, the scope, ``content``, ``embedding`` and
-    ``operation``.  An operation other than add is trusted.  Without a stored fact
-    above the floor it stays an add; with one, equal text means noop and anything
-    else is an add unless a classifier says otherwise.  ``match_count`` and
-    ``best_fact_id`` are what a classifier would get to see.
+                k: int = fv.DEDUP_MATCHES, order: str = "query_id",
+                same_similarity: float | None = None) -> DataFrame:
+    """Operation of each extracted fact against the stored ones and the batch itself.
+
+    ``candidates`` holds ``query_id``, the scope, ``content``, ``embedding``, ``operation``
+    and ``order``, the input order.  An operation other than add is trusted.  Text that an
+    open fact of the scope has, or an earlier candidate, means noop; so does, with
+    ``same_similarity``, a vector that near to an earlier candidate's that stays.  Anything
+    else is an add unless a classifier says otherwise: ``match_count`` and ``best_fact_id`` are
+    the ``k`` nearest stored facts above the floor, which it would get to see.
     """
-    undecided = candidates.where(F.coalesce("operation", F.lit("add")) == "add")
-    matches = vector_search(undecided, facts, k, min_similarity)
-    texts = facts.select("fact_id", F.lower(F.trim("content")).alias("_stored"))
-    asked = undecided.select("query_id", F.lower(F.trim("content")).alias("_new"))
-    seen = (matches.join(asked, "query_id").join(texts, "fact_id")
-            .groupBy("query_id").agg(
-                F.count(F.lit(1)).alias("match_count"),
-                F.min_by("fact_id", "position").alias("best_fact_id"),
-                F.max(F.col("_stored") == F.col("_new")).alias("_same")))
-    decided = F.when(F.coalesce("operation", F.lit("add")) != "add", F.col("operation")).when(
-        F.coalesce("_same", F.lit(False)), F.lit("noop")).otherwise(F.lit("add"))
-    return (candidates.join(seen, "query_id", "left")
+    # written once: vectors are costly to make and read by each step below
+    batch = stored(candidates.withColumns({
+        "_add": F.coalesce("operation", F.lit("add")) == "add",
+        "_text": F.lower(F.trim("content")), "_place": F.struct(F.col(order).alias("order"), F.col("query_id").alias("id"))}), "candidates")
+    undecided = batch.where("_add")
+    seen = (vector_search(undecided, facts, k, min_similarity).groupBy("query_id").agg(
+        F.count(F.lit(1)).alias("match_count"), F.min_by("fact_id", "position").alias("best_fact_id")))
+    text = [*SCOPE, F.xxhash64("_text").alias("_hash"), "_text"]
+    on = [*SCOPE, "_hash", "_text"]
+    known = facts.where(valid_at()).withColumn("_text", F.lower(F.trim("content"))).select(*text).distinct()
+    firsts = undecided.select(*text, "_place").groupBy(*on).agg(F.min("_place").alias("_first"))
+    told = firsts.join(known.withColumn("_known", F.lit(True)), on, "left")
+    spread = salted_join(undecided.select(*text, "query_id", "_place"), told, on, "query_id")
+    same = spread.where(F.coalesce("_known", F.lit(False)) | (F.col("_place") != F.col("_first"))).select("query_id")
+    if same_similarity is not None:
+        new = undecided.join(same, "query_id", "left_anti")
+        same = same.unionByName(first_wins(_earlier_neighbours(new, same_similarity)).withColumnRenamed("later", "query_id"))
+    decided = F.when(~F.col("_add"), F.col("operation")).when(
+        F.col("_same").isNotNull(), F.lit("noop")).otherwise(F.lit("add"))
+    same = same.withColumn("_same", F.lit(True))
+    return (batch.join(seen, "query_id", "left").join(same, "query_id", "left")
             .withColumn("operation", decided)
             .withColumn("match_count", F.coalesce("match_count", F.lit(0)))
-            .drop("_same"))
+            .drop("_same", "_add", "_text", "_place"))
+
+
+def _earlier_neighbours(rows: DataFrame, min_similarity: float) -> DataFrame:
+    """``earlier, later`` of the pairs of a scope that are near, by input order."""
+    asked = rows.select(*SCOPE, "query_id", "embedding")
+    pairs = similar_pairs(asked, asked.withColumnRenamed("query_id", "other"), SCOPE, "other", min_similarity)
+    places = rows.select("query_id", "_place")
+    return (pairs.join(places, "query_id")
+            .join(places.select(F.col("query_id").alias("other"), F.col("_place").alias("_other")), "other")
+            .where(F.col("_other") < F.col("_place")).select(F.col("other").alias("earlier"), F.col("query_id").alias("later")))
+
+
+def first_wins(pairs: DataFrame) -> DataFrame:
+    """``later`` of the nodes that go when each goes only for an earlier one that stays.
+
+    ``pairs`` holds ``earlier, later``.  In a round, nodes without an open pair before
+    them stay, what follows them goes, and its pairs with it; each round is a written table of fewer pairs.
+    """
+    open_ = stored(pairs, "open-pairs")
+    gone = open_.select("later").limit(0)
+    while not open_.isEmpty():
+        stay = open_.select("earlier").distinct().join(
+            open_.select(F.col("later").alias("earlier")), "earlier", "left_anti")
+        going = stored(open_.join(stay, "earlier", "left_semi").select("later").distinct(), "going")
+        gone = gone.unionByName(going)
+        open_ = stored(open_.join(going, "later", "left_anti").join(
+            going.select(F.col("later").alias("earlier")), "earlier", "left_anti").select("earlier", "later"), "open-pairs")
+    return gone

@@ -47,7 +47,8 @@ def ingest(inputs: DataFrame, memory: Memory, ledger: DataFrame, now: Column,
            model_facts: Callable[[DataFrame], DataFrame] | None = None) -> Ingested:
     """Extract, deduplicate, link and account for a batch of inputs.
 
-    ``inputs`` holds the scope, ``session_id, input_type, data``.  ``model_facts`` is
+    ``inputs`` holds the scope, ``session_id, input_type, data`` and, if the order of the
+    inputs counts, ``input_order``: of equal statements of a scope the first stays.  ``model_facts`` is
     the slot for a model-based extractor: it gets the inputs and returns rows like
     the rule-based ones, keyed by ``extraction_id``.
     """
@@ -58,8 +59,9 @@ def ingest(inputs: DataFrame, memory: Memory, ledger: DataFrame, now: Column,
     named = found.withColumns({
         "query_id": F.sha2(F.concat_ws(
             "|", "tenant_id", "extraction_id", F.col("position").cast("string")), 256),
-        "embedding": embed(F.col("content")), "operation": F.lit("add")})
-    decided = deduplicate(named, memory.facts).where(F.col("operation") != "noop")
+        "embedding": embed(F.col("content")), "operation": F.lit("add"),
+        "_order": F.struct("input_order" if "input_order" in inputs.columns else "extraction_id", "position")})
+    decided = deduplicate(named, memory.facts, order="_order").where(F.col("operation") != "noop")
     # written once: links, cross links and the ledger all read the new facts
     facts = cut_lineage(mutations.new_facts(decided.select(
         F.col("query_id").alias("fact_id"), *SCOPE, "session_id", "content", "embedding",

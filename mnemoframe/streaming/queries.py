@@ -32,24 +32,6 @@ def sessions(stream: DataFrame, keys: list[str], ts: str = "ts",
         "messages")
 
 
-def flushes(stream: DataFrame, ts: str = "created_at", size: int = fv.FLUSH_MESSAGES,
-            idle_seconds: int = fv.FLUSH_IDLE_SECONDS, delay: str = WATERMARK) -> DataFrame:
-    """Flushes of at most ``size`` messages; an idle gap closes one early.
-
-    The key is (session, flush number), so one busy session spreads over tasks and
-    a state value holds at most ``size`` messages.
-    """
-    numbered = event_time(stream, ts, delay).withColumn(
-        "batch", F.floor(F.col("turn_number") / size).cast("long"))
-    message = F.struct("turn_number", F.concat("role", F.lit(": "), "content").alias("text"))
-    window = F.session_window(ts, f"{idle_seconds} seconds")
-    grouped = numbered.groupBy("session_id", "batch", window).agg(
-        F.count(F.lit(1)).alias("messages"),
-        F.array_sort(F.collect_list(message)).alias("_lines"))
-    return grouped.select("session_id", "batch", "messages", F.array_join(
-        F.transform("_lines", lambda m: m["text"]), "\n").alias("text"))
-
-
 def monthly_usage(stream: DataFrame, counters: list[str], ts: str = "ts") -> DataFrame:
     """Month counters per tenant for update or complete mode; state is tenants x months."""
     return stream.groupBy("tenant_id", F.date_trunc("month", F.col(ts).cast("timestamp"))

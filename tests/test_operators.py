@@ -283,3 +283,28 @@ def test_pages_hold_as_many_rows_as_asked_for(spark):
                                   "page_id string, tenant_id string, page_limit int, cursor_ts timestamp, cursor_id long")
     got = grouping.keyset_page(rows, asked, ["tenant_id"], "ts", "id").groupBy("page_id", "has_more").count().collect()
     assert sorted((r.page_id, r["count"], r.has_more) for r in got) == [("all", 300, False), ("big", 200, True)]
+
+
+def test_first_wins_keeps_what_follows_a_dropped_one(spark):
+    rnd = random.Random(6)
+    pairs = {(a, b) for a, b in ((rnd.randrange(60), rnd.randrange(60)) for _ in range(110)) if a < b} | {(n, n + 1) for n in range(100, 130)}
+    stays = {}
+    for later in range(131):
+        stays[later] = not any(stays[a] for a, b in pairs if b == later)
+    got = {r.later for r in vector_search.first_wins(spark.createDataFrame(sorted(pairs), "earlier long, later long")).collect()}
+    assert got == {n for n, keeps in stays.items() if not keeps}
+    assert vector_search.first_wins(spark.createDataFrame([], "earlier long, later long")).count() == 0
+
+
+def test_equal_text_is_a_duplicate_however_many_are_near(spark):
+    stored = spark.createDataFrame(
+        [("t", "user", "s", n, f"Fact {n} ", [1.0, n / 1000], None, None) for n in range(20)] + [("t", "user", "s", 99, "No vector", None, None, None),
+                                                                                               ("t", "user", "s", 98, "Closed", [1.0, 0.0], "2024-01-02", None)],
+        "tenant_id string, scope string, scope_id string, fact_id long, content string, embedding array<double>, valid_until string, valid_from string")
+    rows = [(5, "fact 19", [1.0, 0.0], None), (1, "New one", [0.0, 1.0], "add"), (2, " new ONE", [0.0, -1.0], "add"), (3, "no vector", None, "add"),
+            (4, "closed", None, "add"), (6, "fact 19", None, "update"), (7, None, None, "add"), (8, None, [0.0, 1.0], "add"), (0, "Near", [0.0, 1.0], "add")]
+    batch = spark.createDataFrame([("t", "user", "s", *r) for r in rows], "tenant_id string, scope string, scope_id string, query_id long, content string, embedding array<double>, operation string")
+    got = {r.query_id: r.operation for r in vector_search.deduplicate(batch, stored).collect()}
+    assert got == {5: "noop", 1: "add", 2: "noop", 3: "noop", 4: "add", 6: "update", 7: "add", 8: "add", 0: "add"}
+    near = {r.query_id: r.operation for r in vector_search.deduplicate(batch, stored, same_similarity=0.99).collect()}
+    assert near == {**got, 1: "noop", 8: "noop"}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mnemoframe import schemas
+from mnemoframe.functions.hashing import input_hash
+from mnemoframe.functions.text import strip_html
 from mnemoframe.plans import ingest as ing, maintenance, tools
 from mnemoframe.plans.search import Memory
 from mnemoframe.sources import io
@@ -95,21 +97,37 @@ def _(t):
 def _inputs(t):
     return t.session_messages.select(
         F.concat(F.lit("t"), F.col("session_id") % 5).alias("tenant_id"), F.lit("user").alias("scope"), F.lit("en").alias("scope_id"),
-        "session_id", "turn_number", F.lit("conversation").alias("input_type"), F.col("content").alias("data"))
+        "session_id", F.struct("session_id", "turn_number").alias("input_order"), F.lit("conversation").alias("input_type"), F.col("content").alias("data"))
 
 
-def _ingested(t):
-    ledger = _inputs(t).limit(0).select("tenant_id", F.lit("").alias("extraction_id"), F.lit("").alias("status"))
+def _ingested(t, processed=None):
+    """All messages as inputs; ``processed`` is the status of earlier inputs by session, null if there was none."""
+    status = F.lit(None).cast("string") if processed is None else processed
+    ledger = _inputs(t).select(
+        "tenant_id", input_hash(F.col("input_type"), strip_html(F.col("data"))).alias("extraction_id"), status.alias("status")).where("status is not null")
     memory = Memory(t.facts, t.entities, t.edges, t.fact_entities)
-    return ing.ingest(_inputs(t).drop("turn_number"), memory, ledger, t.now)
+    return ing.ingest(_inputs(t), memory, ledger, t.now)
 
 
-@query("ingest_facts", f"WITH {_EXTRACT} SELECT 't' || (session_id % 5) AS tenant_id, session_id, content, importance, 1 AS version, 'none' AS contradiction_status FROM extracted")
+def _kept_facts(inputs: str = "true") -> str:
+    """The extracted facts; of equal statements of a tenant the first stays."""
+    return f"""{_EXTRACT}, kept AS (SELECT * FROM extracted WHERE {inputs}
+  QUALIFY row_number() OVER (PARTITION BY session_id % 5, lower(trim(content)) ORDER BY session_id, turn_number) = 1)"""
+
+
+@query("ingest_facts", f"WITH {_kept_facts()} SELECT 't' || (session_id % 5) AS tenant_id, session_id, content, importance, 1 AS version, 'none' AS contradiction_status FROM kept")
 def _(t):
     return _ingested(t).facts.select("tenant_id", "session_id", "content", "importance", "version", "contradiction_status")
 
 
-@query("ingest_ledger", f"""WITH {_EXTRACT}, n AS (SELECT session_id, turn_number, count(*) AS n FROM extracted GROUP BY ALL)
+@query("ingest_repeated_inputs", f"WITH {_kept_facts('session_id % 3 <> 0')} SELECT 't' || (session_id % 5) AS tenant_id, session_id, content, importance FROM kept")
+def _(t):
+    # a third of the inputs were processed before, and a third failed
+    before = F.when(F.col("session_id") % 3 == 0, "completed").when(F.col("session_id") % 3 == 1, "failed")
+    return _ingested(t, before).facts.select("tenant_id", "session_id", "content", "importance")
+
+
+@query("ingest_ledger", f"""WITH {_kept_facts()}, n AS (SELECT session_id, turn_number, count(*) AS n FROM kept GROUP BY ALL)
   SELECT 't' || (m.session_id % 5) AS tenant_id, 'completed' AS status, count(*) AS inputs, CAST(sum(coalesce(n.n, 0)) AS BIGINT) AS facts_created FROM session_messages m LEFT JOIN n USING (session_id, turn_number) GROUP BY ALL""")
 def _(t):
     return _ingested(t).extractions.groupBy("tenant_id", "status").agg(F.count(F.lit(1)).alias("inputs"), F.sum("facts_created").alias("facts_created"))

@@ -366,16 +366,41 @@ def _(t):
         "query_id", "fact_id", F.round("reranked_score", 6).alias("reranked_score"), "position")
 
 
-@query("dedup_against_store", f"""WITH cands AS (SELECT {fr.S}, fact_id + 1000000 AS query_id, content, embedding, CASE WHEN fact_id % 10 = 0 THEN 'update' ELSE 'add' END AS operation FROM facts WHERE created_at >= TIMESTAMP '2024-01-25 00:00:00'),
-  stored AS (SELECT * FROM facts WHERE created_at < TIMESTAMP '2024-01-25 00:00:00'),
+_NEW = f"SELECT {fr.S}, fact_id + 1000000 AS query_id, content, embedding, CASE WHEN fact_id % 10 = 0 THEN 'update' ELSE 'add' END AS operation FROM facts WHERE created_at >= TIMESTAMP '2024-01-25 00:00:00'"
+_AGAIN = f"SELECT {fr.S}, fact_id + 2000000, ' ' || replace(content, 'User', 'USER'), embedding, 'add' FROM facts WHERE fact_id % 4 = 0"
+_TOLD = f"""cands AS ({_NEW} UNION ALL {_AGAIN}), stored AS (SELECT * FROM facts WHERE created_at < TIMESTAMP '2024-01-25 00:00:00'),
   {fr.vector_cte('v', 5, 0.55, queries="(SELECT * FROM cands WHERE operation = 'add')").replace('JOIN facts f', 'JOIN stored f')},
-  s AS (SELECT v.query_id, count(*) AS n, arg_min(v.fact_id, v.position) AS best, bool_or(lower(trim(c.content)) = lower(trim(f.content))) AS same FROM v JOIN cands c USING (query_id) JOIN facts f ON f.fact_id = v.fact_id GROUP BY ALL)
-  SELECT c.query_id, CASE WHEN c.operation <> 'add' THEN c.operation WHEN s.same THEN 'noop' ELSE 'add' END AS operation, coalesce(s.n, 0) AS match_count, CAST(s.best AS STRING) AS best_fact_id FROM cands c LEFT JOIN s USING (query_id)""")
-def _(t):
+  s AS (SELECT query_id, count(*) AS n, arg_min(fact_id, position) AS best FROM v GROUP BY ALL),
+  texts AS (SELECT DISTINCT {fr.S}, lower(trim(content)) AS said FROM stored WHERE valid_until IS NULL),
+  firsts AS (SELECT *, lower(trim(content)) AS said, row_number() OVER (PARTITION BY {fr.S}, lower(trim(content)) ORDER BY query_id) AS nth FROM cands WHERE operation = 'add'),
+  same AS (SELECT f.query_id FROM firsts f WHERE nth > 1 UNION SELECT f.query_id FROM firsts f JOIN texts USING ({fr.S}, said))"""
+
+
+def _new_candidates(t: Tables):
+    """The newest facts, and a fourth of all facts once more, some letters as capitals."""
+    columns = ["tenant_id", "scope", "scope_id", "query_id", "content", "embedding", "operation"]
     cut = F.expr("TIMESTAMP '2024-01-25 00:00:00'")
-    new = t.facts.where(F.col("created_at") >= cut).select(
-        "tenant_id", "scope", "scope_id", (F.col("fact_id") + 1000000).alias("query_id"),
-        "content", "embedding",
-        F.when(F.col("fact_id") % 10 == 0, "update").otherwise("add").alias("operation"))
-    return vs.deduplicate(new, t.facts.where(F.col("created_at") < cut)).select(
+    new = t.facts.where(F.col("created_at") >= cut).withColumns({
+        "query_id": F.col("fact_id") + 1000000, "operation": F.when(F.col("fact_id") % 10 == 0, "update").otherwise("add")})
+    again = t.facts.where("fact_id % 4 = 0").withColumns({
+        "query_id": F.col("fact_id") + 2000000, "content": F.concat(F.lit(" "), F.replace("content", F.lit("User"), F.lit("USER"))), "operation": F.lit("add")})
+    return new.select(*columns).unionByName(again.select(*columns)), t.facts.where(F.col("created_at") < cut)
+
+
+@query("dedup_against_store", f"""WITH {_TOLD}
+  SELECT c.query_id, CASE WHEN c.operation <> 'add' THEN c.operation WHEN m.query_id IS NOT NULL THEN 'noop' ELSE 'add' END AS operation, coalesce(s.n, 0) AS match_count, CAST(s.best AS STRING) AS best_fact_id
+  FROM cands c LEFT JOIN s USING (query_id) LEFT JOIN same m USING (query_id)""")
+def _(t):
+    return vs.deduplicate(*_new_candidates(t)).select(
         "query_id", "operation", "match_count", F.col("best_fact_id").cast("string").alias("best_fact_id"))
+
+
+@query("dedup_within_batch", f"""WITH RECURSIVE {_TOLD},
+  left_over AS (SELECT *, row_number() OVER (PARTITION BY {fr.S} ORDER BY query_id) AS i FROM cands WHERE operation = 'add' AND query_id NOT IN (SELECT query_id FROM same)),
+  walk AS (SELECT {fr.S}, query_id, i, true AS stays, CASE WHEN embedding IS NULL THEN [] ELSE [embedding] END AS kept FROM left_over WHERE i = 1
+    UNION ALL SELECT w.tenant_id, w.scope, w.scope_id, x.query_id, x.i, x.stays, CASE WHEN x.stays AND x.embedding IS NOT NULL THEN list_append(w.kept, x.embedding) ELSE w.kept END
+    FROM walk w JOIN LATERAL (SELECT l.query_id, l.i, l.embedding, NOT coalesce(list_bool_or(list_transform(w.kept, lambda v: round({fr.cosine('v', 'l.embedding')}, 9) >= 0.3)), false) AS stays
+      FROM left_over l WHERE l.tenant_id = w.tenant_id AND l.scope = w.scope AND l.scope_id = w.scope_id AND l.i = w.i + 1) x ON true)
+  SELECT c.query_id, CASE WHEN c.operation <> 'add' THEN c.operation WHEN w.stays THEN 'add' ELSE 'noop' END AS operation FROM cands c LEFT JOIN walk w USING (query_id)""")
+def _(t):
+    return vs.deduplicate(*_new_candidates(t), same_similarity=0.3).select("query_id", "operation")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from mnemoframe.operators.mutations import access_hits, decay_after
 from mnemoframe.session import shared_folder
-from mnemoframe.streaming import queries as st, sinks
+from mnemoframe.streaming import queries as st, sinks, stateful
 from workload.registry import query
 from workload.storage import _planned, stamp
 from workload.views import NOW, Tables
@@ -66,12 +66,42 @@ def _(t):
     return _run(t, st.outbox(stream, t.webhooks)).where("length(signature) = 64").select("webhook_id", "event_id")
 
 
-@query("stream_flushes")
+@query("stream_flushes", f"""WITH m AS (SELECT conv_id AS session_id, turn, role || ': ' || text AS line, epoch({NOW}) + turn * 5 + (turn // 7) * 40 + conv_id * 3600 AS sec FROM conversations),
+  g AS (SELECT *, CASE WHEN sec - lag(sec) OVER w >= 30 THEN 1 ELSE 0 END AS gap FROM m WINDOW w AS (PARTITION BY session_id ORDER BY sec, turn)),
+  s AS (SELECT *, sum(gap) OVER (PARTITION BY session_id ORDER BY sec, turn ROWS UNBOUNDED PRECEDING) AS part FROM g),
+  n AS (SELECT *, (row_number() OVER (PARTITION BY session_id, part ORDER BY sec, turn) - 1) // 5 AS piece FROM s),
+  f AS (SELECT session_id, min(sec) AS first, max(sec) AS last, count(*) AS messages, string_agg(line, chr(10) ORDER BY sec, turn) AS text FROM n GROUP BY session_id, part, piece)
+  SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY first) - 1 AS number, messages, CASE WHEN messages = 5 THEN 'count' ELSE 'idle' END AS cause, text FROM f
+  WHERE messages = 5 OR last + 30 <= (SELECT max(sec) FROM m)""")
 def _(t):
     stream = _stream(t, "conversations").select(
         F.col("conv_id").alias("session_id"), F.col("turn").alias("turn_number"), "role", F.col("text").alias("content"),
-        F.timestamp_add("SECOND", F.col("turn") * 5 + F.col("conv_id") * 3600, F.expr(NOW)).alias("created_at"))
-    return _run(t, st.flushes(stream, delay="0 seconds")).select("session_id", "batch", "messages", "text")
+        F.timestamp_add("SECOND", (F.col("turn") * 5 + F.floor(F.col("turn") / 7) * 40 + F.col("conv_id") * 3600).cast("int"), F.expr(NOW)).alias("created_at"))
+    with stateful.state_store(t.spark):
+        # the sink has a folder "batch" of its own
+        out = _run(t, stateful.flushes(stream, delay="0 seconds").withColumnRenamed("batch", "number"))
+    return out.select("session_id", "number", "messages", "cause", "text")
+
+
+@query("stream_retried_inputs", """WITH e AS (SELECT 't' || (user_id % 5) AS tenant_id, 'h' || (user_id % 1000) AS input_hash, ts, CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'completed' ELSE 'input' END AS kind FROM events),
+  l AS (SELECT 't' || (n_nationkey % 5) AS tenant_id, 'h' || n_nationkey AS input_hash, CASE n_nationkey % 3 WHEN 0 THEN 'completed' WHEN 1 THEN 'failed' ELSE 'processing' END AS before FROM nation),
+  o AS (SELECT *, row_number() OVER (PARTITION BY tenant_id, input_hash ORDER BY ts, CASE kind WHEN 'input' THEN 1 ELSE 0 END) AS place FROM e),
+  s AS (SELECT *, sum(CASE kind WHEN 'failed' THEN 1 ELSE 0 END) OVER (PARTITION BY tenant_id, input_hash ORDER BY place ROWS UNBOUNDED PRECEDING) AS part FROM o),
+  c AS (SELECT tenant_id, input_hash, part, min(CASE kind WHEN 'input' THEN place END) AS place, arg_min(ts, place) FILTER (kind = 'input') AS ts FROM s GROUP BY ALL),
+  b AS (SELECT c.*, CASE WHEN l.before = 'processing' AND c.part = 0 THEN 0 ELSE c.place END AS begun, l.before FROM c LEFT JOIN l USING (tenant_id, input_hash)),
+  closed AS (SELECT b.tenant_id, b.input_hash, min(s.place) AS place FROM b JOIN s ON s.tenant_id = b.tenant_id AND s.input_hash = b.input_hash AND s.part = b.part AND s.kind = 'completed' AND s.place > b.begun GROUP BY ALL)
+  SELECT b.tenant_id, b.input_hash, strftime(b.ts, '%Y-%m-%d %H:%M:%S.%f') AS at, row_number() OVER (PARTITION BY b.tenant_id, b.input_hash ORDER BY b.place) AS attempt FROM b LEFT JOIN closed x USING (tenant_id, input_hash)
+  WHERE b.place IS NOT NULL AND b.begun > 0 AND coalesce(b.before, '') <> 'completed' AND (x.place IS NULL OR b.place < x.place)""")
+def _(t):
+    stream = _stream(t, "events").select(
+        F.concat(F.lit("t"), F.col("user_id") % 5).alias("tenant_id"), F.concat(F.lit("h"), F.col("user_id") % 1000).alias("input_hash"), "ts",
+        F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "purchase", "completed").otherwise("input").alias("kind"))
+    ledger = t.nation.select(
+        F.concat(F.lit("t"), F.col("n_nationkey") % 5).alias("tenant_id"), F.concat(F.lit("h"), F.col("n_nationkey")).alias("input_hash"),
+        F.when(F.col("n_nationkey") % 3 == 0, "completed").when(F.col("n_nationkey") % 3 == 1, "failed").otherwise("processing").alias("status"))
+    with stateful.state_store(t.spark):
+        out = _run(t, stateful.accepted_inputs(stream, ledger))
+    return out.select("tenant_id", "input_hash", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"), "attempt")
 
 
 @query("stream_rates", """WITH w AS (SELECT 't' || (user_id % 20) AS tenant_id, to_timestamp(floor(epoch(ts) / 10) * 10 - 10 * k)::TIMESTAMP AS w FROM events, LATERAL (SELECT unnest(range(0, 6)) AS k))
