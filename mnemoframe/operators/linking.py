@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from mnemoframe.functions import fixed_values as fv
-from mnemoframe.functions.text import keyword_set, overlap
+from mnemoframe.functions.text import keyword_set
 from mnemoframe.operators.grouping import salted_join, top_k
 
 ANCHOR_CHARS = 6
+BLOCK_FACTS = 512
 
 
 def _pieces(word: Column) -> Column:
@@ -63,39 +68,141 @@ def mentioned_entities(facts: DataFrame, entities: DataFrame) -> DataFrame:
 
 
 def cross_links(new_facts: DataFrame, facts: DataFrame, links: DataFrame, entities: DataFrame,
-                page: int = 20, per_entity: int = 5, min_overlap: float = 0.20,
+                page: int | None = None, per_entity: int | None = None, min_overlap: float = 0.20,
                 generic=fv.GENERIC_ENTITIES) -> DataFrame:
-    """Typed edges from new facts to earlier facts of a shared entity.
+    """Typed edges from new facts to facts of a shared entity that are not new.
 
-    Per entity only its ``page`` newest facts are looked at, so the pairs grow with
-    the new facts, not with the square of a hot entity.  The default relation is
-    ``relates_to``; both ends of the edge are the shared entity and the fact ids sit
-    beside it.
+    Keyword sets whose overlap reaches ``min_overlap`` are linked.  With ``page`` only that many
+    newest facts of an entity are looked at, with ``per_entity`` a fact gets that many links through
+    an entity, the newest; without, all of them.  A fact needs two keywords to link, a
+    scratchpad is no target.  The default relation is ``relates_to``; both ends of the edge
+    are the shared entity and the fact ids sit beside it.
     """
+    linked = _named_links(links, entities, generic)
+    rows = facts.select("tenant_id", "fact_id", "created_at", "tags", "content").join(linked, ["tenant_id", "fact_id"])
+    if page is not None:
+        rows = top_k(rows, ["tenant_id", "entity_id"], [F.col("created_at").desc(), F.col("fact_id").desc()], page)
+    old = _with_words(rows.where(~F.array_contains("tags", "scratchpad")).join(
+        new_facts.select("fact_id"), "fact_id", "left_anti"))
+    new = _with_words(new_facts.select("tenant_id", "fact_id", "created_at", "content").join(
+        linked, ["tenant_id", "fact_id"])).where(F.size("words") >= 2)
+    return _edges(keyword_pairs(new, old, min_overlap), per_entity)
+
+
+def all_cross_links(facts: DataFrame, links: DataFrame, entities: DataFrame, per_entity: int | None = None,
+                    min_overlap: float = 0.20, generic=fv.GENERIC_ENTITIES) -> DataFrame:
+    """The edges as if each fact had come after all earlier ones: from every fact to all earlier facts."""
+    rows = _with_words(facts.select("tenant_id", "fact_id", "created_at", "tags", "content").join(
+        _named_links(links, entities, generic), ["tenant_id", "fact_id"]))
+    return _edges(keyword_pairs(rows.where(F.size("words") >= 2), rows.where(~F.array_contains("tags", "scratchpad")),
+                                min_overlap, earlier=True), per_entity)
+
+
+def _named_links(links: DataFrame, entities: DataFrame, generic) -> DataFrame:
     own = entities.where(~F.col("canonical_name").isin(*generic)).select(
         "tenant_id", "entity_id", F.col("canonical_name").alias("entity_name"))
-    linked = links.select("fact_id", "entity_id").join(own, "entity_id")
-    newest = top_k(
-        facts.select("tenant_id", "fact_id", "created_at").join(linked, ["tenant_id", "fact_id"]),
-        ["tenant_id", "entity_id"], [F.col("created_at").desc(), F.col("fact_id").desc()],
-        page, rank="_place")
-    shown = F.count(F.lit(1)).over(Window.partitionBy("tenant_id", "entity_id"))
-    new_ids = new_facts.select("fact_id")
-    earlier = (newest.withColumn("_shown", shown).where(F.col("_shown") >= 2)
-               .join(new_ids, "fact_id", "left_anti")
-               .join(facts.where(~F.array_contains("tags", "scratchpad")).select(
-                   "fact_id", keyword_set(F.col("content")).alias("_old_words")), "fact_id")
-               .select("tenant_id", "entity_id", F.col("fact_id").alias("target_fact_id"),
-                       "_place", "_old_words"))
-    fresh = new_facts.select(
-        "tenant_id", "fact_id", keyword_set(F.col("content")).alias("_words")).where(
-        F.size("_words") >= 2).join(linked, ["tenant_id", "fact_id"])
-    pairs = salted_join(fresh, earlier, ["tenant_id", "entity_id"], "fact_id").select(
-        "tenant_id", "entity_id", "entity_name", F.col("fact_id").alias("source_fact_id"),
-        "target_fact_id", "_place", overlap(F.col("_words"), F.col("_old_words")).alias("overlap"))
-    kept = top_k(pairs.where(F.col("overlap") >= min_overlap),
-                 ["tenant_id", "entity_id", "source_fact_id"], [F.col("_place")], per_entity)
-    once = top_k(kept, ["source_fact_id", "target_fact_id"], [F.col("entity_id")], 1)
+    return links.select("fact_id", "entity_id").distinct().join(own, "entity_id")
+
+
+def _with_words(rows: DataFrame) -> DataFrame:
+    return rows.select("tenant_id", "entity_id", "entity_name", "fact_id", "created_at", F.transform(
+        keyword_set(F.col("content")), lambda w: F.xxhash64(w)).alias("words"))
+
+
+def keyword_pairs(left: DataFrame, right: DataFrame, min_overlap: float, earlier: bool = False,
+                  rows_at_once: int = BLOCK_FACTS) -> DataFrame:
+    """``tenant_id, entity_id, entity_name, source_fact_id, target_fact_id, created_at, overlap`` of the facts of an
+    entity that share enough keywords; ``created_at`` is the target's.
+
+    The facts of an entity are dealt into blocks by their measured number, and each block
+    of the left side meets each of the right in a task's memory, as one product of
+    word incidences.  With ``earlier`` the right fact comes before the left by time, then id.
+    """
+    key = ["tenant_id", "entity_id"]
+
+    def blocks(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / rows_at_once).cast("int").alias(name))
+
+    counts = blocks(left, "_lefts").join(blocks(right, "_rights"), key)
+    own = F.pmod(F.xxhash64("fact_id", F.lit("block")), F.col("_own")).cast("int")
+
+    def dealt(rows: DataFrame, side: int) -> DataFrame:
+        mine, others = ("_lefts", "_rights") if side == 0 else ("_rights", "_lefts")
+        out = (rows.join(counts, key).withColumn("_own", F.col(mine)).withColumn("_mine", own)
+               .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col(others) - 1))))
+        names = ("_mine", "_other") if side == 0 else ("_other", "_mine")
+        return out.select(*rows.columns, F.lit(side).alias("_side"), F.col(names[0]).alias("_left"), F.col(names[1]).alias("_right"))
+
+    both = dealt(left, 0).unionByName(dealt(right, 1))
+    id_type = left.schema["fact_id"].dataType
+    schema = T.StructType([
+        left.schema["tenant_id"], left.schema["entity_id"], left.schema["entity_name"], T.StructField("source_fact_id", id_type),
+        T.StructField("target_fact_id", id_type), left.schema["created_at"], T.StructField("overlap", T.DoubleType())])
+    cell = [*key, "_left", "_right"]
+    return both.repartition(*cell).sortWithinPartitions(*cell, "_side").mapInArrow(
+        lambda batches: _cells(batches, schema.names, min_overlap, earlier), schema)
+
+
+def _cells(batches: Iterator[pa.RecordBatch], names: list[str], least: float, earlier: bool) -> Iterator[pa.RecordBatch]:
+    """Rows come cell by cell, those of the left side first."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for batch in batches:
+        keys = list(zip(*(batch.column(c).to_pylist() for c in ("tenant_id", "entity_id", "_left", "_right"))))
+        first = 0
+        for n, key in enumerate(keys):
+            if key != now:
+                if n > first:
+                    held.append(batch.slice(first, n - first))
+                yield from _cell(held, names, least, earlier)
+                held, first, now = [], n, key
+        held.append(batch.slice(first))
+    yield from _cell(held, names, least, earlier)
+
+
+def _cell(held: list[pa.RecordBatch], names: list[str], least: float, earlier: bool) -> Iterator[pa.RecordBatch]:
+    rows = pa.Table.from_batches(held).combine_chunks() if held else None
+    if rows is None or not len(rows):
+        return
+    side = rows.column("_side").to_numpy()
+    cut = int((side == 0).sum())
+    if cut in (0, len(rows)):
+        return
+    lists = rows.column("words").combine_chunks()
+    sizes = lists.value_lengths().to_numpy()
+    _, number = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+    met = np.zeros((len(rows), int(number.max()) + 1 if len(number) else 1), dtype=np.float32)
+    met[np.repeat(np.arange(len(rows)), sizes), number] = 1
+    shared = (met[:cut] @ met[cut:].T).astype(np.int64)
+    smaller = np.minimum(sizes[:cut, None], sizes[None, cut:])
+    overlap = np.divide(shared, smaller, out=np.zeros(shared.shape), where=smaller > 0)
+    at, target = np.nonzero(overlap >= least)
+    if earlier:
+        ids, times = rows.column("fact_id").to_pylist(), rows.column("created_at").to_pylist()
+        place = np.empty(len(rows), dtype=np.int64)
+        order = sorted(range(len(rows)), key=lambda n: (times[n], ids[n]))
+        same = {}
+        for n in order:
+            place[n] = same.setdefault((times[n], ids[n]), len(same))
+        kept = place[cut + target] < place[at]
+        at, target = at[kept], target[kept]
+    if not len(at):
+        return
+    found = overlap[at, target]
+    at, target = pa.array(at), pa.array(target + cut)
+    source, other = rows.take(at), rows.take(target)
+    columns = [*(source.column(c) for c in ("tenant_id", "entity_id", "entity_name", "fact_id")),
+               other.column("fact_id"), other.column("created_at"), pa.chunked_array([pa.array(found)])]
+    yield from pa.Table.from_arrays(columns, names).to_batches()
+
+
+def _edges(pairs: DataFrame, per_entity: int | None) -> DataFrame:
+    if per_entity is not None:
+        pairs = top_k(pairs, ["tenant_id", "entity_id", "source_fact_id"],
+                      [F.col("created_at").desc(), F.col("target_fact_id").desc()], per_entity)
+    once = pairs.groupBy("source_fact_id", "target_fact_id").agg(
+        F.min(F.struct("entity_id", "tenant_id", "entity_name", "overlap")).alias("_edge")).select(
+        "source_fact_id", "target_fact_id", "_edge.*")
     return once.select(
         "tenant_id", F.col("entity_id").alias("source_id"), F.col("entity_id").alias("target_id"),
         F.lit("relates_to").alias("relation"), edge_type(F.lit("relates_to")).alias("edge_type"),

@@ -44,7 +44,8 @@ def default_embedding(text: Column) -> Column:
 
 def ingest(inputs: DataFrame, memory: Memory, ledger: DataFrame, now: Column,
            embed: Callable[[Column], Column] = default_embedding,
-           model_facts: Callable[[DataFrame], DataFrame] | None = None) -> Ingested:
+           model_facts: Callable[[DataFrame], DataFrame] | None = None,
+           links_page: int | None = None, links_per_entity: int | None = None) -> Ingested:
     """Extract, deduplicate, link and account for a batch of inputs.
 
     ``inputs`` holds the scope, ``session_id, input_type, data`` and, if the order of the
@@ -94,7 +95,7 @@ def ingest(inputs: DataFrame, memory: Memory, ledger: DataFrame, now: Column,
     all_links = memory.fact_entities.select(
         F.col("fact_id").cast("string").alias("fact_id"), "entity_id").unionByName(
         links.select("fact_id", "entity_id"))
-    edges = linking.cross_links(facts, everything, all_links, relevant)
+    edges = linking.cross_links(facts, everything, all_links, relevant, links_page, links_per_entity)
 
     made = facts.groupBy("tenant_id", "extraction_id").agg(
         F.count(F.lit(1)).alias("facts_created"))

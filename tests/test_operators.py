@@ -308,3 +308,38 @@ def test_equal_text_is_a_duplicate_however_many_are_near(spark):
     assert got == {5: "noop", 1: "add", 2: "noop", 3: "noop", 4: "add", 6: "update", 7: "add", 8: "add", 0: "add"}
     near = {r.query_id: r.operation for r in vector_search.deduplicate(batch, stored, same_similarity=0.99).collect()}
     assert near == {**got, 1: "noop", 8: "noop"}
+
+
+def test_keyword_pairs_of_an_entity_equal_brute_force(spark):
+    rnd = random.Random(9)
+    words = ["train", "rain", "plan", "nation", "order", "window", "seven", "eight", "the", "and"]
+    rows = [("t", n, f"2024-01-{1 + n % 4:02d}", ["scratchpad"] if n % 11 == 0 else ["note"], " ".join(rnd.choices(words, k=rnd.choice([0, 1, 3, 8])))) for n in range(150)]
+    facts = spark.createDataFrame(rows, "tenant_id string, fact_id long, created_at string, tags array<string>, content string")
+    entities = spark.createDataFrame([("t", "e1", "hub"), ("t", "e2", "side"), ("t", "e3", "user")], "tenant_id string, entity_id string, canonical_name string")
+    of = {"e1": range(0, 150), "e2": range(0, 150, 7), "e3": range(150)}
+    links = spark.createDataFrame([(n, e) for e, ns in of.items() for n in ns] * 2, "fact_id long, entity_id string")
+    sets = {r[1]: {w for w in r[4].split() if len(w) >= 3 and w not in ("the", "and")} for r in rows}
+
+    def near(a, b):
+        return min(len(sets[a]), len(sets[b])) > 0 and len(sets[a] & sets[b]) / min(len(sets[a]), len(sets[b])) >= 0.4
+
+    want = {}
+    for e in ("e2", "e1"):
+        for a in of[e]:
+            for b in of[e]:
+                if len(sets[a]) >= 2 and b % 11 and (rows[b][2], b) < (rows[a][2], a) and near(a, b):
+                    want[a, b] = e
+    for size in (512, 20):
+        whole = linking.keyword_pairs
+        try:
+            linking.keyword_pairs = lambda *a, **k: whole(*a, **k, rows_at_once=size)
+            got = {(r.source_fact_id, r.target_fact_id): r.source_id for r in linking.all_cross_links(facts, links, entities, min_overlap=0.4).collect()}
+        finally:
+            linking.keyword_pairs = whole
+        assert got == want and len(want) > 1000
+    new = facts.where("fact_id >= 120")
+    some = linking.cross_links(new, facts, links, entities, page=60, per_entity=3, min_overlap=0.4).collect()
+    newest = sorted(range(150), key=lambda n: (rows[n][2], n), reverse=True)[:60]
+    for a in range(120, 150):
+        hub = [b for b in newest if b < 120 and b % 11 and near(a, b)][:3] if len(sets[a]) >= 2 else []
+        assert {r.target_fact_id for r in some if r.source_fact_id == a and r.source_id == "e1"} == set(hub)

@@ -324,20 +324,27 @@ def _(t):
 
 
 
-@query("cross_links", f"""WITH k AS (SELECT fact_id, tenant_id, created_at, tags, extraction_id, {_kwset('content')} AS w FROM facts),
-  l AS (SELECT l.fact_id, l.entity_id, e.tenant_id, e.canonical_name FROM fact_entities l JOIN entities e USING (entity_id) WHERE e.canonical_name NOT IN ('user', 'assistant')),
-  pg AS (SELECT l.entity_id, k.*, row_number() OVER (PARTITION BY l.tenant_id, l.entity_id ORDER BY k.created_at DESC, k.fact_id DESC) AS place FROM l JOIN k ON k.fact_id = l.fact_id AND k.tenant_id = l.tenant_id
-    QUALIFY row_number() OVER (PARTITION BY l.tenant_id, l.entity_id ORDER BY k.created_at DESC, k.fact_id DESC) <= 20),
-  old AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY tenant_id, entity_id) AS n FROM pg) WHERE n >= 2 AND extraction_id <> 7 AND NOT list_contains(tags, 'scratchpad')),
-  pr AS (SELECT l.tenant_id, l.entity_id, l.canonical_name AS entity_name, k.fact_id AS s, o.fact_id AS d, o.place, CASE WHEN least(len(k.w), len(o.w)) > 0 THEN len(list_intersect(k.w, o.w)) / least(len(k.w), len(o.w))::DOUBLE ELSE 0 END AS ov
-    FROM k JOIN l ON l.fact_id = k.fact_id AND l.tenant_id = k.tenant_id JOIN old o ON o.tenant_id = l.tenant_id AND o.entity_id = l.entity_id WHERE k.extraction_id = 7 AND len(k.w) >= 2),
-  kept AS (SELECT * FROM pr WHERE ov >= 0.2 QUALIFY row_number() OVER (PARTITION BY tenant_id, entity_id, s ORDER BY place) <= 5)
-  SELECT tenant_id, entity_id AS source_id, entity_id AS target_id, 'relates_to' AS relation, 'associative' AS edge_type, round(least(ov + 0.2::DOUBLE, 1), 6) AS weight, round(ov, 6) AS confidence, entity_name, s AS source_fact_id, d AS target_fact_id
-  FROM kept QUALIFY row_number() OVER (PARTITION BY s, d ORDER BY entity_id) = 1""")
-def _(t):
-    new = t.facts.where("extraction_id = 7")
-    return linking.cross_links(new, t.facts, t.fact_entities, t.entities).withColumns(
-        {"weight": F.round("weight", 6), "confidence": F.round("confidence", 6)})
+_LINKED = f"""k AS (SELECT fact_id, tenant_id, created_at, tags, {_kwset('content')} AS w FROM facts),
+  l AS (SELECT DISTINCT l.fact_id, l.entity_id, e.tenant_id, e.canonical_name FROM fact_entities l JOIN entities e USING (entity_id) WHERE e.canonical_name NOT IN ('user', 'assistant')),
+  el AS (SELECT l.entity_id, l.canonical_name, k.* FROM l JOIN k ON k.fact_id = l.fact_id AND k.tenant_id = l.tenant_id),
+  pr AS (SELECT a.tenant_id, a.entity_id, a.canonical_name AS entity_name, a.fact_id AS s, o.fact_id AS d, o.created_at AS old_at, a.created_at AS new_at, CASE WHEN least(len(a.w), len(o.w)) > 0 THEN len(list_intersect(a.w, o.w)) / least(len(a.w), len(o.w))::DOUBLE ELSE 0 END AS ov
+    FROM el a JOIN el o ON o.tenant_id = a.tenant_id AND o.entity_id = a.entity_id AND NOT list_contains(o.tags, 'scratchpad') WHERE len(a.w) >= 2)"""
+_EDGES = """SELECT tenant_id, entity_id AS source_id, entity_id AS target_id, 'relates_to' AS relation, 'associative' AS edge_type, round(least(ov + 0.2::DOUBLE, 1), 9) AS weight, round(ov, 9) AS confidence, entity_name, s AS source_fact_id, d AS target_fact_id
+  FROM kept QUALIFY row_number() OVER (PARTITION BY s, d ORDER BY entity_id) = 1"""
+
+
+@query("cross_links", f"WITH {_LINKED}, kept AS (SELECT * FROM pr WHERE ov >= 0.2 AND (old_at < new_at OR old_at = new_at AND d < s)) {_EDGES}")
+def _(t):
+    return linking.all_cross_links(t.facts, t.fact_entities, t.entities).withColumns(
+        {"weight": F.round("weight", 9), "confidence": F.round("confidence", 9)})
+
+
+@query("cross_links_of_new_facts", f"""WITH {_LINKED}, kept AS (SELECT * FROM pr WHERE ov >= 0.2 AND new_at >= TIMESTAMP '2024-01-25 00:00:00' AND old_at < TIMESTAMP '2024-01-25 00:00:00'
+  QUALIFY row_number() OVER (PARTITION BY tenant_id, entity_id, s ORDER BY old_at DESC, d DESC) <= 5) {_EDGES}""")
+def _(t):
+    new = t.facts.where("created_at >= TIMESTAMP '2024-01-25 00:00:00'")
+    return linking.cross_links(new, t.facts, t.fact_entities, t.entities, per_entity=5).withColumns(
+        {"weight": F.round("weight", 9), "confidence": F.round("confidence", 9)})
 
 
 # --- profiles and recall -------------------------------------------------------------
