@@ -4,20 +4,14 @@
 HALF_LIFE_DAYS = 30.0
 FREQUENCY_NORM = 50.0
 RERANK_WEIGHT = 0.4
-RERANK_MIN_CANDIDATES = 11
 FETCH_MULTIPLIER = 3
 DEFAULT_LIMIT = 10
-MAX_LIMIT = 100
-PAGE_DEFAULT = 20
-PAGE_MAX = 100
 COMPOUND_MIN_SIMILARITY = 0.25
 ENTITY_MIN_SIMILARITY = 0.3
 DEDUP_MIN_SIMILARITY = 0.55
 DEDUP_MATCHES = 5
 DEFAULT_DEPTH = 2
-MAX_DEPTH = 5
 DEFAULT_ENTITIES = 200
-MAX_ENTITIES = 500
 BM25_K1 = 1.2
 BM25_B = 0.75
 SEGMENT_CHARS = 800

@@ -120,19 +120,14 @@ def profile_category(content: Column) -> Column:
 
 def contextual_text(content: Column, source_chunk: Column) -> Column:
     """Fact text with its source in front, as embedded at extraction time."""
-    source = F.coalesce(source_chunk, content)
-    head = F.when(F.length(source) > 100,
-                  F.concat(F.trim(F.substring(source, 1, 200)), F.lit("...")))
-    return F.concat(F.lit("Context: "), F.coalesce(head, F.trim(source)),
-                    F.lit(" | Fact: "), content)
+    source = F.trim(F.coalesce(source_chunk, content))
+    return F.concat(F.lit("Context: "), source, F.lit(" | Fact: "), content)
 
 
 def reembedding_text(content: Column, source_chunk: Column) -> Column:
     """Fact text with its source in front, as used by the re-embedding job."""
     source = F.coalesce(F.nullif(source_chunk, F.lit("")), content)
-    head = F.when(F.length(source) > 200,
-                  F.concat(F.substring(source, 1, 200), F.lit("..."))).otherwise(source)
-    return F.concat(F.lit("Context: "), head, F.lit(" | Fact: "), content)
+    return F.concat(F.lit("Context: "), source, F.lit(" | Fact: "), content)
 
 
 def query_variants(query: Column) -> Column:
@@ -150,14 +145,12 @@ def query_variants(query: Column) -> Column:
                     r"^when (did|does|was|were|is) ", r"\?$"):
         statement = F.regexp_replace(statement, pattern, "")
     question = lower.rlike("^(what|who|where|when) ") & (statement != lower)
-    return F.slice(F.array_compact(F.array(
-        query, third_person, possessive, F.when(question, statement))), 1, 4)
+    return F.array_compact(F.array(query, third_person, possessive, F.when(question, statement)))
 
 
 def priority_label(content: Column) -> Column:
-    """Short name of a priority: lead-in dropped, 35 characters, last word cut off."""
-    short = F.substring(F.regexp_replace(content, fv.PRIORITY_LEAD_IN, ""), 1, 35)
-    return F.regexp_replace(short, r"\s+\S*$", "")
+    """Name of a priority: its text without the lead-in."""
+    return F.trim(F.regexp_replace(content, fv.PRIORITY_LEAD_IN, ""))
 
 
 CONTEXT_BEFORE = "[Earlier sentences, to tell what words here refer to]"

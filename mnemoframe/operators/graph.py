@@ -41,15 +41,16 @@ def traverse(seeds: DataFrame, edges: DataFrame, max_depth: int = fv.DEFAULT_DEP
     on only neighbours that can still make the cap (a kept entity shows up at two
     depths at most, hence twice the cap).
     """
-    depth_limit = min(max_depth, fv.MAX_DEPTH)
-    cap = min(max_entities, fv.MAX_ENTITIES)
+    if max_depth < 0 or max_entities < 1:
+        raise ValueError("a depth below 0 or no entities")
+    cap = max_entities
     links = adjacency(edges, as_of).withColumn(
         "_salt", F.pmod(F.xxhash64("neighbour"), F.lit(salts)).cast("int"))
     nearest_first = [F.col("depth"), F.col("node")]
     state = top_k(seeds.select("query_id", "tenant_id", F.col("entity_id").alias("node"),
                                F.lit(0).alias("depth")), ["query_id"], nearest_first, cap)
     every_salt = F.sequence(F.lit(0), F.lit(salts - 1))
-    for hop in range(depth_limit):
+    for hop in range(max_depth):
         frontier = state.withColumn("_salt", F.explode(
             F.when(F.col("depth") == hop, every_salt).otherwise(F.array(F.lit(-1)))))
         reached = frontier.join(links, ["tenant_id", "node", "_salt"], "left").select(
@@ -76,7 +77,7 @@ def traversed_edges(reached: DataFrame, edges: DataFrame, max_depth: int = fv.DE
                          F.col("depth").alias("_to"))
     return (valid.join(source, ["tenant_id", "source_id"])
             .join(target, ["query_id", "tenant_id", "target_id"])
-            .where(F.least("_from", "_to") < min(max_depth, fv.MAX_DEPTH)).drop("_from", "_to"))
+            .where(F.least("_from", "_to") < max_depth).drop("_from", "_to"))
 
 
 def facts_per_entity(facts: DataFrame, links: DataFrame, n: int,

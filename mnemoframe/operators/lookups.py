@@ -79,7 +79,11 @@ def incident_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def search_limit(requested: int | None) -> int:
-    return min(fv.DEFAULT_LIMIT if requested is None else requested, fv.MAX_LIMIT)
+    """The limit asked for, or the default; one that is not positive is an error."""
+    limit = fv.DEFAULT_LIMIT if requested is None else requested
+    if limit < 1:
+        raise ValueError(f"a limit of {limit}")
+    return limit
 
 
 def unextracted(messages: DataFrame) -> DataFrame:

@@ -42,26 +42,20 @@ def concat_streams(*frames: DataFrame) -> DataFrame:
 def rerank_streams(candidates: DataFrame, queries: DataFrame) -> DataFrame:
     """Blend vector and graph scores with query similarity before fusion.
 
-    Only for queries with more than ten such candidates and, within a query, for a
-    stream of two or more; facts without a vector keep their score.  Keyword and
-    trigger rows pass through.  Candidates carry their ``embedding``.
+    However many candidates there are: a fact's score does not depend on the others'.  Facts
+    without a vector keep their score.  Keyword and trigger rows pass through.  Candidates
+    carry their ``embedding``.
     """
-    per_query = Window.partitionBy("query_id")
     is_ranked = F.col("source").isin("vector", "graph")
-    sized = candidates.withColumns({
-        "_pool": F.sum(is_ranked.cast("int")).over(per_query),
-        "_own": F.count(F.lit(1)).over(Window.partitionBy("query_id", "source")),
-    })
     asked = queries.select("query_id", vectors.doubles(F.col("embedding")).alias("_query"))
-    joined = sized.join(asked, "query_id", "left")
+    joined = candidates.join(asked, "query_id", "left")
     similarity = F.round(vectors.cosine(F.col("embedding"), F.col("_query")), TIE_DIGITS)
-    applies = (is_ranked & (F.col("_pool") >= fv.RERANK_MIN_CANDIDATES) & (F.col("_own") > 1)
-               & F.col("embedding").isNotNull() & F.col("_query").isNotNull())
+    applies = is_ranked & F.col("embedding").isNotNull() & F.col("_query").isNotNull()
     blended = {
         f"{s}_score": F.when(applies & (F.col("source") == s), F.round(
             scoring.blended(F.col(f"{s}_score"), similarity), TIE_DIGITS))
         .otherwise(F.col(f"{s}_score")) for s in ("vector", "graph")}
-    ordered = joined.withColumns(blended).drop("_pool", "_own", "_query", "embedding")
+    ordered = joined.withColumns(blended).drop("_query", "embedding")
     strength = F.greatest("vector_score", "graph_score")
     new_position = F.row_number().over(
         Window.partitionBy("query_id", "source").orderBy(

@@ -230,11 +230,10 @@ cand AS (SELECT query_id, fact_id, 'vector' AS source, 0 AS stream, position, si
   UNION ALL SELECT query_id, fact_id, 'keyword', 1, position, 0.0, keyword_score, 0.0, NULL FROM b
   UNION ALL SELECT query_id, fact_id, 'graph', 2, position, 0.0, 0.0, graph_score, NULL FROM g
   UNION ALL SELECT query_id, fact_id, 'trigger', 3, (1000000 - priority) * 10 + part, vector_score, 0.0, 0.0, trigger_id FROM surfaced),
-sized AS (SELECT c.*, sum(CASE WHEN source IN ('vector', 'graph') THEN 1 ELSE 0 END) OVER (PARTITION BY c.query_id) AS pool, count(*) OVER (PARTITION BY c.query_id, source) AS own,
-  round({fr.cosine('f.embedding', 'r.embedding')}, 9) AS sim FROM cand c JOIN facts f USING (fact_id) JOIN requests r USING (query_id)),
+sized AS (SELECT c.*, round({fr.cosine('f.embedding', 'r.embedding')}, 9) AS sim FROM cand c JOIN facts f USING (fact_id) JOIN requests r USING (query_id)),
 blend AS (SELECT query_id, fact_id, source, stream, position, trig, ks,
-  CASE WHEN source = 'vector' AND pool >= 11 AND own > 1 AND sim IS NOT NULL THEN round(vs * 0.6::DOUBLE + sim * 0.4::DOUBLE, 9) ELSE vs END AS vs,
-  CASE WHEN source = 'graph' AND pool >= 11 AND own > 1 AND sim IS NOT NULL THEN round(gs * 0.6::DOUBLE + sim * 0.4::DOUBLE, 9) ELSE gs END AS gs FROM sized),
+  CASE WHEN source = 'vector' AND sim IS NOT NULL THEN round(vs * 0.6::DOUBLE + sim * 0.4::DOUBLE, 9) ELSE vs END AS vs,
+  CASE WHEN source = 'graph' AND sim IS NOT NULL THEN round(gs * 0.6::DOUBLE + sim * 0.4::DOUBLE, 9) ELSE gs END AS gs FROM sized),
 placed AS (SELECT * EXCLUDE (position), CASE WHEN source IN ('vector', 'graph') THEN row_number() OVER (PARTITION BY query_id, source ORDER BY -greatest(vs, gs), position, fact_id) ELSE position END AS position FROM blend)"""
 
 

@@ -197,8 +197,8 @@ def _(t):
     return q.select("query_id", F.explode(tx.query_variants(F.col("q"))).alias("variant"))
 
 
-@query("contextual_texts", """SELECT fact_id, CASE WHEN length(coalesce(source_chunk, content)) > 100 THEN 'Context: ' || trim(substr(coalesce(source_chunk, content), 1, 200)) || '... | Fact: ' ELSE 'Context: ' || trim(coalesce(source_chunk, content)) || ' | Fact: ' END || content AS contextual,
-  'Context: ' || CASE WHEN length(coalesce(source_chunk, content)) > 200 THEN substr(coalesce(source_chunk, content), 1, 200) || '...' ELSE coalesce(source_chunk, content) END || ' | Fact: ' || content AS reembedding FROM facts""")
+@query("contextual_texts", """SELECT fact_id, 'Context: ' || trim(coalesce(source_chunk, content)) || ' | Fact: ' || content AS contextual,
+  'Context: ' || coalesce(nullif(source_chunk, ''), content) || ' | Fact: ' || content AS reembedding FROM facts""")
 def _(t):
     return t.facts.select("fact_id", tx.contextual_text(F.col("content"), F.col("source_chunk")).alias("contextual"),
                           tx.reembedding_text(F.col("content"), F.col("source_chunk")).alias("reembedding"))
@@ -359,7 +359,7 @@ def _(t):
 
 
 _LABELS = r"""labels AS (SELECT tenant_id, fact_id, CAST(json_extract_string(metadata, '$.priority_order') AS INT) AS po, 'Priority #' || json_extract_string(metadata, '$.priority_order') || ' (' ||
-  regexp_replace(substr(regexp_replace(content, '(?i)^User(''s)?\s+(plans|added|believes|is planning|wants)\s+', ''), 1, 35), '\s+\S*$', '') || ')' AS label FROM facts WHERE json_extract_string(metadata, '$.priority_order') IS NOT NULL)"""
+  trim(regexp_replace(content, '(?i)^User(''s)?\s+(plans|added|believes|is planning|wants)\s+', '')) || ')' AS label FROM facts WHERE json_extract_string(metadata, '$.priority_order') IS NOT NULL)"""
 
 
 @query("priority_labels", f"WITH {_LABELS} SELECT tenant_id, fact_id, CAST(po AS BIGINT) AS priority_order, label FROM labels")
