@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from mnemoframe.session import stored
+
 
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int,
           rank: str | None = None) -> DataFrame:
@@ -60,25 +62,33 @@ def keyset_page(df: DataFrame, requests: DataFrame, scope_keys: Sequence[str], t
             .where(F.col("position") <= F.col("page_limit")))
 
 
-def numbered(df: DataFrame, keys: Sequence[str], ts: str, ties: Sequence[str], name: str,
-             bucket: str = "day") -> DataFrame:
+def in_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """Rows dealt out by ranges of (keys, order), the range's number beside them; written once.
+
+    Ranges ascend and hold about as many rows each, so a key of any share spreads over
+    them, at one time or at many.  ``order`` should tell any two rows of a key apart.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stored(df.repartitionByRange(parts, *keys, *order).withColumn(name, F.spark_partition_id()), "ranges")
+
+
+def numbered(df: DataFrame, keys: Sequence[str], ts: str, ties: Sequence[str], name: str) -> DataFrame:
     """1-based row number per group by time, for groups of unbounded size.
 
-    Rows are numbered inside (group, time bucket) and shifted by the number of
-    rows in earlier buckets.  No task ever sorts a whole group: the only window
-    over a group runs on its bucket counts.
+    Rows are numbered inside (group, range of rows) and shifted by the number of rows in
+    earlier ranges.  No task ever sorts a whole group: the only window over a group
+    runs on its counts by range.
     """
-    cut = F.date_trunc(bucket, F.col(ts))
-    rows = df.withColumn("_bucket", cut)
-    sizes = rows.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(
+    rows = in_ranges(df, keys, [ts, *ties], "_range")
+    sizes = rows.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(
         Window.unboundedPreceding, -1)
     shifts = sizes.select(
-        *keys, "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_shift"))
+        *keys, "_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_shift"))
     local = F.row_number().over(
-        Window.partitionBy(*keys, "_bucket").orderBy(ts, *ties))
-    return (rows.join(shifts, [*keys, "_bucket"])
-            .withColumn(name, local + F.col("_shift")).drop("_bucket", "_shift"))
+        Window.partitionBy(*keys, "_range").orderBy(ts, *ties))
+    return (rows.join(shifts, [*keys, "_range"])
+            .withColumn(name, local + F.col("_shift")).drop("_range", "_shift"))
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:

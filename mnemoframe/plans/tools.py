@@ -48,14 +48,23 @@ def recall(catalog: MemoryCatalog, queries: DataFrame, now: Column,
 
 def give_feedback(catalog: MemoryCatalog, feedback: DataFrame, now: Column) -> None:
     """Record feedback on the latest access of each fact and move its importance."""
-    catalog.replace("memory_accesses", mutations.feedback_on_latest(
-        catalog.table("memory_accesses"), feedback))
+    accesses = catalog.table("memory_accesses")
+    catalog.change("memory_accesses", accesses.join(feedback.select("fact_id"), "fact_id", "left_semi"),
+                   lambda rows: mutations.feedback_on_latest(rows, feedback))
     facts = catalog.table("facts")
     moved = mutations.apply_feedback(facts, feedback, now).select(
         "fact_id", F.col("new_importance").alias("importance"),
         F.col("new_decay_score").alias("decay_score"))
-    catalog.replace("facts", mutations.update_fields(
-        facts, moved, "fact_id", "importance", "decay_score"))
+    moved = cut_lineage(moved)
+    catalog.change("facts", facts.join(moved, "fact_id", "left_semi"),
+                   lambda rows: mutations.update_fields(rows, moved, "fact_id", "importance", "decay_score"))
+
+
+def edit(catalog: MemoryCatalog, edits: DataFrame, now: Column) -> None:
+    """New versions of facts (``fact_id, new_fact_id, new_content``); only their partitions are written."""
+    facts = catalog.table("facts")
+    catalog.change("facts", facts.join(edits.select("fact_id"), "fact_id", "left_semi"),
+                   lambda rows: mutations.edit_facts(rows, edits, now))
 
 
 def set_metadata(facts: DataFrame, changes: DataFrame) -> DataFrame:

@@ -1,40 +1,51 @@
-"""Memory tables in the Spark catalog."""
+"""The memory tables as one store of partitioned tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, types as T
 
 from mnemoframe.schemas import TABLES
+from mnemoframe.sources.partitioned import PartitionedTable
 
 
 class MemoryCatalog:
-    """The memory tables of one database; every read is a DataFrame."""
+    """The memory tables of one store; every read is a DataFrame.
+
+    Tables lie by tenant and, where they have one, by scope.
+    """
 
-    def __init__(self, spark: SparkSession, database: str):
+    def __init__(self, spark: SparkSession, name: str, location: str | None = None):
         self.spark = spark
-        self.database = database
+        self.location = location or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/{name}"
 
     def create(self, location: str | None = None) -> None:
-        where = f" LOCATION '{location}'" if location else ""
-        self.spark.sql(f"CREATE DATABASE IF NOT EXISTS {self.database}{where}")
-        for name, schema in TABLES.items():
-            self.spark.sql(
-                f"CREATE TABLE IF NOT EXISTS {self.database}.{name} ({schema}) USING parquet")
+        self.location = location or self.location
+        for name in TABLES:
+            self._table(name).create()
+
+    def _table(self, name: str) -> PartitionedTable:
+        columns = T.StructType.fromDDL(TABLES[name]).names
+        return PartitionedTable(self.spark, f"{self.location}/{name}", TABLES[name],
+                                [c for c in ("tenant_id", "scope") if c in columns])
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.table(f"{self.database}.{name}")
+        return self._table(name).read()
+
+    def commits(self, name: str) -> DataFrame:
+        """Which partitions each commit wrote."""
+        return self._table(name).commits()
 
     def append(self, name: str, rows: DataFrame) -> None:
         """Append rows; columns the rows lack are written as null."""
-        target = self.table(name)
-        aligned = target.limit(0).unionByName(rows.select(
-            *[c for c in target.columns if c in rows.columns]), allowMissingColumns=True)
-        aligned.write.mode("append").insertInto(f"{self.database}.{name}")
+        self._table(name).append(rows)
+
+    def change(self, name: str, touched: DataFrame, new_rows: Callable[[DataFrame], DataFrame]) -> None:
+        """Rewrite the partitions whose keys ``touched`` holds, and no others."""
+        self._table(name).change(touched, new_rows)
 
     def replace(self, name: str, rows: DataFrame) -> None:
-        """Swap in a rewritten table; the old one goes only once the new one is complete."""
-        full, staging = f"{self.database}.{name}", f"{self.database}.{name}_staging"
-        self.spark.sql(f"DROP TABLE IF EXISTS {staging}")
-        rows.select(*self.table(name).columns).write.format("parquet").saveAsTable(staging)
-        self.spark.sql(f"DROP TABLE {full}")
-        self.spark.sql(f"ALTER TABLE {staging} RENAME TO {full}")
+        """Rewrite the whole table."""
+        table = self._table(name)
+        table.change(table.live(), lambda _: rows)

@@ -33,7 +33,7 @@ def test_remember_recall_and_edit_through_the_catalog(spark, tmp_path):
     top = tools.recall(catalog, asked, now).orderBy("rank").first()
     assert top.content == "User lives in Oslo"
     home = facts.where("content = 'User lives in Oslo'").select("fact_id")
-    catalog.replace("facts", tools.set_metadata(facts, tools.dismissals(home, now)))
+    catalog.change("facts", home.join(facts, "fact_id"), lambda rows: tools.set_metadata(rows, tools.dismissals(home, now)))
     left = [r.content for r in tools.recall(catalog, asked, now).collect()]
     assert "User lives in Oslo" not in left
 
@@ -99,3 +99,51 @@ def test_repeated_inputs_choose_the_same_row(spark):
         incoming = spark.createDataFrame(order, "tenant_id string, hash string, session_id string, turn int").repartition(3)
         got = mutations.only_new(seen, incoming, "tenant_id", "hash").collect()
         assert [(r.session_id, r.turn) for r in got] == [("s1", 7)]
+
+
+def test_a_change_writes_the_partitions_it_touches(spark, tmp_path):
+    catalog = MemoryCatalog(spark, "edits", str(tmp_path / "store"))
+    catalog.create()
+    assert catalog.table("facts").count() == 0
+    rows = spark.range(400).select(
+        F.col("id").cast("string").alias("fact_id"), F.when(F.col("id") % 4 < 3, F.concat(F.lit("t"), F.col("id") % 4)).alias("tenant_id"),
+        F.when(F.col("id") % 8 < 4, "user").otherwise("agent").alias("scope"), F.lit("old").alias("content"), F.lit(1).alias("version"))
+    catalog.append("facts", rows.where("id < 300"))
+    catalog.append("facts", rows.where("id >= 300"))
+    catalog.create()  # again changes nothing
+    before = {str(p): p.stat().st_mtime_ns for p in (tmp_path / "store" / "facts" / "rows").rglob("*.parquet")}
+    reader = catalog.table("facts")
+    assert reader.count() == 400
+    now = F.expr("TIMESTAMP '2024-02-01 00:00:00'")
+    edits = spark.createDataFrame([("5", "n5", "new"), ("13", "n13", None)], "fact_id string, new_fact_id string, new_content string")
+    tools.edit(catalog, edits, now)
+    after = {str(p): p.stat().st_mtime_ns for p in (tmp_path / "store" / "facts" / "rows").rglob("*.parquet")}
+    new = set(after) - set(before)
+    assert new and all("tenant_id=t1/scope=agent" in p for p in new) and all(after[p] == before[p] for p in before)
+    assert reader.count() == 400  # a plan made before reads what was there
+    facts = catalog.table("facts")
+    assert facts.count() == 402
+    told = {r.fact_id: (r.version, r.content, r.valid_until is None) for r in facts.where("fact_id in ('5', 'n5', 'n13', '6')").collect()}
+    assert told == {"5": (1, "old", False), "n5": (2, "new", True), "n13": (2, "old", True), "6": (1, "old", True)}
+    # a writer that fails before its commit leaves nothing to read
+    catalog._table("facts").read().limit(3).withColumn("_commit", F.lit("lost")).write.mode("append").partitionBy(
+        "tenant_id", "scope", "_commit").parquet(str(tmp_path / "store" / "facts" / "rows"))
+    assert catalog.table("facts").count() == 402
+    catalog.change("facts", facts.where("tenant_id is null").select("tenant_id", "scope"), lambda rows: rows.limit(0))
+    assert catalog.table("facts").where("tenant_id is null").count() == 0 and catalog.table("facts").count() == 302
+    catalog.replace("facts", catalog.table("facts").where("scope = 'user'"))
+    assert {r.scope for r in catalog.table("facts").select("scope").distinct().collect()} == {"user"}
+    links = spark.createDataFrame([("1", "e", "mentioned")], "fact_id string, entity_id string, role string")
+    catalog.append("fact_entities", links)
+    catalog.replace("fact_entities", links.withColumn("role", F.lit("subject")))
+    assert [r.role for r in catalog.table("fact_entities").collect()] == ["subject"]
+
+
+def test_filters_reach_the_folders_of_a_partitioned_table(spark, tmp_path):
+    catalog = MemoryCatalog(spark, "plans", str(tmp_path / "store"))
+    catalog.create()
+    catalog.append("facts", spark.range(8).select(F.concat(F.lit("t"), "id").alias("tenant_id"), F.lit("user").alias("scope"), F.col("id").cast("string").alias("fact_id")))
+    plan = catalog.table("facts").where("tenant_id = 't3' and scope = 'user'").select("fact_id")._jdf.queryExecution().executedPlan().toString()
+    filters = [part.split("]")[0] for part in plan.split("PartitionFilters: [")[1:]]
+    assert any("tenant_id" in f and "t3" in f and "scope" in f for f in filters)
+    assert "content" not in plan

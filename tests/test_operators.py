@@ -66,6 +66,25 @@ def test_numbering_and_closing_of_a_hot_lineage(spark):
         r[1]: following.get(r[1]) for r in order}
 
 
+def test_a_lineage_with_one_time_spreads_over_ranges(spark):
+    df = spark.range(8000).select(
+        F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(1).alias("k"), "id", F.lit("2024-01-01").cast("timestamp").alias("at"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    try:
+        rows = grouping.in_ranges(df, ["k"], ["at", "id"], "part")
+        sizes = [r["count"] for r in rows.groupBy("part").count().collect()]
+        assert max(sizes) < 8000 / 3 and len(sizes) == 12
+        got = {r.id: r.n for r in grouping.numbered(df, ["k"], "at", ["id"], "n").collect()}
+        assert [got[i] for i in range(8000) if i % 10] == list(range(1, 7201))
+        probes = df.where("id % 10 = 3").select("k", F.col("id").alias("p"), "at")
+        versions_ = df.where("id % 10 = 5").select("k", F.col("id").alias("fact_id"), F.col("at").alias("valid_from"), F.lit(None).cast("timestamp").alias("valid_until"))
+        found = versions.as_of_join(probes, versions_, ["k"], "at").collect()
+        assert len(found) == 800 and {r.fact_id for r in found} == {7995}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_as_of_join_is_half_open(spark):
     v = spark.createDataFrame([(1, 10, ts(1), ts(5)), (1, 11, ts(5), ts(9)), (1, 12, ts(20), None)],
                               "k long, fact_id long, f string, u string").select(

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from mnemoframe.functions import fixed_values as fv, hashing
 from mnemoframe.operators import (
     conversations as cv, grouping, lookups, mutations as mu, profiles)
 from mnemoframe.operators.versions import as_of_join, close_versions
+from mnemoframe.plans import tools
+from mnemoframe.session import shared_folder
+from mnemoframe.sources.catalog import MemoryCatalog
 from workload.registry import query
 from workload.retrieval import request_triggers
 from workload.views import AS_OF, NOW
@@ -245,6 +250,23 @@ def _(t):
         "fact_id", F.col("version").cast("long").alias("version"), "lineage_id", stamp("valid_until"), "content")
 
 
+@query("edit_facts_partitions", """WITH touched AS (SELECT DISTINCT tenant_id, scope FROM facts WHERE fact_id < 5)
+  SELECT f.tenant_id, f.scope, CAST(CASE WHEN t.scope IS NULL THEN 1 ELSE 2 END AS BIGINT) AS written_by, CAST(count(*) + count(*) FILTER (fact_id < 5) AS BIGINT) AS facts, CAST(max(version) FILTER (fact_id < 5) + 1 AS BIGINT) AS edited_version
+  FROM facts f LEFT JOIN touched t USING (tenant_id, scope) GROUP BY ALL""")
+def _(t):
+    # the facts as a partitioned table, and the first five of them edited
+    catalog = MemoryCatalog(t.spark, "facts", f"{shared_folder(t.spark)}/store-{uuid.uuid4().hex}")
+    catalog.create()
+    columns = ["fact_id", "tenant_id", "scope", "scope_id", "content", "version", "valid_from", "valid_until", "created_at"]
+    catalog.append("facts", text_ids(t.facts.select(*columns), "fact_id"))
+    first = t.facts.where("fact_id < 5").select(F.col("fact_id").cast("string").alias("fact_id"))
+    tools.edit(catalog, first.select("fact_id", F.concat(F.lit("new"), "fact_id").alias("new_fact_id"), F.lit("edited").alias("new_content")), t.now)
+    rows = catalog.table("facts").groupBy("tenant_id", "scope").agg(
+        F.count(F.lit(1)).alias("facts"), F.max(F.when(F.col("content") == "edited", F.col("version"))).cast("long").alias("edited_version"))
+    places = catalog.commits("facts").groupBy("tenant_id", "scope").agg(F.max("_place").alias("written_by"))
+    return rows.join(places, ["tenant_id", "scope"])
+
+
 _PURGED = "(SELECT * FROM facts WHERE tenant_id || scope || scope_id IN (SELECT tenant_id || scope || scope_id FROM requests))"
 
 
@@ -372,21 +394,21 @@ def _(t):
 def _(t):
     probes = t.orders.select(F.col("o_orderkey").alias("probe_id"), F.col("o_custkey").alias("lineage_id"),
                              (F.col("o_orderdate").cast("timestamp") + F.expr("INTERVAL 45 DAYS")).alias("at"))
-    return as_of_join(probes, t.fact_versions, ["lineage_id"], "at", bucket="month").select("probe_id", "fact_id", stamp("valid_from"))
+    return as_of_join(probes, t.fact_versions, ["lineage_id"], "at").select("probe_id", "fact_id", stamp("valid_from"))
 
 
 @query("version_numbers", """SELECT o_orderkey AS fact_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS version FROM orders""")
 def _(t):
     rows = t.orders.select(F.col("o_orderkey").alias("fact_id"), F.col("o_custkey").alias("lineage_id"),
                            F.col("o_orderdate").cast("timestamp").alias("created_at"))
-    return grouping.numbered(rows, ["lineage_id"], "created_at", ["fact_id"], "version", "month").select("fact_id", "version")
+    return grouping.numbered(rows, ["lineage_id"], "created_at", ["fact_id"], "version").select("fact_id", "version")
 
 
 @query("close_versions", f"SELECT fact_id, strftime(valid_until, '{TS}') AS valid_until FROM fact_versions")
 def _(t):
     rows = t.orders.select(F.col("o_orderkey").alias("fact_id"), F.col("o_custkey").alias("lineage_id"),
                            F.col("o_orderdate").cast("timestamp").alias("valid_from"))
-    return close_versions(rows, ["lineage_id"], "valid_from", "fact_id", "month").select("fact_id", stamp("valid_until"))
+    return close_versions(rows, ["lineage_id"], "valid_from", "fact_id").select("fact_id", stamp("valid_until"))
 
 
 # --- aggregates --------------------------------------------------------------
