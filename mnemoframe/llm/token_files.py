@@ -191,7 +191,8 @@ class WordTokenizer:
     """Ids of a tokenizer file that drops white space: words are encoded once and remembered.
 
     White space always ends a token of such a file, so a text's ids are those of its
-    words in a row.
+    words in a row.  A text that holds the name of an added token, as ``<|endoftext|>``, is left to
+    the library whole: it gives the name one id, also inside a word.
     """
 
     def __init__(self, path: str):
@@ -199,7 +200,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer  # after the setting above
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
+        self._added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         self._forget()
 
     def _forget(self) -> None:
@@ -220,6 +221,23 @@ class WordTokenizer:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and where each text's ids begin and end."""
+        named = np.zeros(len(texts), dtype=bool)
+        for name in self._added:
+            found = pc.match_substring(texts, name, ignore_case=True)
+            named |= found.fill_null(False).to_numpy(zero_copy_only=False)
+        if not named.any():
+            return self._encode_words(texts)
+        plain = pa.array(~named)
+        ids, at = self._encode_words(pc.if_else(plain, texts, pa.scalar("", texts.type)))
+        counts, places = np.diff(at), at[:-1]
+        extra = [np.array(self._tokenizer.encode(texts[n].as_py(), add_special_tokens=False).ids, dtype=np.uint32)
+                 for n in np.flatnonzero(named).tolist()]
+        sizes = np.array([len(e) for e in extra], dtype=np.int64)
+        counts[named] = sizes
+        ids = np.insert(ids, np.repeat(places[named], sizes), np.concatenate(extra))
+        return ids, np.concatenate(([0], np.cumsum(counts)))
+
+    def _encode_words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         split = pc.ascii_split_whitespace(_parted(texts))
         words = split.flatten().dictionary_encode()
         names = words.dictionary.to_pylist()
