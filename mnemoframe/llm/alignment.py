@@ -42,8 +42,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from mnemoframe.llm.common import chunks, cuttable, mixed, small_batches, spread, store, text_bytes
 
-BLOCK_BYTES = 3 << 20
-KEPT_UNITS = 400_000  # some 250 bytes each
+BLOCK_BYTES = 2 << 20
+KEPT_UNITS = 300_000  # some 250 bytes each
 _UNITS_AT_ONCE = 20_000
 MARK = "▁"  # stands for a space in a piece model
 _OUT_BYTES = 4 << 20
