@@ -75,3 +75,12 @@ def test_inputs_are_retried_after_a_failure_only(spark, tmp_path):
     told = sorted((r[0], r[1], int((r[2].astimezone(timezone.utc) - START).total_seconds()), r[3]) for r in got)
     assert told == [("t", "a", 1, 1), ("t", "a", 11, 2), ("t", "a", 21, 3), ("t", "bad", 1, 1), ("t", "new", 20, 1),
                     ("u", "a", 1, 1), ("u", "busy", 20, 1)]
+
+
+def test_flush_times_of_sessions_beyond_an_int_of_seconds(spark):
+    from pyspark.sql import functions as F
+    from workload.streams import flush_time
+
+    rows = spark.createDataFrame([(0, 8), (700_000, 8), (None, 8)], "conv_id long, turn long")
+    got = [r[0] for r in rows.select(F.unix_seconds(flush_time(F.col("conv_id"), F.col("turn")))).collect()]
+    assert got[1] - got[0] == 700_000 * 3600 and got[2] is None

@@ -66,6 +66,12 @@ def _(t):
     return _run(t, st.outbox(stream, t.webhooks)).where("length(signature) = 64").select("webhook_id", "event_id")
 
 
+def flush_time(session, turn):
+    """Sessions begin an hour apart, of any number; the seconds since the first are more than an int holds."""
+    seconds = turn * 5 + F.floor(turn / 7) * 40 + session.cast("long") * 3600
+    return F.timestamp_micros(F.unix_micros(F.expr(NOW)) + seconds.cast("long") * 1_000_000)
+
+
 @query("stream_flushes", f"""WITH m AS (SELECT conv_id AS session_id, turn, role || ': ' || text AS line, epoch({NOW}) + turn * 5 + (turn // 7) * 40 + conv_id * 3600 AS sec FROM conversations),
   g AS (SELECT *, CASE WHEN sec - lag(sec) OVER w >= 30 THEN 1 ELSE 0 END AS gap FROM m WINDOW w AS (PARTITION BY session_id ORDER BY sec, turn)),
   s AS (SELECT *, sum(gap) OVER (PARTITION BY session_id ORDER BY sec, turn ROWS UNBOUNDED PRECEDING) AS part FROM g),
@@ -76,7 +82,7 @@ def _(t):
 def _(t):
     stream = _stream(t, "conversations").select(
         F.col("conv_id").alias("session_id"), F.col("turn").alias("turn_number"), "role", F.col("text").alias("content"),
-        F.timestamp_add("SECOND", (F.col("turn") * 5 + F.floor(F.col("turn") / 7) * 40 + F.col("conv_id") * 3600).cast("int"), F.expr(NOW)).alias("created_at"))
+        flush_time(F.col("conv_id"), F.col("turn")).alias("created_at"))
     with stateful.state_store(t.spark):
         # the sink has a folder "batch" of its own
         out = _run(t, stateful.flushes(stream, delay="0 seconds").withColumnRenamed("batch", "number"))
