@@ -110,3 +110,11 @@ def test_input_hash_is_of_compact_json(spark):
 def test_query_variants(spark):
     assert one(spark, tx.query_variants(F.lit("What is my name?"))) == [
         "What is my name?", "what is user's name?", "my name"]
+
+
+def test_hmac_with_pads_made_once_a_secret(spark):
+    secrets = spark.createDataFrame([("s",), ("k" * 64,), ("long" * 40,)], "secret string").select(
+        "secret", hashing.hmac_pads(F.col("secret")).alias("pads"))
+    got = {r.secret: r.x for r in secrets.crossJoin(spark.range(1)).select(
+        "secret", hashing.hmac_sha256(F.lit("é"), pads=F.col("pads")).alias("x")).collect()}
+    assert got == {s: hmac.new(s.encode(), "é".encode(), hashlib.sha256).hexdigest() for s in got} and len(got) == 3
