@@ -147,3 +147,18 @@ def test_filters_reach_the_folders_of_a_partitioned_table(spark, tmp_path):
     filters = [part.split("]")[0] for part in plan.split("PartitionFilters: [")[1:]]
     assert any("tenant_id" in f and "t3" in f and "scope" in f for f in filters)
     assert "content" not in plan
+
+
+def test_outbox_spreads_the_events_of_one_file(spark, tmp_path):
+    events = spark.range(64).select(F.lit("t").alias("tenant_id"), F.lit("made").alias("event"), F.col("id").cast("string").alias("payload"))
+    hooks = spark.createDataFrame([("t", "w1", "k", True, ["made"]), ("t", "w2", "k", True, ["gone"]), ("t", "w3", "l", False, ["made"])],
+                                  "tenant_id string, webhook_id string, secret string, active boolean, events array<string>")
+    got = st.outbox(events.coalesce(1), hooks)
+    assert got.columns == ["tenant_id", "event", "payload", "webhook_id", "signature"]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # else the few events travel
+    rows = got.withColumn("task", F.spark_partition_id()).collect()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len({r.payload for r in rows}) == len(rows) == 64 and {r.webhook_id for r in rows} == {"w1"}
+    assert len({r.task for r in rows}) > 1
