@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
@@ -35,20 +37,26 @@ def cosine(left: Column, right: Column, left_norm: Column | None = None,
 
 
 def decode_int8(encoded: Column) -> Column:
-    """Unit-length float vector from base64 text of signed bytes."""
-
-    @F.pandas_udf("array<float>")
-    def unpack(values: pd.Series) -> pd.Series:
-        def one(raw):
-            if raw is None:
-                return None
-            vector = np.frombuffer(raw, dtype=np.int8).astype(np.float64)
-            length = np.sqrt((vector * vector).sum())
-            return (vector / length if length else vector).astype(np.float32)
-
-        return values.map(one)
+    """Unit-length float vector from base64 text of signed bytes.
 
-    return unpack(F.unbase64(encoded))
+    Expressions only: a text of any length is held by its task once, and no batch of vectors is.
+    """
+    # each byte as a Latin-1 character, so its code is the byte without sign
+    raw = F.unbase64(encoded)
+    signed = F.transform(F.split(F.decode(raw, "ISO-8859-1"), ""), lambda c: (
+        (F.ascii(c) + 128) % 256 - 128).cast("double"))
+    vector = F.when(F.octet_length(raw) > 0, signed).otherwise(F.array().cast("array<double>"))
+
+    def unit(v: Column) -> Column:
+        length = F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x, F.sqrt)
+        return F.element_at(held(F.when(length > 0, length).otherwise(1.0), lambda n: F.transform(
+            v, lambda x: (x / n).cast("float"))), 1)
+
+    def held(value: Column, then: Callable[[Column], Column]) -> Column:
+        """As an element: a value used twice, or within a lambda, would be computed that often."""
+        return F.transform(F.array(value), then)
+
+    return F.when(raw.isNotNull(), F.element_at(held(vector, unit), 1))
 
 
 def hashing_embedding(tokens: Column, dim: int = 64) -> Column:

@@ -1,11 +1,13 @@
+import base64
 import hashlib
 import hmac
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mnemoframe.functions import hashing, text as tx
+from mnemoframe.functions import hashing, text as tx, vectors
 from mnemoframe.operators import extraction as ex
 
 
@@ -118,3 +120,16 @@ def test_hmac_with_pads_made_once_a_secret(spark):
     got = {r.secret: r.x for r in secrets.crossJoin(spark.range(1)).select(
         "secret", hashing.hmac_sha256(F.lit("é"), pads=F.col("pads")).alias("x")).collect()}
     assert got == {s: hmac.new(s.encode(), "é".encode(), hashlib.sha256).hexdigest() for s in got} and len(got) == 3
+
+
+def test_int8_vectors_equal_numpy(spark):
+    raws = [b"", bytes(5), bytes(range(256)), b"\x80\x7f\xff\n\r", bytes(i * 7 % 256 for i in range(5000))]
+    rows = spark.createDataFrame([(n, base64.b64encode(r).decode()) for n, r in enumerate(raws)] + [(9, None)], "n int, t string")
+    df = rows.select("n", vectors.decode_int8(F.col("t")).alias("v"))
+    assert "Python" not in df._jdf.queryExecution().toString()  # no batch of vectors in a Python worker
+    got = {r.n: r.v for r in df.collect()}
+    assert got.pop(9) is None
+    for n, raw in enumerate(raws):
+        v = np.frombuffer(raw, dtype=np.int8).astype(np.float64) if raw else np.zeros(0)
+        length = np.sqrt((v * v).sum())
+        assert got[n] == (v / length if length else v).astype(np.float32).tolist()
