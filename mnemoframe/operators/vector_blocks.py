@@ -18,6 +18,7 @@ QUERY_ROWS = 16_384
 QUERY_BYTES = 64 << 20
 _CLOSE = 1e-9  # rows nearer than this to the k-th stay; ranks are given after rounding
 _HELD = 1 << 18
+_AT_ONCE = 1 << 20  # similarities of one product
 
 
 class _Queries:
@@ -99,17 +100,21 @@ class _Best:
             flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
             ends = np.cumsum(sizes)
             for size in np.unique(sizes).tolist():
-                rows = np.flatnonzero(sizes == size)
-                matrix = _unit(flat[(ends[rows] - size)[:, None] + np.arange(size)])
+                of_size = np.flatnonzero(sizes == size)
                 for numbers, other in groups:
-                    if other.shape[1] == size:
-                        near = matrix @ other.T
-                    else:
-                        near = np.zeros((len(rows), len(numbers)))
-                    with np.errstate(invalid="ignore"):
-                        at, query = np.nonzero(near >= self.least[numbers])
-                    if len(at):
-                        self._keep(numbers[query], near[at, query], ids.take(pa.array(np.array(some)[rows[at]])))
+                    step = max(1, _AT_ONCE // len(numbers))
+                    for first in range(0, len(of_size), step):
+                        rows = of_size[first:first + step]
+                        if other.shape[1] == size:
+                            near = _unit(flat[(ends[rows] - size)[:, None] + np.arange(size)]) @ other.T
+                        else:
+                            near = np.zeros((len(rows), len(numbers)))
+                        with np.errstate(invalid="ignore"):
+                            at, query = np.nonzero(near >= self.least[numbers])
+                        if len(at):
+                            self._keep(numbers[query], near[at, query], ids.take(pa.array(np.array(some)[rows[at]])))
+                        if self.k is not None and self.count >= _HELD:
+                            self._cut()
         if self.count >= _HELD:
             if self.k is None:
                 yield from self.rest()

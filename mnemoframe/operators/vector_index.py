@@ -25,6 +25,7 @@ from mnemoframe.operators.vector_search import similar_pairs
 
 SAMPLE_ROWS = 20_000  # bound of the rows that centres are fitted on
 MOST_CELLS = 4096  # so centres of 1024 dimensions take 32 MB
+NEAR_VALUES = 1 << 18  # similarities to centres that a task holds at once, whatever the number of cells
 _ROUNDS = 8
 
 
@@ -100,20 +101,24 @@ def _nearest_cells(rows: DataFrame, kept: Sequence[str], centres: np.ndarray, pr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         middle = held.value
-        for batch in batches:
-            column = batch.column("embedding")
-            sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            flat = np.nan_to_num(column.flatten().to_numpy(zero_copy_only=False).astype(np.float64))
-            ends = np.cumsum(sizes)
-            cells = np.tile(np.arange(probes, dtype=np.int32), (len(batch), 1))
-            fit_ = np.flatnonzero(sizes == middle.shape[1])
-            if len(fit_):
-                near = _unit(flat[(ends[fit_] - middle.shape[1])[:, None] + np.arange(middle.shape[1])]) @ middle.T
-                cells[fit_] = np.argsort(-near, axis=1, kind="stable")[:, :probes]
-            places = pa.array(np.repeat(np.arange(len(batch)), probes))
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c).take(places) for c in kept), pa.array(cells.ravel(), pa.int32()),
-                 pa.array(np.tile(np.arange(probes, dtype=np.int32), len(batch)))], schema.names)
+        step = max(1, NEAR_VALUES // len(middle))
+        for whole in batches:
+            for first in range(0, len(whole), step):
+                batch = whole.slice(first, step)
+                column = batch.column("embedding")
+                sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                flat = np.nan_to_num(column.flatten().to_numpy(zero_copy_only=False).astype(np.float64))
+                ends = np.cumsum(sizes)
+                cells = np.tile(np.arange(probes, dtype=np.int32), (len(batch), 1))
+                fit_ = np.flatnonzero(sizes == middle.shape[1])
+                if len(fit_):
+                    near = _unit(flat[(ends[fit_] - middle.shape[1])[:, None] + np.arange(middle.shape[1])]) @ middle.T
+                    cells[fit_] = (near.argmax(axis=1)[:, None] if probes == 1  # ties: the first, as in the order
+                                   else np.argsort(-near, axis=1, kind="stable")[:, :probes])
+                places = pa.array(np.repeat(np.arange(len(batch)), probes))
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c).take(places) for c in kept), pa.array(cells.ravel(), pa.int32()),
+                     pa.array(np.tile(np.arange(probes, dtype=np.int32), len(batch)))], schema.names)
 
     return rows.mapInArrow(run, schema)
 

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,3 +112,20 @@ def test_stored_keywords_skip_ranges(spark):
         [(1, r, 5.0 if r < 3 else 0.5) for r in range(40)] + [(1, 7, 4.4), (1, 8, 4.6)], "query_id long, range long, _most double")
     assert {r.range for r in keyword_index.promising_ranges(met, 3).collect()} == {0, 1, 2, 8}
     assert keyword_index.promising_ranges(met, 41).count() == 40
+
+
+def test_products_with_centres_are_bounded(spark, monkeypatch):
+    stored, asked = facts(spark), queries(spark)
+    centres = vector_index.fit(stored, "fact_id", 9)
+    kept = ["fact_id"]
+    want = [rows_of(vector_index._nearest_cells(stored.where("embedding is not null"), kept, centres, p)) for p in (1, 4, 9)]
+    monkeypatch.setattr(vector_index, "NEAR_VALUES", 20)  # two rows at once
+    monkeypatch.setattr(vector_blocks, "_AT_ONCE", 7)
+    assert want == [rows_of(vector_index._nearest_cells(stored.where("embedding is not null"), kept, centres, p)) for p in (1, 4, 9)]
+    best = vector_blocks._Best(vector_blocks._Queries(asked.where("embedding is not null").select(
+        *SCOPE, "query_id", F.col("embedding").cast("array<double>").alias("embedding")).toArrow(), SCOPE), 3, -1.0)
+    sizes = []
+    monkeypatch.setattr(vector_blocks, "_unit", lambda m: sizes.append(len(m)) or m)
+    for batch in stored.where("embedding is not null").select(*SCOPE, "fact_id", "embedding").toArrow().combine_chunks().to_batches():
+        list(best.add(batch, SCOPE, "fact_id"))
+    assert sizes and max(sizes) <= 7
