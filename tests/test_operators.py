@@ -49,6 +49,23 @@ def test_traversal_matches_breadth_first_search_with_a_hub(spark):
         assert got == want
 
 
+def test_traversal_from_many_seeds_takes_hubs_cut_to_twice_the_cap(spark, monkeypatch):
+    rng = random.Random(6)
+    pairs = {(0, i) for i in range(1, 300)} | {(1, i) for i in range(2, 300, 2)}
+    pairs |= {(rng.randrange(300, 400), rng.randrange(1, 400)) for _ in range(300)}
+    edges = spark.createDataFrame(
+        [(f"n{a:03d}", f"n{b:03d}", t, None, None) for a, b in pairs for t in ("t", "u", "t")],
+        "source_id string, target_id string, tenant_id string, valid_from timestamp, valid_until timestamp")
+    seeds = spark.createDataFrame([(n, "tu"[n % 2], f"n{n:03d}") for n in range(0, 400, 7)] + [(7, "u", "n001")],
+                                  "query_id int, tenant_id string, entity_id string")
+    lists = []
+    monkeypatch.setattr(graph, "stored", lambda df, name: lists.append(df) or df)
+    for cap, depth in ((5, 2), (40, 3), (500, 2)):
+        want = sorted(tuple(r) for r in graph.traverse(seeds, edges, depth, cap).collect())
+        assert sorted(tuple(r) for r in graph.traverse(seeds, edges, depth, cap, many_seeds=True).collect()) == want
+        assert lists.pop().groupBy("tenant_id", "node").count().agg(F.max("count")).first()[0] <= 2 * cap
+
+
 def test_numbering_and_closing_of_a_hot_lineage(spark):
     rows = [(1, i, ts(1 + i % 28)) for i in range(300)] + [(2, 1000, ts(3)), (3, 1001, ts(3))]
     df = spark.createDataFrame(rows, "k long, id long, at string").withColumn(
