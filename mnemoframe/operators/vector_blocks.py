@@ -3,7 +3,7 @@
 A batch of questions is small beside the stored vectors.  Up to a checked size it travels
 to the tasks once, and the stored vectors are read where they lie: no vector is shuffled,
 and a task ships at most its best ``k`` rows of a query.  Beyond that size
-``vector_blocks`` says so by returning ``None`` and the caller joins.
+``vector_blocks`` says so by returning ``None``, and ``vector_cells`` lets blocks of both sides meet.
 """
 
 from __future__ import annotations
@@ -14,10 +14,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from mnemoframe.operators.grouping import many_parts
+
 QUERY_ROWS = 16_384
 QUERY_BYTES = 64 << 20
 _CLOSE = 1e-9  # rows nearer than this to the k-th stay; ranks are given after rounding
 _HELD = 1 << 18
+CELL_ROWS = 8_192  # of a block
+CELL_ROWS_OF_PAIRS = 2_048  # of a block whose pairs may all come
 _AT_ONCE = 1 << 20  # similarities of one product
 
 
@@ -74,6 +78,86 @@ def vector_blocks(queries: DataFrame, rows: DataFrame, on: Sequence[str], row_id
             .mapInArrow(run, schema))
 
 
+def vector_cells(queries: DataFrame, rows: DataFrame, on: Sequence[str], row_id: str,
+                 min_similarity: float, k: int | None = None) -> DataFrame:
+    """The pairs of ``vector_blocks`` for any number of queries.
+
+    Queries and rows of a key are dealt into blocks by their measured numbers, and two blocks meet in a
+    task's memory: a vector is sent once for each block of the other side, a pair only if it passes.
+    """
+    size = CELL_ROWS_OF_PAIRS if k is None else CELL_ROWS
+    asked = queries.where(F.col("embedding").isNotNull()).select(
+        *on, "query_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    taken = rows.where(F.col("embedding").isNotNull()).select(*on, F.col(row_id).alias("_row"), "embedding")
+
+    def blocks(side: DataFrame, name: str) -> DataFrame:
+        return side.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
+
+    counts = blocks(asked, "_asks").join(blocks(taken, "_takes"), list(on))
+    cell = [*on, "_ask", "_take"]
+    parts = many_parts(rows.sparkSession)
+
+    def dealt(side: DataFrame, row: str, mine: tuple[str, str], other: tuple[str, str]):
+        own = F.pmod(F.xxhash64(row, "embedding"), F.col(mine[1])).cast("int").alias(mine[0])
+        every = F.explode(F.sequence(F.lit(0), F.col(other[1]) - 1)).alias(other[0])
+        out = side.join(counts, list(on)).select(*side.columns, own, every)
+        return out.repartition(parts, *cell).groupBy(*cell)
+
+    schema = T.StructType([
+        asked.schema["query_id"], T.StructField(row_id, taken.schema["_row"].dataType), T.StructField("similarity", T.DoubleType())])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        best = _Best(_Queries(left, ()), k, min_similarity - _CLOSE)
+        found = [chunk for batch in right.combine_chunks().to_batches(max_chunksize=size // 8) for chunk in best.add(batch, (), "_row")]
+        found.extend(best.rest())
+        names = schema.names
+        none = [left.schema.field("query_id").type, right.schema.field("_row").type, pa.float64()]
+        return pa.concat_tables([pa.Table.from_arrays(chunk, names) for chunk in found]
+                                or [pa.Table.from_arrays([pa.array([], kind) for kind in none], names)])
+
+    asks, takes = ("_ask", "_asks"), ("_take", "_takes")
+    return dealt(asked, "query_id", asks, takes).cogroup(dealt(taken, "_row", takes, asks)).applyInArrow(run, schema)
+
+
+class Vectors:
+    """Vectors of several lengths; a missing one is near to nothing."""
+
+    def __init__(self, column: pa.ChunkedArray):
+        lists = column.combine_chunks()
+        sizes = np.asarray(lists.value_lengths().fill_null(-1))
+        flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        ends = np.cumsum(np.maximum(sizes, 0))
+        self.count = len(sizes)
+        self.groups = {}
+        for size in np.unique(sizes[sizes >= 0]).tolist():
+            of = np.flatnonzero(sizes == size)
+            self.groups[size] = of, _unit(flat[(ends[of] - size)[:, None] + np.arange(size)])
+
+    def near(self, other: Vectors, least: float, digits: int) -> np.ndarray:
+        """Whether some vector of the other ones is as near as ``least``, after rounding."""
+        out = np.zeros(self.count, dtype=bool)
+        for size, (of, unit) in self.groups.items():
+            for far, (some, others) in other.groups.items():
+                if far != size:
+                    out[of] |= least <= 0
+                    continue
+                step = max(1, _AT_ONCE // len(some))
+                for first in range(0, len(of), step):
+                    with np.errstate(invalid="ignore"):
+                        near = unit[first:first + step] @ others.T
+                        out[of[first:first + step]] |= (np.round(near, digits) >= least).any(axis=1)
+        return out
+
+    def only(self, rows: np.ndarray) -> Vectors:
+        some = object.__new__(Vectors)
+        some.count, some.groups = self.count, {}
+        for size, (of, unit) in self.groups.items():
+            kept = rows[of]
+            if kept.any():
+                some.groups[size] = of[kept], unit[kept]
+        return some
+
+
 class _Best:
     """Pairs found in a task; with ``k``, cut down to each query's best now and then."""
 

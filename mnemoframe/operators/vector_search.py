@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from mnemoframe.functions import fixed_values as fv, vectors
-from mnemoframe.operators.grouping import salted_join, top_k
+from mnemoframe.operators.grouping import many_parts, salted_join, top_k
 from mnemoframe.operators.lookups import SCOPE, searchable, valid_at
-from mnemoframe.operators.vector_blocks import vector_blocks
+from mnemoframe.operators.vector_blocks import CELL_ROWS, Vectors, vector_blocks, vector_cells
 from mnemoframe.session import stored
 
 # Similarities closer than this count as equal, so ties break by id on any machine.
 TIE_DIGITS = 9
+HEADS = 4_096  # rows of a scope that are decided in one task
 
 
 def with_norm(rows: DataFrame, vector: str, out: str) -> DataFrame:
@@ -26,19 +29,21 @@ def similar_pairs(queries: DataFrame, rows: DataFrame, on: Sequence[str], row_id
                   min_similarity: float, salts: int = 8, k: int | None = None) -> DataFrame:
     """``query_id, row_id, similarity`` of pairs that share the keys and pass the floor.
 
-    Queries of a checked size meet the vectors where those lie; more of them are joined.
+    Queries of a checked size meet the vectors where those lie; of more of them, blocks meet blocks.
     With ``k`` only rows that can be among a query's best ``k`` need come.
     """
     found = vector_blocks(queries, rows, on, row_id, min_similarity, k)
-    if found is None:
+    if found is None and not on:
         return joined_pairs(queries, rows, on, row_id, min_similarity, salts)
+    if found is None:
+        found = vector_cells(queries, rows, on, row_id, min_similarity, k)
     rounded = F.round("similarity", TIE_DIGITS)
     return found.withColumn("similarity", rounded).where(F.col("similarity") >= min_similarity)
 
 
 def joined_pairs(queries: DataFrame, rows: DataFrame, on: Sequence[str], row_id: str,
                  min_similarity: float, salts: int = 8) -> DataFrame:
-    """The same pairs for any number of queries.
+    """The same pairs for any number of queries and without Python, which is slow where scopes are large.
 
     The join is an equi-join on the scope, hot scopes are salted, and vectors are
     dropped as soon as the similarity is known.
@@ -109,20 +114,19 @@ def deduplicate(candidates: DataFrame, facts: DataFrame,
     # written once: vectors are costly to make and read by each step below
     batch = stored(candidates.withColumns({
         "_add": F.coalesce("operation", F.lit("add")) == "add",
-        "_text": F.lower(F.trim("content")), "_place": F.struct(F.col(order).alias("order"), F.col("query_id").alias("id"))}), "candidates")
+        "_text": _said(), "_place": F.struct(F.col(order).alias("order"), F.col("query_id").alias("id"))}), "candidates")
     undecided = batch.where("_add")
     seen = (vector_search(undecided, facts, k, min_similarity).groupBy("query_id").agg(
         F.count(F.lit(1)).alias("match_count"), F.min_by("fact_id", "position").alias("best_fact_id")))
-    text = [*SCOPE, F.xxhash64("_text").alias("_hash"), "_text"]
-    on = [*SCOPE, "_hash", "_text"]
-    known = facts.where(valid_at()).withColumn("_text", F.lower(F.trim("content"))).select(*text).distinct()
-    firsts = undecided.select(*text, "_place").groupBy(*on).agg(F.min("_place").alias("_first"))
+    on = [*SCOPE, "_text"]
+    known = facts.where(valid_at()).withColumn("_text", _said()).select(*on).distinct()
+    firsts = undecided.select(*on, "_place").groupBy(*on).agg(F.min("_place").alias("_first"))
     told = firsts.join(known.withColumn("_known", F.lit(True)), on, "left")
-    spread = salted_join(undecided.select(*text, "query_id", "_place"), told, on, "query_id")
+    spread = salted_join(undecided.select(*on, "query_id", "_place"), told, on, "query_id")
     same = spread.where(F.coalesce("_known", F.lit(False)) | (F.col("_place") != F.col("_first"))).select("query_id")
     if same_similarity is not None:
         new = undecided.join(same, "query_id", "left_anti")
-        same = same.unionByName(first_wins(_earlier_neighbours(new, same_similarity)).withColumnRenamed("later", "query_id"))
+        same = same.unionByName(near_earlier(new, same_similarity))
     decided = F.when(~F.col("_add"), F.col("operation")).when(
         F.col("_same").isNotNull(), F.lit("noop")).otherwise(F.lit("add"))
     same = same.withColumn("_same", F.lit(True))
@@ -132,6 +136,63 @@ def deduplicate(candidates: DataFrame, facts: DataFrame,
             .drop("_same", "_add", "_text", "_place"))
 
 
+def _said() -> Column:
+    """A text but for case and space around it, as a digest: texts are long and only compared."""
+    return F.sha2(F.lower(F.trim("content")), 256)
+
+
+def near_earlier(rows: DataFrame, min_similarity: float, heads: int = HEADS) -> DataFrame:
+    """``query_id`` of the rows that go, each for a near one of its scope that comes before it and stays.
+
+    Round by round, the first ``heads`` rows of each scope are decided one after the other; what
+    stays is kept from the others by blocks, and those near to it go.  No pair is written down.
+    """
+    with_vector = rows.where(F.col("embedding").isNotNull()).dropna(subset=list(SCOPE)).select(
+        *SCOPE, "query_id", "_place", F.col("embedding").cast("array<double>").alias("embedding"))
+    open_ = stored(with_vector, "open-rows")
+    ids = open_.select("query_id", *SCOPE).distinct().groupBy("query_id").count()
+    if not ids.where("query_id IS NULL OR count > 1").isEmpty():  # a row of several scopes is decided by all of them
+        return first_wins(_earlier_neighbours(rows, min_similarity)).withColumnRenamed("later", "query_id")
+    gone = open_.select("query_id").limit(0)
+    nth = F.dense_rank().over(Window.partitionBy(*SCOPE).orderBy("_place"))
+    parts = many_parts(open_.sparkSession)
+    schema = open_.schema.add("_stays", "boolean")
+    narrow = open_.select("query_id").schema.add("_near", "boolean")
+
+    def decide(table: pa.Table) -> pa.Table:
+        number = table.column("_nth").to_numpy()
+        vectors = Vectors(table.column("embedding"))
+        out = np.zeros(int(number.max()) + 1, dtype=bool)
+        for n in np.unique(number).tolist():
+            if not out[n]:
+                later = vectors.only(number > n)
+                near = later.near(vectors.only(number == n), min_similarity, TIE_DIGITS)
+                out[np.unique(number[near])] = True
+        return table.drop_columns(["_nth"]).append_column("_stays", pa.array(~out[number]))
+
+    def sift(stay: pa.Table, rest: pa.Table) -> pa.Table:
+        near = Vectors(rest.column("embedding")).near(Vectors(stay.column("embedding")), min_similarity, TIE_DIGITS)
+        return rest.select(["query_id"]).append_column("_near", pa.array(near))
+
+    while not open_.isEmpty():
+        first = open_.withColumn("_nth", nth).where(F.col("_nth") <= heads)
+        decided = stored(first.repartition(parts, *SCOPE).groupBy(*SCOPE).applyInArrow(decide, schema), "decided-rows")
+        ends = decided.groupBy(*SCOPE).agg(F.max("_place").alias("_end"))
+        rest = open_.join(ends, list(SCOPE)).where(F.col("_place") > F.col("_end")).drop("_end")
+        blocks = rest.groupBy(*SCOPE).agg(F.ceil(F.count(F.lit(1)) / CELL_ROWS).cast("int").alias("_blocks"))
+        stay = decided.where("_stays").select(*SCOPE, "embedding").join(blocks, list(SCOPE)).select(
+            *SCOPE, "embedding", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"))
+        dealt = rest.join(blocks, list(SCOPE)).select(
+            *SCOPE, "query_id", "embedding", F.pmod(F.xxhash64("query_id"), F.col("_blocks")).cast("int").alias("_block"))
+        cell = [*SCOPE, "_block"]
+        sifted = stay.repartition(parts, *cell).groupBy(*cell).cogroup(
+            dealt.repartition(parts, *cell).groupBy(*cell)).applyInArrow(sift, narrow)
+        near = stored(sifted.where("_near").select("query_id").distinct(), "near-rows")
+        gone = gone.unionByName(decided.where("NOT _stays").select("query_id").distinct()).unionByName(near)
+        open_ = stored(rest.join(near, "query_id", "left_anti"), "open-rows")
+    return gone
+
+
 def _earlier_neighbours(rows: DataFrame, min_similarity: float) -> DataFrame:
     """``earlier, later`` of the pairs of a scope that are near, by input order."""
     asked = rows.select(*SCOPE, "query_id", "embedding")
