@@ -20,17 +20,19 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from mnemoframe.functions import fixed_values as fv
-from mnemoframe.operators.grouping import top_k
+from mnemoframe.operators.grouping import many_parts, top_k
 from mnemoframe.operators.keyword_search import (
-    bm25_saturation, corpus_stats, idf, normalized, postings, query_terms)
+    bm25_saturation, corpus_stats, idf, normalized, query_terms, term_counts)
 from mnemoframe.operators.lookups import SCOPE
 from mnemoframe.operators.vector_search import TIE_DIGITS
+from mnemoframe.session import stored
 
 RANGE_FACTS = 128
 FOLDERS = 64
+PARTS = 8  # of a folder
 
 
 def _folder(term: str = "term"):
@@ -43,21 +45,25 @@ def write(facts: DataFrame, path: str, on: Sequence[str] = SCOPE) -> None:
     corpus_stats(facts, on).write.parquet(f"{path}/scopes")
     scopes = spark.read.parquet(f"{path}/scopes")
     spans = scopes.select(*on, "avg_dl", F.ceil(F.col("n_facts") / RANGE_FACTS).alias("_ranges"))
-    listed = (postings(facts, on).join(spans, list(on))
+    # all rows of a scope's term are in one task, so what is counted below needs no other shuffle
+    parts = many_parts(spark)
+    place = ["folder", "part"]
+    part = F.pmod(F.xxhash64(*on, "term", F.lit("part")), F.lit(PARTS)).cast("int")
+    key = [*place, *on, "term", "range"]
+    listed = (term_counts(facts, on).join(spans.drop("avg_dl"), list(on))
               .withColumn("range", F.pmod(F.xxhash64("fact_id"), F.col("_ranges")))
-              .withColumn("folder", _folder()))
-    # a folder of a hot term's is written by several tasks: ranges spread it
-    listed = (listed.repartition("folder", F.col("range") % 8)
+              .withColumn("folder", _folder()).withColumn("part", part).drop("_ranges")
+              .repartition(parts, *place).groupBy(*key, "fact_id", "dl").agg(F.sum("tf").alias("tf"))
               .sortWithinPartitions("folder", "term", *on, "range")
               .select(*on, "term", "range", "fact_id", "tf", "dl", "folder"))
     _stored(listed, f"{path}/postings")
-    stored = _read(spark, f"{path}/postings").join(spans.drop("_ranges"), list(on))
-    bounds = stored.groupBy("folder", *on, "term", "range").agg(
+    rows = _read(spark, f"{path}/postings").join(spans.drop("_ranges"), list(on)).withColumn("part", part)
+    bounds = rows.groupBy(*key).agg(
         F.max(bm25_saturation(F.col("tf"), F.col("dl"), F.col("avg_dl"))).alias("bound"),
         F.count(F.lit(1)).alias("_facts"))
-    frequency = bounds.groupBy(*on, "term").agg(F.sum("_facts").alias("df"))
-    _stored(bounds.drop("_facts").join(frequency, [*on, "term"])
-            .repartition("folder", F.col("range") % 8).sortWithinPartitions("folder", "term", *on)
+    bounds = bounds.repartition(parts, *place).withColumn(
+        "df", F.sum("_facts").over(Window.partitionBy(*place, *on, "term")))
+    _stored(bounds.sortWithinPartitions("folder", "term", *on)
             .select(*on, "term", "range", "bound", "df", "folder"), f"{path}/blocks")
 
 
@@ -75,7 +81,8 @@ def _read(spark: SparkSession, path: str) -> DataFrame:
 def search(spark: SparkSession, queries: DataFrame, path: str, k: int = fv.DEFAULT_LIMIT,
            on: Sequence[str] = SCOPE, match_all: bool = False) -> DataFrame:
     """Best ``k`` facts per query: ``query_id, fact_id, raw_score, keyword_score, position``."""
-    terms = query_terms(queries, on).withColumn("folder", _folder())
+    # written once: small, and known to be small, so the index is read where it lies
+    terms = stored(query_terms(queries, on).withColumn("folder", _folder()), "asked-terms")
     wanted = [r["folder"] for r in terms.select("folder").distinct().collect()]  # FOLDERS at most
     keys = ["folder", *on, "term"]
     scopes = spark.read.parquet(f"{path}/scopes")
@@ -84,7 +91,8 @@ def search(spark: SparkSession, queries: DataFrame, path: str, k: int = fv.DEFAU
            .withColumn("_idf", idf(F.col("df"), F.col("n_facts")))
            .withColumn("_most", F.col("_idf") * F.col("bound")))
     kept = met.join(promising_ranges(met, k, match_all), ["query_id", "range"])
-    listed = _read(spark, f"{path}/postings").where(F.col("folder").isin(wanted))
+    listed = _read(spark, f"{path}/postings").where(F.col("folder").isin(wanted)).join(
+        terms.select(*keys).distinct(), keys, "left_semi")
     scored = kept.select(*keys, "range", "query_id", "_idf", "avg_dl").join(listed, [*keys, "range"]).select(
         "query_id", "fact_id",
         (F.col("_idf") * bm25_saturation(F.col("tf"), F.col("dl"), F.col("avg_dl"))).alias("_weight"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from mnemoframe.functions import fixed_values as fv
 from mnemoframe.functions.text import search_terms
@@ -12,6 +14,8 @@ from mnemoframe.operators.grouping import salted_join, top_k
 from mnemoframe.operators.lookups import SCOPE, searchable, valid_at
 from mnemoframe.operators.vector_search import TIE_DIGITS
 
+_ROWS_AT_ONCE = 256  # texts whose terms are counted together
+
 
 def postings(facts: DataFrame, on: Sequence[str] = SCOPE) -> DataFrame:
     """``scope…, fact_id, term, tf, dl``: the inverted index, one row per term of a fact.
@@ -24,6 +28,29 @@ def postings(facts: DataFrame, on: Sequence[str] = SCOPE) -> DataFrame:
     return words.groupBy(*on, "fact_id", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def term_counts(facts: DataFrame, on: Sequence[str] = SCOPE) -> DataFrame:
+    """The rows of ``postings`` counted within each row of facts, so without a shuffle; a fact of several rows has several."""
+    docs = facts.select(*on, "fact_id", search_terms(F.col("content")).alias("term"))
+    schema = T.StructType([*docs.drop("term").schema, T.StructField("dl", T.LongType()),
+                           T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())])
+    return docs.where(F.size("term") > 0).mapInArrow(lambda batches: _counted(batches, [*on, "fact_id"]), schema)
+
+
+def _counted(batches: Iterator[pa.RecordBatch], keep: list[str]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for first in range(0, len(whole), _ROWS_AT_ONCE):
+            batch = whole.slice(first, _ROWS_AT_ONCE)
+            lists = batch.column("term")
+            sizes = lists.value_lengths().to_numpy()
+            words = lists.flatten().dictionary_encode()
+            many = max(len(words.dictionary), 1)
+            pair, times = np.unique(np.repeat(np.arange(len(batch)), sizes) * many + words.indices.to_numpy(), return_counts=True)
+            row = pa.array(pair // many)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c).take(row) for c in keep), pa.array(sizes.astype(np.int64)).take(row),
+                 words.dictionary.take(pa.array(pair % many)), pa.array(times.astype(np.int64))], [*keep, "dl", "term", "tf"])
+
+
 def corpus_stats(facts: DataFrame, on: Sequence[str] = SCOPE) -> DataFrame:
     """Number of facts and mean length per scope."""
     sizes = facts.select(*on, F.size(search_terms(F.col("content"))).alias("_dl"))
