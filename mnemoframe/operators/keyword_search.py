@@ -13,6 +13,7 @@ from mnemoframe.functions.text import search_terms
 from mnemoframe.operators.grouping import salted_join, top_k
 from mnemoframe.operators.lookups import SCOPE, searchable, valid_at
 from mnemoframe.operators.vector_search import TIE_DIGITS
+from mnemoframe.session import stored
 
 _ROWS_AT_ONCE = 256  # texts whose terms are counted together
 
@@ -127,9 +128,10 @@ def keyword_search(queries: DataFrame, facts: DataFrame, k: int = fv.DEFAULT_LIM
     rows = facts.where(valid_at(as_of))
     if only_searchable:
         rows = rows.where(searchable())
-    asked_scopes = queries.select(*SCOPE).distinct()
+    # written once: small, and known to be small, so neither texts nor their words are shuffled to meet them
+    asked_scopes = stored(queries.select(*SCOPE).distinct(), "asked-scopes")
     rows = rows.join(asked_scopes, list(SCOPE), "left_semi")
-    terms = query_terms(queries)
+    terms = stored(query_terms(queries), "asked-terms")
     return bm25(terms, matching_postings(rows, terms), corpus_stats(rows), k,
                 match_all=match_all)
 

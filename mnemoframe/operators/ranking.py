@@ -90,7 +90,9 @@ FACT_FIELDS = (
 
 
 def with_fact_fields(rows: DataFrame, facts: DataFrame, fields=FACT_FIELDS) -> DataFrame:
-    return rows.join(facts.select("fact_id", *fields), "fact_id")
+    """Fact columns for a few rows: other facts go before their texts and vectors are moved."""
+    wanted = facts.join(rows.select("fact_id"), "fact_id", "left_semi")
+    return rows.join(wanted.select("fact_id", *fields), "fact_id")
 
 
 def score_time(rows: DataFrame, references: DataFrame, now: Column) -> DataFrame:
@@ -177,10 +179,11 @@ def token_budget(rows: DataFrame, budget: int, keep_first: bool = False,
 
 def surface_contradictions(rows: DataFrame, facts: DataFrame) -> DataFrame:
     """Add the contradicted fact and how long it stood; absent when it is gone."""
-    old = facts.select(F.col("fact_id").alias("contradicted_fact_id"),
-                       F.col("content").alias("contradicted_content"),
-                       F.col("valid_from").alias("_old_from"))
     wanted = F.when(F.col("contradiction_status") != "none", F.col("contradicts_id"))
+    named = rows.select(wanted.alias("fact_id"))
+    old = facts.join(named, "fact_id", "left_semi").select(
+        F.col("fact_id").alias("contradicted_fact_id"), F.col("content").alias("contradicted_content"),
+        F.col("valid_from").alias("_old_from"))
     joined = rows.withColumn("_wanted", wanted).join(
         old, F.col("_wanted") == F.col("contradicted_fact_id"), "left")
     text = F.when(F.col("contradicted_fact_id").isNotNull(),
@@ -194,6 +197,7 @@ def history(rows: DataFrame, facts: DataFrame) -> DataFrame:
                             F.col("version").alias("history_version"),
                             F.col("valid_from").alias("history_valid_from"))
     wanted = rows.select("query_id", "fact_id", "lineage_id")
+    versions = versions.join(wanted.select("lineage_id"), "lineage_id", "left_semi")
     return salted_join(versions, wanted, ["lineage_id"], "version_fact_id").where(
         F.col("version_fact_id") != F.col("fact_id"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from mnemoframe.functions import dates, fixed_values as fv
 from mnemoframe.operators import graph, keyword_search, lookups, ranking, triggers
 from mnemoframe.operators.vector_search import vector_search
-from mnemoframe.session import cut_lineage
+from mnemoframe.session import cut_lineage, stored
 
 
 @dataclass(frozen=True)
@@ -61,8 +61,8 @@ def candidates(queries: DataFrame, memory: Memory, options: SearchOptions) -> Da
         streams.append(ranking.stream(
             surfaced, "trigger", "vector_score", F.col("trigger_id"), place))
     # the one lookup of fact columns for the whole search, onto a few rows per query
-    rows = ranking.with_fact_fields(ranking.concat_streams(*streams), facts,
-                                    (*ranking.FACT_FIELDS, "embedding"))
+    found = stored(ranking.concat_streams(*streams), "candidates")
+    rows = ranking.with_fact_fields(found, facts, (*ranking.FACT_FIELDS, "embedding"))
     return ranking.rerank_streams(rows, queries)
 
 
@@ -87,7 +87,8 @@ def search(queries: DataFrame, memory: Memory, now: Column,
     rows = ranking.drop_updated(rows)
     if options.token_budget:
         rows = ranking.token_budget(rows, options.token_budget)
-    return ranking.surface_contradictions(rows, memory.facts)
+    # what is left is small, and known to be once it is written
+    return ranking.surface_contradictions(stored(rows, "results"), memory.facts)
 
 
 def access_records(results: DataFrame, queries: DataFrame, now: Column) -> DataFrame:
