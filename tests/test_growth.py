@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from mnemoframe.operators import linking, vector_blocks, vector_search
+from mnemoframe.operators import keyword_search, linking, ranking, vector_blocks, vector_search
 from mnemoframe.operators.lookups import SCOPE
 
 WORDS = ["train", "rain", "plan", "nation", "order", "window", "seven", "eight"]
@@ -78,3 +78,42 @@ def test_rows_near_an_earlier_one_go_without_a_table_of_pairs(spark, monkeypatch
     both = rows.unionByName(rows.where("query_id = 4").withColumn("scope_id", F.lit("z")))
     want = {r.later for r in vector_search.first_wins(vector_search._earlier_neighbours(both, 0.9)).collect()}
     assert {r.query_id for r in vector_search.near_earlier(both, 0.9).collect()} == want
+
+
+def test_names_are_found_anywhere_without_pieces_of_every_word(spark, monkeypatch):
+    rnd = random.Random(8)
+    names = ["anna lee", "lee", "large ring 7", "large ring 71", " été ", "a  b", "x" * 40, "nation"]
+    texts = ["", None, "LARGE RING 71 here", "banna leeds", "un ÉTÉ 🙂 long", "a  b", "y" + "X" * 41] + [
+        " ".join(rnd.choices(["large", "ring", "7", "71", "lee", "anna", "internationale"], k=9)) for _ in range(30)]
+    facts = spark.createDataFrame([(f"t{n % 2}", n, text) for n, text in enumerate(texts + texts)], "tenant_id string, fact_id long, content string")
+    entities = spark.createDataFrame([(f"t{k}", f"e{k}-{n}", name) for k in (0, 1) for n, name in enumerate(names)], "tenant_id string, entity_id string, canonical_name string")
+    want = {(n, f"e{n % 2}-{m}") for n, text in enumerate(texts + texts) for m, name in enumerate(names) if text and name in text.lower()}
+    found = linking.mentioned_entities(facts, entities)
+    got = [(r.fact_id, r.entity_id) for r in found.collect()]
+    assert set(got) == want and len(got) == len(want) and {m for _, m in want} >= {"e0-4", "e0-5", "e0-7"}
+    assert "array_distinct" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_terms_are_counted_where_the_texts_lie(spark):
+    facts = spark.createDataFrame([("t", "user", "s", n, text) for n, text in enumerate(["red red blue", "", None, "blue the x", "red"])],
+                                  "tenant_id string, scope string, scope_id string, fact_id long, content string")
+    counts = keyword_search.term_counts(facts)
+    columns = [*SCOPE, "fact_id", "term", "tf", "dl"]
+    assert {tuple(r) for r in counts.select(*columns).collect()} == {tuple(r) for r in keyword_search.postings(facts).select(*columns).collect()}
+    assert "Exchange" not in counts._jdf.queryExecution().toString()
+
+
+def test_other_facts_go_before_their_texts_are_moved(spark):
+    rows = spark.createDataFrame([(1, 7), (2, 7), (2, 8), (3, 99)], "query_id long, fact_id long")
+    facts = spark.createDataFrame([(n, f"text {n}") for n in (7, 7, 8, 9)], "fact_id long, content string")
+    got = ranking.with_fact_fields(rows, facts, ("content",))
+    assert sorted(map(tuple, got.collect())) == [(7, 1, "text 7")] * 2 + [(7, 2, "text 7")] * 2 + [(8, 2, "text 8")]
+    assert "LeftSemi" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_facts_without_a_text_or_tags_are_no_error(spark):
+    facts, links, entities = _memory(spark, 30)
+    odd = facts.withColumns({"content": F.when(F.col("fact_id") != 4, F.col("content")), "tags": F.when(F.col("fact_id") != 5, F.col("tags"))})
+    got = linking.all_cross_links(odd, links, entities, min_overlap=0.4).collect()
+    whole = linking.all_cross_links(facts, links, entities, min_overlap=0.4).collect()
+    assert {tuple(r) for r in got} == {tuple(r) for r in whole if 4 not in r[-2:] and r.target_fact_id != 5}
