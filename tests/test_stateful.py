@@ -84,3 +84,15 @@ def test_flush_times_of_sessions_beyond_an_int_of_seconds(spark):
     rows = spark.createDataFrame([(0, 8), (700_000, 8), (None, 8)], "conv_id long, turn long")
     got = [r[0] for r in rows.select(F.unix_seconds(flush_time(F.col("conv_id"), F.col("turn")))).collect()]
     assert got[1] - got[0] == 700_000 * 3600 and got[2] is None
+
+
+def test_a_stream_reads_a_table_that_is_a_folder_of_files(spark, tmp_path):
+    from workload.streams import _run, _stream
+    from workload.views import Tables
+
+    rows = spark.createDataFrame([(n, n % 3, "user", f"m{n}") for n in range(12)], "conv_id long, turn long, role string, text string")
+    rows.repartition(3).write.parquet(str(tmp_path / "folder" / "conversations.parquet"))
+    rows.toPandas().to_parquet(str(tmp_path / "conversations.parquet"))
+    for folder in (tmp_path / "folder", tmp_path):
+        got = _run(Tables(spark, str(folder)), _stream(Tables(spark, str(folder)), "conversations"))
+        assert sorted(r.conv_id for r in got.collect()) == list(range(12))

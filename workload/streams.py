@@ -22,9 +22,9 @@ def _run(t: Tables, stream, mode="append", transform=None):
 
 
 def _stream(t: Tables, table: str):
+    """The table's files; a stream's path has to be a folder or a pattern, and a table is one file or a folder of them."""
     schema = t.spark.read.parquet(f"{t.folder}/{table}.parquet").schema
-    return (t.spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
-            .parquet(t.folder))
+    return t.spark.readStream.schema(schema).parquet(f"{t.folder}/{table}.parque[t]")
 
 
 @query("stream_sessions", """WITH s AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS new FROM events),
