@@ -66,6 +66,21 @@ def test_traversal_from_many_seeds_takes_hubs_cut_to_twice_the_cap(spark, monkey
         assert lists.pop().groupBy("tenant_id", "node").count().agg(F.max("count")).first()[0] <= 2 * cap
 
 
+def test_two_hops_start_from_nodes_of_every_type(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from workload import registry, retrieval  # noqa: F401
+
+    kinds = {"a": "organization", "b": "person", "c": "product", "d": None, "e": "location"}
+    tables = SimpleNamespace(
+        entities=spark.createDataFrame([(n, "t", kind) for n, kind in kinds.items()], "entity_id string, tenant_id string, entity_type string"),
+        edges=spark.createDataFrame([(a, b, "t", None, None) for a, b in ("ab", "bc", "cd")],
+                                    "source_id string, target_id string, tenant_id string, valid_from timestamp, valid_until timestamp"))
+    monkeypatch.setattr(registry, "tables", lambda *_: tables)
+    got = registry.QUERIES["graph_all_nodes_two_hops"](spark, "")
+    assert {tuple(r) for r in got.collect()} == {("a", 3, 3), ("b", 4, 4), ("c", 4, 4), ("d", 3, 3), ("e", 1, 0)}
+
+
 def test_numbering_and_closing_of_a_hot_lineage(spark):
     rows = [(1, i, ts(1 + i % 28)) for i in range(300)] + [(2, 1000, ts(3)), (3, 1001, ts(3))]
     df = spark.createDataFrame(rows, "k long, id long, at string").withColumn(
