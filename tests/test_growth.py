@@ -29,6 +29,32 @@ def test_pairs_of_facts_are_not_shuffled_for_one_edge_each(spark):
     assert rows == sorted(map(tuple, twice.collect())) and {r[1] for r in rows} == {"e1", "e2"} and len({r[-2:] for r in rows}) == len(rows)
 
 
+def test_a_fact_moves_a_few_times_with_its_words_in_little_room(spark, monkeypatch):
+    facts, links, entities = _memory(spark, 90)
+    want = sorted((r.source_fact_id, r.target_fact_id) for r in linking.all_cross_links(facts, links, entities, min_overlap=0.4).collect())
+    monkeypatch.setattr(linking, "BLOCK_FACTS", 8)  # in this process: for the blocks, and for the pieces below
+    kind, moved = type(facts), []
+    whole = kind.repartition
+    monkeypatch.setattr(kind, "repartition", lambda df, *a: (moved.append(df) if "_left" in df.columns else None, whole(df, *a))[1])
+    pairs = linking.all_cross_links(facts, links, entities, min_overlap=0.4)
+    assert sorted((r.source_fact_id, r.target_fact_id) for r in pairs.collect()) == want and len(want) > 500
+    copies = moved[0].groupBy("entity_id", "fact_id").count()
+    assert copies.agg(F.max("count")).first()[0] == 2 and "words" not in moved[0].columns
+    words = linking.PackedWords(facts)
+    known, hashes = words.known.value, {r.fact_id: r.h for r in facts.select("fact_id", F.transform(
+        linking.keyword_set(F.col("content")), lambda w: F.xxhash64(w)).alias("h")).collect()}
+    words.known = spark.sparkContext.broadcast(known[::2])  # the others stay whole
+    for rows, table in ((words.rows.collect(), known), (words._rows(facts.select("tenant_id", "fact_id", "created_at", F.lit(True).alias("target"), F.transform(
+            linking.keyword_set(F.col("content")), lambda w: F.xxhash64(w)).alias("words"))).collect(), known[::2])):
+        assert {r.fact_id: sorted([int(table[c + (1 << 15)]) for c in r.common] + r.rare) for r in rows} == {n: sorted(h) for n, h in hashes.items()}
+        assert all(r.source == (len(hashes[r.fact_id]) >= 2) for r in rows)
+    held = linking.PackedWords(facts).known
+    cells = moved[0].orderBy("tenant_id", "entity_id", "_left", "_right", "_side", F.desc("created_at"), F.desc("fact_id")).toArrow().to_batches()
+    names = [f"c{n}" for n in range(7)]
+    found = [pair for b in linking._cells(iter(cells), names, 0.4, held, None) for pair in zip(b.column("c3").to_pylist(), b.column("c4").to_pylist())]
+    assert sorted(found) == want
+
+
 def test_newest_pairs_meet_older_windows_only_where_they_lack_some(spark, monkeypatch):
     facts, links, entities = _memory(spark, 200)
     rows = linking._with_words(facts.join(linking._named_links(links, entities, ("user",)), ["tenant_id", "fact_id"]))
