@@ -96,3 +96,23 @@ def test_a_stream_reads_a_table_that_is_a_folder_of_files(spark, tmp_path):
     for folder in (tmp_path / "folder", tmp_path):
         got = _run(Tables(spark, str(folder)), _stream(Tables(spark, str(folder)), "conversations"))
         assert sorted(r.conv_id for r in got.collect()) == list(range(12))
+
+
+def test_deliveries_are_signed_and_kept_without_payloads(spark, tmp_path, monkeypatch):
+    from types import SimpleNamespace
+
+    from workload import registry, streams
+    from workload.views import Tables
+
+    events = [(n, n % 5, "click" if n == 9 else "error", None if n == 7 else "{}") for n in range(20)]
+    spark.createDataFrame(events, "event_id long, user_id long, event_type string, props string").write.parquet(str(tmp_path / "events.parquet"))
+    hooks = [("w1", "t0", "s1", True, ["extraction.failed"]), ("w2", "t0", "s2", False, ["extraction.failed"]),
+             ("w3", "t2", "s3", None, ["extraction.failed"]), ("w4", "t2", "s4", True, ["a", "extraction.failed"]), ("w5", "t1", "s5", True, ["a"])]
+    webhooks = spark.createDataFrame(hooks, "webhook_id string, tenant_id string, secret string, active boolean, events array<string>")
+    kept, signed, run, sign = [], [], streams.sinks.run_available, streams.st.hmac_sha256
+    monkeypatch.setattr(registry, "tables", lambda *_: SimpleNamespace(spark=Tables(spark, "").spark, folder=str(tmp_path), webhooks=webhooks))
+    monkeypatch.setattr(streams.sinks, "run_available", lambda stream, path, *a, **k: (kept.append(path), run(stream, path, *a, **k)))
+    monkeypatch.setattr(streams.st, "hmac_sha256", lambda *a, **k: signed.append(1) or sign(*a, **k))
+    got = {tuple(r) for r in registry.QUERIES["stream_webhook_outbox"](spark, "").collect()}
+    assert got == {("w1", n) for n in (0, 5, 10, 15)} | {("w4", n) for n in (2, 12, 17)} and signed
+    assert set(spark.read.parquet(kept[0]).columns) == {"webhook_id", "event_id", "batch"}
